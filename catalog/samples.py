@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import DOCS, VECS, documents, embeddings, query, rounded, sql_space, table
 from corpometer.operators import sampling as sp
 from corpometer.operators import stats
-from corpometer.operators.joins import attach
+from corpometer.operators.joins import attach_row
 from corpometer.operators.ranks import hash_rank
 
 
@@ -113,8 +113,7 @@ def plain_split(spark, folder):
 )
 def batch_numbers(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id")
-    n = docs.agg(sp.batch_count(F.count(F.lit(1)), 15).alias("n_batches")).withColumn("all", F.lit(1))
-    return attach(sp.batches(docs, 15).withColumn("all", F.lit(1)), n, ["all"]).drop("all")
+    return attach_row(sp.batches(docs, 15), docs.agg(sp.batch_count(F.count(F.lit(1)), 15).alias("n_batches")))
 
 
 @query(

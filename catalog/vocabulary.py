@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import DOCS, VECS, documents, query, rounded, sql_simple, sql_space, sql_tfidf_tokens, table
 from corpometer.functions import text as T
 from corpometer.operators import bags, stats
+from corpometer.operators.joins import lookup
 from corpometer.operators.tables import top_rows
 
 STATS = ("avg_len_tokens", "std_len_tokens", "avg_len_chars", "ttr", "hapax_ratio")
@@ -99,7 +100,7 @@ def dictionary_lookup(spark, folder):
     side = documents(spark, folder).where("corpus = 'synthetic'")
     ids = bags.dictionary(frequent(side)).select("token", "token_id", "cf")
     rows = bags.token_rows(side, T.simple_tokens("text"))
-    coded = bags.lookup(rows, ids, ["token"], weight="cf", how="inner")
+    coded = lookup(rows, ids, ["token"], weight="cf", how="inner")
     return coded.select("doc_id", F.col("place").cast("bigint").alias("place"), "token", "token_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach, lookup
+from corpometer.operators.joins import BROADCAST_ROWS, attach_row, lookup
 from corpometer.operators.ranks import hash_rank
 
 
@@ -73,12 +73,12 @@ def tfidf(
     """
     counts = term_counts(df, tokens, id_col)
     terms = counts.groupBy("token").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
-    kept = top_terms(terms, max_features).withColumn("__all", F.lit(1))
-    docs = df.agg(F.count(F.lit(1)).alias("__docs")).withColumn("__all", F.lit(1))
-    idf = attach(kept, docs, ["__all"]).select(
+    kept = attach_row(top_terms(terms, max_features), df.agg(F.count(F.lit(1)).alias("__docs")))
+    idf = kept.select(
         "token", (F.log((1 + F.col("__docs")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = attach(counts, idf, ["token"], how="inner", max_rows=max(max_features, 20_000)).select(
+    side = F.broadcast(idf) if max_features <= BROADCAST_ROWS else idf
+    weighted = counts.join(side, "token").select(
         id_col, "token", (F.col("n") * F.col("idf")).alias("__w")
     )
     document = Window.partitionBy(id_col)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach
+from corpometer.operators.joins import attach, attach_row
 from corpometer.operators.ranks import running_sums
 
 
@@ -51,11 +51,13 @@ def wasserstein_1d(
     value_col: str = "value",
     by: Sequence[str] = (),
     corpus_col: str = "corpus",
+    span: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Exact 1-D Wasserstein distance of each corpus to the reference: ``(*by, corpus, distance)``.
 
     It is the area between the two distribution functions. Equal values are counted first, then
-    running counts per corpus are taken along the value axis.
+    running counts per corpus are taken along the value axis. ``span`` are limits of the values, if
+    they are known.
     """
     names = [reference, *others]
     rows = df.where(F.col(corpus_col).isin(*names))
@@ -63,13 +65,10 @@ def wasserstein_1d(
         *[F.sum(F.when(F.col(corpus_col) == c, 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(names)]
     )
     sums = {f"c{i}": F.col(f"n{i}") for i in range(len(names))}
-    run = running_sums(counted, "__x", sums, by=by, following="__next")
+    run = running_sums(counted, "__x", sums, by=by, following="__next", span=span)
     gap = F.coalesce(F.col("__next") - F.col("__x"), F.lit(0.0))
     sized = counted.groupBy(*by).agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))])
-    keys = list(by)
-    if not keys:
-        run, sized, keys = run.withColumn("__all", F.lit(1)), sized.withColumn("__all", F.lit(1)), ["__all"]
-    shares = attach(run, sized, keys, how="inner")
+    shares = attach(run, sized, by, how="inner") if by else attach_row(run, sized)
     areas = [
         F.sum(F.abs(F.col("c0") / F.col("t0") - F.col(f"c{i}") / F.col(f"t{i}")) * gap).alias(f"d{i}")
         for i in range(1, len(names))
@@ -96,8 +95,14 @@ def sliced_distances(
     corpus_col: str = "corpus",
 ) -> DataFrame:
     """Wasserstein distance along each random direction: ``(direction, corpus, distance)``."""
-    projected = project(df, directions(width, n_projections, seed), vector_col, [corpus_col])
-    return wasserstein_1d(projected, reference, others, by=["direction"], corpus_col=corpus_col)
+    rows = df.where(F.col(corpus_col).isin(reference, *others))
+    square = F.aggregate(vector_col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    longest = rows.agg(F.sqrt(F.max(square)).alias("longest")).first()["longest"] or 0.0
+    reach = longest * 1.000001  # a dot product with a unit vector is no longer than the vector
+    projected = project(rows, directions(width, n_projections, seed), vector_col, [corpus_col])
+    return wasserstein_1d(
+        projected, reference, others, by=["direction"], corpus_col=corpus_col, span=(-reach, reach)
+    )
 
 
 def sliced_wasserstein(distances: DataFrame, corpus_col: str = "corpus") -> DataFrame:

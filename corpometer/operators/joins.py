@@ -50,6 +50,12 @@ def attach(
     return big.join(F.broadcast(local), on, how)
 
 
+def attach_row(big: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a table that is one row by construction (an ungrouped aggregate)."""
+    keyed = row.withColumn("__one", F.lit(1))
+    return big.withColumn("__one", F.lit(1)).join(F.broadcast(keyed), "__one").drop("__one")
+
+
 def lookup(
     big: DataFrame,
     table: DataFrame,
@@ -60,17 +66,14 @@ def lookup(
 ) -> DataFrame:
     """Join a table of any size, with one row per key, to rows whose keys are skewed.
 
-    The ``hot_rows`` heaviest keys by ``weight`` are broadcast, which settles most rows without
-    moving them. Only rows with a key outside that list are shuffled to the rest of the table,
+    The ``hot_rows`` heaviest keys by ``weight`` are broadcast (the limit bounds their size), which
+    settles most rows without moving them. Only rows with a key outside that list are shuffled to the rest of the table,
     and by construction none of those keys is heavy.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup joins are 'left' or 'inner'")
     on = list(on)
-    whole = bounded(table, hot_rows)
-    if whole is not None:
-        return big.join(F.broadcast(whole.drop(weight)), on, how)
-    hot = bounded(table.orderBy(F.desc(weight), *on).limit(hot_rows), hot_rows).drop(weight)
+    hot = table.orderBy(F.desc(weight), *on).limit(hot_rows).drop(weight)
     settled = big.join(F.broadcast(hot), on, "inner")
     rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return settled.unionByName(rest.join(table.drop(weight), on, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach, lookup
+from corpometer.operators.joins import attach_row, lookup
 
 
 def bigrams(tokens: Column) -> Column:
@@ -45,16 +45,13 @@ def bigram_losses(
         F.sum(F.when(F.col(corpus_col) == train, F.col("n")).otherwise(0)).alias("__pair"),
         F.sum("n").alias("n"),
     )
-    contexts = pairs.groupBy("w1").agg(F.sum("__pair").alias("__context"), F.sum("n").alias("__w"))
-    joined = lookup(pairs, contexts, ["w1"], weight="__w")
+    contexts = pairs.groupBy("w1").agg(F.sum("__pair").alias("__context"))
+    joined = pairs.join(contexts, "w1")
     if isinstance(vocabulary, int):
         size = F.lit(vocabulary)
     else:
-        name = vocabulary.columns[0]
-        joined = attach(
-            joined.withColumn("__all", F.lit(1)), vocabulary.withColumn("__all", F.lit(1)), ["__all"]
-        )
-        size = F.col(name)
+        joined = attach_row(joined, vocabulary)
+        size = F.col(vocabulary.columns[0])
     probability = (F.col("__pair") + F.lit(float(k))) / (F.col("__context") + F.lit(float(k)) * size)
     return joined.select("w1", "w2", "n", (-F.log(probability)).alias("loss"))
 

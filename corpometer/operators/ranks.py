@@ -90,11 +90,13 @@ def first_by_hash(
         attach(ids, edge, ["__g", "__r"], how="inner")
         .withColumn("__i", F.row_number().over(within))
         .where(F.col("__i") == F.col("__left"))
-        .select("__g", F.struct("__h", "__id").alias("__last"))
+        .select("__g", F.col("__h").alias("__last_h"), F.col("__id").alias("__last_id"))
     )
     cuts = wanted.join(last, "__g", "left")
     chosen = (F.col("__size") > 0) & (
-        F.col("__last").isNull() | (F.struct(F.col("__h"), F.col(id_col).alias("__id")) <= F.col("__last"))
+        F.col("__last_h").isNull()
+        | (F.col("__h") < F.col("__last_h"))
+        | ((F.col("__h") == F.col("__last_h")) & (F.col(id_col) <= F.col("__last_id")))
     )
     result = attach(keyed, cuts, ["__g"]).withColumn("__keep", F.coalesce(chosen, F.lit(False)))
     if flag:
@@ -109,12 +111,14 @@ def running_sums(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     following: str | None = None,
+    span: tuple[float, float] | None = None,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """Add running sums up to and including each row, in the order of a numeric column.
 
     ``following`` also adds the next value of the order column in the group. Rows that share a
     value are taken in the order of ``ties``; group equal values first where there are many.
+    ``span`` gives limits that hold all values and saves the pass that looks for them.
     """
     names = list(sums)
     rows = df.withColumns(
@@ -124,7 +128,6 @@ def running_sums(
             **{f"__s_{n}": expr for n, expr in sums.items()},
         }
     )
-    span = rows.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     fine = F.when(
         F.col("__hi") > F.col("__lo"),
         F.least(
@@ -132,11 +135,12 @@ def running_sums(
             F.lit(fanout**2 - 1),
         ),
     ).otherwise(F.lit(0))
-    rows = (
-        attach(rows, span, ["__g"])
-        .withColumn("__fine", fine.cast("bigint"))
-        .drop("__lo", "__hi")
-    )
+    if span is None:
+        ends = rows.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        rows = attach(rows, ends, ["__g"])
+    else:
+        rows = rows.withColumns({"__lo": F.lit(float(span[0])), "__hi": F.lit(float(span[1]))})
+    rows = rows.withColumn("__fine", fine.cast("bigint")).drop("__lo", "__hi")
     parts = [F.sum(f"__s_{n}").alias(f"__s_{n}") for n in names] + [F.min("__v").alias("__first")]
     fines = rows.groupBy("__g", "__fine").agg(*parts).withColumn(
         "__coarse", F.floor(F.col("__fine") / fanout).cast("bigint")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach
+from corpometer.operators.joins import attach_row
 from corpometer.operators.ranks import running_sums
 
 
@@ -92,9 +92,8 @@ def summary_scores(df: DataFrame, score_col: str = "score", label_col: str = "la
     pick = lambda name, column: F.max(F.when(F.col("name") == name, F.col(column)))
     scores = report.agg(
         pick("accuracy", "f1").alias("accuracy"), pick("macro avg", "f1").alias("macro_f1")
-    ).withColumn("__all", F.lit(1))
-    area = roc_auc(df, score_col, label_col).withColumn("__all", F.lit(1))
-    return attach(scores, area, ["__all"]).drop("__all")
+    )
+    return attach_row(scores, roc_auc(df, score_col, label_col))
 
 
 def ranked(metrics: DataFrame, metric: str, corpus_col: str = "corpus") -> DataFrame:

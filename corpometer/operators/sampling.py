@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach
+from corpometer.operators.joins import attach_row
 from corpometer.operators.ranks import first_by_hash, hash_rank, position
 
 
@@ -79,11 +79,11 @@ def balance_by_repeats(
     sizes = counts.agg(
         F.coalesce(F.sum(F.when(F.col(corpus_col) == large, F.col("n"))), F.lit(0)).alias("__large"),
         F.coalesce(F.sum(F.when(F.col(corpus_col) == small, F.col("n"))), F.lit(0)).alias("__small"),
-    ).withColumn(corpus_col, F.lit(small))
+    )
     times = F.lit(repeats) if repeats is not None else F.greatest(
         F.floor(F.col("__large") / F.col("__small")), F.lit(1)
     )
-    minor = attach(df.where(F.col(corpus_col) == small), sizes, [corpus_col])
+    minor = attach_row(df.where(F.col(corpus_col) == small), sizes)
     placed = position(minor, id_col, name="__place")
     copies = placed.withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint")))
@@ -170,8 +170,7 @@ def equal_shares(
 ) -> DataFrame:
     """Give each owner a run of rows in id order, sizes differing by one row at most."""
     k = len(owners)
-    n = df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(1))
-    placed = attach(position(df, order_col, name="__place").withColumn("__all", F.lit(1)), n, ["__all"])
+    placed = attach_row(position(df, order_col, name="__place"), df.agg(F.count(F.lit(1)).alias("__n")))
     base = F.floor(F.col("__n") / k)
     longer = F.col("__n") % k
     edge = longer * (base + 1)
@@ -190,8 +189,7 @@ def stand_in_corpus(
     order_col: str = "doc_id",
 ) -> DataFrame:
     """A stand-in synthetic corpus: the first half of the rows with one word replaced."""
-    n = df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(1))
-    placed = attach(position(df, order_col, name="__place").withColumn("__all", F.lit(1)), n, ["__all"])
+    placed = attach_row(position(df, order_col, name="__place"), df.agg(F.count(F.lit(1)).alias("__n")))
     half = placed.where(F.col("__place") <= F.floor(F.col("__n") / 2))
     return half.withColumn(text_col, F.replace(F.col(text_col), F.lit(old), F.lit(new))).select(
         *df.columns

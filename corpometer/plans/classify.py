@@ -20,6 +20,9 @@ from corpometer.operators.reports import class_report, confusion, summary_scores
 from corpometer.operators.sampling import folds, split
 
 
+ROWS_PER_PARTITION = 20_000
+
+
 @dataclass
 class Classified:
     """A fitted model, its scored test rows, the class report and the summary scores."""
@@ -136,7 +139,9 @@ def classify_embeddings(
             foldCol="fold",
             parallelism=parallelism,
         )
-        ready = scaled.transform(train).select("features", "label", "fold").persist()
+        # One model fit is many short jobs; few rows in many partitions would only add to them.
+        parts_needed = max(1, n // ROWS_PER_PARTITION)
+        ready = scaled.transform(train).select("features", "label", "fold").coalesce(parts_needed).persist()
         best = search.fit(ready).bestModel
         ready.unpersist()
     finally:

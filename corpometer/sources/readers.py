@@ -125,10 +125,10 @@ def read_corpus(
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``(value, file)``: the text and path of every file below ``path``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def parse_articles(files: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ BATCH_COLUMN = "stream_batch"
 
 def article_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of article files as rows; files already seen are not read again."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return parse_articles(files)
 
 
