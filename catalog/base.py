@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpometer.functions import text as T
 from corpometer.functions.words import ENGLISH_STOP_WORDS, accent_table
+from corpometer.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,7 +36,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a corpus: the first ten sources stand for real text, the rest for synthetic."""
     side = F.when(F.substring("source", 4, 9).cast("int") < 10, "real").otherwise("synthetic")
-    return table(spark, folder, "documents").withColumn("corpus", side)
+    return texts(spark, folder).withColumn("corpus", side)
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents spread over the cores when their file has too few splits for that."""
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DOCS, VECS, documents, embeddings, generation_log, query, rounded, sql_simple, sql_space, table
+from catalog.base import DOCS, VECS, documents, embeddings, generation_log, query, rounded, sql_simple, sql_space, table, texts
 from catalog.vocabulary import STATS, stats_sql
 from corpometer.functions import text as T
 from corpometer.operators import coherence as co
@@ -307,7 +307,7 @@ def scored_documents(spark, folder):
     """Labelled documents with a rule score: distinct tokens over tokens."""
     tokens = T.space_tokens("text")
     score = F.size(F.array_distinct(tokens)) / F.size(tokens)
-    docs = table(spark, folder, "documents").where(F.size(tokens) > 0).select("doc_id", score.alias("score"))
+    docs = texts(spark, folder).where(F.size(tokens) > 0).select("doc_id", score.alias("score"))
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id").withColumn("prediction", (F.col("score") >= 0.7).cast("int"))
 

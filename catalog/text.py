@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     DOCS, STOPS, documents, query, quoted, sql_alphabetic, sql_simple, sql_space, sql_tfidf_tokens, sql_words,
-    table, text_list,
+    table, text_list, texts,
 )
 from catalog.files import _topic_sql
 from corpometer.functions import arrays as A
@@ -29,7 +29,7 @@ def _tokens(name: str, sql_tokens: str, column):
         f"FROM (SELECT doc_id, {sql_tokens} AS tokens FROM documents)",
     )
     def run(spark, folder):
-        docs = table(spark, folder, "documents").select("doc_id", column("text").alias("tokens"))
+        docs = texts(spark, folder).select("doc_id", column("text").alias("tokens"))
         return docs.select("doc_id", text_list(F.col("tokens")).alias("tokens"), F.size("tokens").cast("bigint").alias("n"))
 
     return run
@@ -58,7 +58,7 @@ _tokens(
         CAST(len(string_split(text, ' ')) AS BIGINT) AS pieces, CAST(length(text) AS BIGINT) AS chars FROM documents""",
 )
 def word_counts(spark, folder):
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         "doc_id",
         T.word_count("text").alias("words"),
         T.single_space_count("text").alias("pieces"),
@@ -72,7 +72,7 @@ def word_counts(spark, folder):
 )
 def truncated_tokens(spark, folder):
     tokens = A.truncate(T.space_tokens("text"), 4096)
-    return table(spark, folder, "documents").select("doc_id", text_list(tokens).alias("tokens"))
+    return texts(spark, folder).select("doc_id", text_list(tokens).alias("tokens"))
 
 
 IDS = f"""freq AS (SELECT token, count(*) AS cf FROM (SELECT unnest({sql_space('text')}) AS token FROM documents) GROUP BY token),
@@ -92,7 +92,7 @@ def _dictionary(docs):
     f"WITH {IDS} SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids FROM coded",
 )
 def token_ids(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     coded = encode(docs, T.space_tokens("text"), _dictionary(docs))
     return coded.select("doc_id", A.join_longs(F.col("input_ids")).alias("input_ids"))
 
@@ -106,7 +106,7 @@ def token_ids(spark, folder):
         array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda i: -100)), ' ') AS labels FROM cut""",
 )
 def pad_mask_labels(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     coded = encode(docs, T.space_tokens("text"), _dictionary(docs))
     shaped = prepare.padded_ids(coded, 256, pad_id=-1)
     return shaped.select(
@@ -124,7 +124,7 @@ def pad_mask_labels(spark, folder):
         CAST(len(x) AS BIGINT) AS kept FROM top""",
 )
 def pad_to_longest(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     ids = F.transform(F.split("text", " "), lambda t: F.length(t).cast("bigint"))
     coded = batches(docs.select("doc_id", ids.alias("input_ids")), 20)
     padded = prepare.padded_batches(coded)
@@ -147,7 +147,7 @@ def pad_to_longest(spark, folder):
 )
 def training_set(spark, folder):
     """Generated outputs in several tables are stacked, trimmed, encoded, padded and split."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     outputs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("generated_text"), "lang")
     stacked = outputs.where("lang = 'en'").drop("lang").unionByName(outputs.where("lang <> 'en'").drop("lang"))
     shaped = prepare.training_set(stacked, _dictionary(docs), length=128)
@@ -162,7 +162,7 @@ def training_set(spark, folder):
         lambda t: t <> ''), 1, 100), ' ') AS prefix FROM documents""",
 )
 def word_prefix(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.first_words("text", 100).alias("prefix"))
+    return texts(spark, folder).select("doc_id", T.first_words("text", 100).alias("prefix"))
 
 
 def _uniform_sql(part: str, low: float, high: float) -> str:
@@ -178,7 +178,7 @@ def _uniform_sql(part: str, low: float, high: float) -> str:
         FROM (SELECT doc_id, CAST(len({sql_space('text')}) AS BIGINT) AS n FROM documents)""",
 )
 def generation_settings(spark, folder):
-    made = prepare.generation_inputs(table(spark, folder, "documents"))
+    made = prepare.generation_inputs(texts(spark, folder))
     return made.select(
         "doc_id", "drawn_tokens", F.round("temperature", 6).alias("temperature"), "max_new_tokens", "min_new_tokens"
     )
@@ -190,7 +190,7 @@ def generation_settings(spark, folder):
         FROM (SELECT doc_id AS id, {_topic_sql('doc_id', 53)} AS topic FROM documents)""",
 )
 def topic_prompts(spark, folder):
-    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    ids = texts(spark, folder).select(F.col("doc_id").alias("id"))
     return prepare.prompt_table(ids, "Report on {topic} today. Keep to {topic}.")
 
 
@@ -205,7 +205,7 @@ def _weighted_topic_sql() -> str:
 @query("weighted_topics", f"SELECT doc_id, {_weighted_topic_sql()} AS topic FROM documents")
 def weighted_topics(spark, folder):
     topic = P.pick_topic(9, "doc_id", topics=P.topic_list(weighted=True))
-    return table(spark, folder, "documents").select("doc_id", topic.alias("topic"))
+    return texts(spark, folder).select("doc_id", topic.alias("topic"))
 
 
 @query(
@@ -252,7 +252,7 @@ def output_names(spark, folder):
 def nested_json(spark, folder):
     share = F.round(F.col("n_chars") / 8.0, 3).cast("float").cast("double")
     body = F.to_json(F.struct("source", F.struct(F.col("n_chars").alias("chars"), share.alias("share")).alias("size")))
-    made = table(spark, folder, "documents").select("doc_id", body.alias("body"))
+    made = texts(spark, folder).select("doc_id", body.alias("body"))
     parsed = F.from_json("body", "source string, size struct<chars:bigint,share:double>")
     return made.withColumn("chars", parsed["size"]["chars"])
 
@@ -262,7 +262,7 @@ def nested_json(spark, folder):
     "SELECT doc_id, substr(text, 1, 200) AS head, round(n_chars / 7.0::DOUBLE, 2) AS seconds FROM documents",
 )
 def preview_and_round(spark, folder):
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         "doc_id", T.preview("text").alias("head"), F.round(F.col("n_chars") / 7.0, 2).alias("seconds")
     )
 
@@ -277,7 +277,7 @@ def batched_map(spark, folder):
             {"doc_id": frame["doc_id"], "n": frame["text"].str.len(), "lang": frame["lang"].str.upper()}
         )
 
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     return scoring.batched_map(docs, shape, "doc_id bigint, n bigint, lang string", ["doc_id", "text", "lang"])
 
 
@@ -287,7 +287,7 @@ def batched_map(spark, folder):
 )
 def parallel_token_map(spark, folder):
     """Tokens by column expressions in each task, spread over tasks before the costly step."""
-    docs = table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = texts(spark, folder).select("doc_id", "text").repartition("doc_id")
     return docs.select("doc_id", text_list(T.simple_tokens("text")).alias("tokens"))
 
 

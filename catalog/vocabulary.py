@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DOCS, VECS, documents, query, rounded, sql_simple, sql_space, sql_tfidf_tokens, table
+from catalog.base import DOCS, VECS, documents, query, rounded, sql_simple, sql_space, sql_tfidf_tokens, table, texts
 from corpometer.functions import text as T
 from corpometer.operators import bags, stats
 from corpometer.operators.joins import lookup
@@ -126,7 +126,7 @@ def longest_text(spark, folder):
         GROUP BY token ORDER BY cf DESC, token LIMIT 5000""",
 )
 def top_terms(spark, folder):
-    tokens = table(spark, folder, "documents").select(F.explode(T.tfidf_tokens("text")).alias("token"))
+    tokens = texts(spark, folder).select(F.explode(T.tfidf_tokens("text")).alias("token"))
     return bags.top_terms(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cf")), 5000)
 
 
@@ -138,7 +138,7 @@ def top_terms(spark, folder):
     SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
 def tfidf_weights(spark, folder):
-    weights = bags.tfidf(table(spark, folder, "documents"), T.tfidf_tokens("text"), 5000)
+    weights = bags.tfidf(texts(spark, folder), T.tfidf_tokens("text"), 5000)
     return rounded(weights, "weight")
 
 
@@ -148,7 +148,7 @@ def tfidf_weights(spark, folder):
     SELECT token, CAST(sum(n) AS BIGINT) AS cf, count(*) AS df FROM c GROUP BY token ORDER BY df DESC, token LIMIT 25""",
 )
 def heaviest_terms(spark, folder):
-    counts = bags.term_counts(table(spark, folder, "documents"), T.tfidf_tokens("text"))
+    counts = bags.term_counts(texts(spark, folder), T.tfidf_tokens("text"))
     terms = counts.groupBy("token").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
     return top_rows(terms, "df", 25, "token")
 

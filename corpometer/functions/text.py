@@ -128,14 +128,21 @@ def without_special_tokens(text, tokens: Sequence[str] = SPECIAL_TOKENS) -> Colu
     return F.regexp_replace(_col(text), "|".join(escaped), "")
 
 
-# Byline and dateline shapes at the head of an article, taken off in this order.
+# Byline and dateline shapes at the head of an article, taken off in this order. A printed date
+# line may hold the time of publishing and the time of a later change, so its shape comes twice.
+_DATE_LINE = (
+    r"^[\s.|]*(?:PUBLISHED|UPDATED|Published|Updated):[\s.]*(?:\d{1,2}:\d{2}\s*(?:EST|EDT|GMT|BST)?[\s,.]*)?"
+    r"\d{1,2}\s+[A-Z][a-z]+\s+\d{4}[\s.|]*"
+)
+_NAME = r"[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'.-]*){1,3}"
 BYLINE_PATTERNS: tuple[str, ...] = (
     r"^By\s+\.\s+[^\n.]{1,120}\.\s+",
-    r"^By\s+[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'-]+){1,3}(?:\s+and\s+[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'-]+){1,3})?\s*(?:\n+|\.\s+|,\s+)",
-    r"^(?:PUBLISHED|UPDATED|Published|Updated):?\s*\.?\s*(?:\d{1,2}:\d{2}\s*(?:EST|EDT|GMT|BST)?\s*,?\s*)?\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\s*\.?\s*(?:\|\s*)?",
-    r"^(?:PUBLISHED|UPDATED|Published|Updated):?\s*\.?\s*(?:\d{1,2}:\d{2}\s*(?:EST|EDT|GMT|BST)?\s*,?\s*)?\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\s*\.?\s*(?:\|\s*)?",
+    rf"^By\s+{_NAME}(?:\s+and\s+{_NAME})?(?:,\s+CNN)?\s*\n+",
+    _DATE_LINE,
+    _DATE_LINE,
     r"^(?:[A-Z][\p{L} .,'-]{0,60})?\(CNN\)\s*(?:--?|—)?\s*",
-    r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}\s*(?:--?|—|\n)?\s*",
+    r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+    r"\s+\d{1,2},\s+\d{4}\s*(?:--?|—|\n)?\s*",
 )
 
 

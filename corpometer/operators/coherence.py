@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpometer.operators.joins import attach
+from corpometer.operators.joins import attach, bounded
 from corpometer.operators.windows import WIDTH, pair_windows, window_totals, word_intervals, word_windows
+from corpometer.session import stored
 
 EPSILON = 1e-12
 
@@ -45,7 +46,7 @@ def window_counts(
 ) -> DataFrame:
     """``(corpus, word_a, word_b, n)`` for all topic words; a word paired with itself is its own count."""
     words = topics.select(corpus_col, "word").distinct()
-    intervals = word_intervals(df, tokens, words, width, id_col, corpus_col)
+    intervals = stored(word_intervals(df, tokens, words, width, id_col, corpus_col), "intervals")
     single = word_windows(intervals, corpus_col).select(
         corpus_col, F.col("word").alias("word_a"), F.col("word").alias("word_b"), "n"
     )
@@ -100,17 +101,24 @@ def coherence(
     the topic's vectors; the topic's value is the mean over its words. With ``skip_irrelevant`` the
     windows of documents without any topic word are not counted.
     """
+    topics = _local(topics)
     used = df
     if skip_irrelevant:
         words = topics.select(corpus_col, "word").distinct()
         found = df.select(corpus_col, id_col, F.explode(tokens).alias("word"))
         hits = attach(found, words, [corpus_col, "word"], how="left_semi").select(id_col).distinct()
         used = df.join(hits, id_col, "left_semi")
-    counts = window_counts(df, tokens, topics, width, id_col, corpus_col)
+    counts = _local(window_counts(df, tokens, topics, width, id_col, corpus_col))
     totals = window_totals(used, tokens, width, corpus_col)
     return coherence_of(similarities(topics, counts, totals, corpus_col), corpus_col)
 
 
+def _local(table: DataFrame) -> DataFrame:
+    """Topic tables as local ones while they are small, which they are unless topics are many."""
+    local = bounded(table)
+    return stored(table, "topics") if local is None else local
+
+
 def coherence_of(pairs: DataFrame, corpus_col: str = "corpus") -> DataFrame:
     """C_v of each topic from its NPMI pairs."""
     whole = Window.partitionBy(corpus_col, "topic", "word_b")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach
+from corpometer.session import stored
 
 PAIR_CHUNK = 2048  # points whose distances to the grid are held at once
 
@@ -27,6 +28,7 @@ def histogram(counts: DataFrame, bins: int = 30, corpus_col: str = "corpus") ->
     Bins run from the smallest to the largest value; the last one holds its upper edge. Bins
     without a value are not listed.
     """
+    counts = stored(counts, "value-counts")
     span = counts.groupBy(corpus_col).agg(
         F.min("value").alias("__lo"),
         F.max("value").alias("__hi"),
@@ -58,6 +60,7 @@ def density_curve(
     The bandwidth is the sample deviation times ``n ** (-1/5)`` unless given. The grid reaches
     ``cut`` bandwidths past the data and stops at the clip limits, which limit the grid only.
     """
+    counts = stored(counts, "value-counts")
     n = F.sum("n")
     mean = F.sum(F.col("value") * F.col("n")) / n
     totals = counts.groupBy(corpus_col).agg(
@@ -105,7 +108,7 @@ def density_grid(
     enclose the point; 0 lies outside all of them.
     """
     rows = df.select(corpus_col, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    rows = rows.groupBy(corpus_col, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    rows = stored(rows.groupBy(corpus_col, "__x", "__y").agg(F.count(F.lit(1)).alias("__n")), "points")
     w = F.col("__n")
     mean = rows.groupBy(corpus_col).agg(
         F.sum(w).alias("n"),

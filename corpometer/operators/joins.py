@@ -68,11 +68,14 @@ def lookup(
 
     The ``hot_rows`` heaviest keys by ``weight`` are broadcast (the limit bounds their size), which
     settles most rows without moving them. Only rows with a key outside that list are shuffled to the rest of the table,
-    and by construction none of those keys is heavy.
+    and by construction none of those keys is heavy. ``table`` is read more than once, so it
+    should be a stored one.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup joins are 'left' or 'inner'")
     on = list(on)
+    if bounded(table.limit(hot_rows + 1).select(on[0]), hot_rows) is not None:
+        return big.join(F.broadcast(table.drop(weight)), on, how)
     hot = table.orderBy(F.desc(weight), *on).limit(hot_rows).drop(weight)
     settled = big.join(F.broadcast(hot), on, "inner")
     rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti")

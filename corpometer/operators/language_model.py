@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach_row, lookup
+from corpometer.session import stored
 
 
 def bigrams(tokens: Column) -> Column:
@@ -69,7 +70,7 @@ def corpus_losses(
 
     Only distinct bigrams are scored, so a frequent one costs a single row per corpus.
     """
-    counts = bigram_counts(df, tokens, corpus_col)
+    counts = stored(bigram_counts(df, tokens, corpus_col), "bigrams")
     losses = bigram_losses(counts, train, vocabulary_size(df, tokens, train, corpus_col), k, corpus_col)
     scored = counts.join(losses.select("w1", "w2", "loss"), ["w1", "w2"])
     return scored.groupBy(corpus_col).agg(
@@ -86,10 +87,10 @@ def document_losses(
     corpus_col: str = "corpus",
 ) -> DataFrame:
     """``(corpus, id, nll, n_tokens)``; documents with fewer than two tokens get zeros."""
-    per_doc = bigram_counts(df, tokens, corpus_col, id_col)
-    counts = bigram_counts(df, tokens, corpus_col)
+    per_doc = stored(bigram_counts(df, tokens, corpus_col, id_col), "document-bigrams")
+    counts = per_doc.groupBy(corpus_col, "w1", "w2").agg(F.sum("n").alias("n"))
     losses = bigram_losses(counts, train, vocabulary_size(df, tokens, train, corpus_col), k, corpus_col)
-    table = losses.select("w1", "w2", "loss", F.col("n").alias("__all_n"))
+    table = stored(losses.select("w1", "w2", "loss", F.col("n").alias("__all_n")), "losses")
     scored = lookup(per_doc, table, ["w1", "w2"], weight="__all_n", how="inner")
     sums = scored.groupBy(id_col).agg(
         F.sum(F.col("n") * F.col("loss")).alias("nll"), F.sum("n").alias("n_tokens")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach_row
 from corpometer.operators.ranks import running_sums
+from corpometer.session import stored
 
 
 def confusion(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
@@ -75,8 +76,11 @@ def roc_auc(
     Rows are counted per distinct score first; ranks come from running counts.
     """
     positive = F.when(F.col(label_col) == 1, 1).otherwise(0)
-    counted = df.groupBy(*by, F.col(score_col).cast("double").alias("__x")).agg(
-        F.sum(positive).alias("__pos"), F.sum(1 - positive).alias("__neg")
+    counted = stored(
+        df.groupBy(*by, F.col(score_col).cast("double").alias("__x")).agg(
+            F.sum(positive).alias("__pos"), F.sum(1 - positive).alias("__neg")
+        ),
+        "score-counts",
     )
     run = running_sums(counted, "__x", {"__below": F.col("__neg")}, by=by)
     won = F.col("__pos") * (F.col("__below") - F.col("__neg") / 2)

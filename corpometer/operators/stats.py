@@ -41,6 +41,34 @@ def vocabulary_stats(counts: DataFrame, corpus_col: str = "corpus") -> DataFrame
     )
 
 
+def _one_pass(
+    df: DataFrame, text_col: str, corpus_col: str, tokenizer: str, max_length: int | None
+) -> DataFrame:
+    """Token counts, and in the row of the null token the sums over documents.
+
+    Each document's tokens get a null in front, whose row carries the document's own numbers, so
+    one scan and one shuffle of partial counts serve both kinds of statistics.
+    """
+    sized = df.where(F.col(text_col).isNotNull()).select(
+        corpus_col,
+        _tokens(text_col, tokenizer, max_length).alias("__t"),
+        F.length(text_col).cast("bigint").alias("__chars"),
+    )
+    rows = sized.select(
+        corpus_col,
+        "__chars",
+        F.size("__t").cast("double").alias("__size"),
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "__t")).alias("__p", "token"),
+    )
+    head = F.col("__p") == 0
+    return rows.groupBy(corpus_col, "token").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(head, F.col("__size"))).alias("size"),
+        F.sum(F.when(head, F.col("__size") * F.col("__size"))).alias("square"),
+        F.sum(F.when(head, F.col("__chars"))).alias("chars"),
+    )
+
+
 def length_stats(
     df: DataFrame,
     text_col: str = "text",
@@ -77,12 +105,38 @@ def corpus_stats(
 
     A corpus whose documents hold no token has a ratio of 0.
     """
-    lengths = length_stats(df, text_col, corpus_col, tokenizer, max_length)
-    words = vocabulary_stats(
-        token_counts(df, text_col, corpus_col, tokenizer, max_length), corpus_col
+    counts = _one_pass(df, text_col, corpus_col, tokenizer, max_length)
+    document, word = F.col("token").isNull(), F.col("token").isNotNull()
+    docs = F.max(F.when(document, F.col("n")))
+    tokens = F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0))
+    types = F.count("token")
+    once = F.sum(F.when(word & (F.col("n") == 1), 1).otherwise(0))
+    sums = counts.groupBy(corpus_col).agg(
+        docs.alias("n_docs"),
+        F.max("size").alias("__size"),
+        F.max("square").alias("__square"),
+        F.max("chars").alias("__chars"),
+        tokens.alias("n_tokens"),
+        types.alias("n_types"),
+        once.alias("__once"),
+    )
+    mean = F.col("__size") / F.col("n_docs")
+    spread = F.greatest(F.col("__square") / F.col("n_docs") - mean * mean, F.lit(0.0))
+
+    def share(part: str, whole: str) -> Column:
+        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+
+    return sums.select(
+        corpus_col,
+        "n_docs",
+        mean.alias("avg_len_tokens"),
+        F.sqrt(spread).alias("std_len_tokens"),
+        (F.col("__chars") / F.col("n_docs")).alias("avg_len_chars"),
+        "n_tokens",
+        "n_types",
+        share("n_types", "n_tokens").alias("ttr"),
+        share("__once", "n_types").alias("hapax_ratio"),
     )
-    joined = lengths.join(words, corpus_col, "left")
-    return joined.na.fill({"n_tokens": 0, "n_types": 0, "ttr": 0.0, "hapax_ratio": 0.0})
 
 
 def token_stats(

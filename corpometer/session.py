@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -36,6 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the input has fewer splits than there are cores.
+
+    Costly column work on a small file would else run in a task or two. Inputs with a split for
+    every core, which all large ones have, are returned as they are and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    For tables that several later steps read: the work behind them is done once, losing an executor
+    does not repeat it, and the planner sees their real size.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
