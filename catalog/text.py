@@ -16,7 +16,6 @@ from corpometer.functions import text as T
 from corpometer.operators import scoring
 from corpometer.operators.bags import dictionary, encode
 from corpometer.operators.sampling import batches
-from corpometer.operators.stats import document_frequency
 from corpometer.plans import prepare
 
 
@@ -83,8 +82,8 @@ IDS = f"""freq AS (SELECT token, count(*) AS cf FROM (SELECT unnest({sql_space('
 
 
 def _dictionary(docs):
-    frequencies = document_frequency(docs.withColumn("corpus", F.lit("all")), T.space_tokens("text"))
-    return dictionary(frequencies)
+    tokens = docs.select(F.explode(T.space_tokens("text")).alias("token"))
+    return dictionary(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cf")))
 
 
 @query(

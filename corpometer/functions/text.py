@@ -43,7 +43,7 @@ def space_tokens(text) -> Column:
 
 def word_count(text) -> Column:
     """Number of tokens between runs of white space."""
-    return F.regexp_count(_col(text), F.lit(SPACE.replace("[", "[^", 1) + "+")).cast("bigint")
+    return F.size(F.array_remove(F.split(_col(text), SPACE + "+"), "")).cast("bigint")
 
 
 def single_space_count(text) -> Column:
@@ -134,10 +134,10 @@ _DATE_LINE = (
     r"^[\s.|]*(?:PUBLISHED|UPDATED|Published|Updated):[\s.]*(?:\d{1,2}:\d{2}\s*(?:EST|EDT|GMT|BST)?[\s,.]*)?"
     r"\d{1,2}\s+[A-Z][a-z]+\s+\d{4}[\s.|]*"
 )
-_NAME = r"[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'.-]*){1,3}"
+_NAME = r"[A-Z][\p{L}'-]+(?: +[A-Z][\p{L}'.-]*){1,3}"
 BYLINE_PATTERNS: tuple[str, ...] = (
     r"^By\s+\.\s+[^\n.]{1,120}\.\s+",
-    rf"^By\s+{_NAME}(?:\s+and\s+{_NAME})?(?:,\s+CNN)?\s*\n+",
+    rf"^By +{_NAME}(?: +and +{_NAME})?(?:, +CNN)? *\n+",
     _DATE_LINE,
     _DATE_LINE,
     r"^(?:[A-Z][\p{L} .,'-]{0,60})?\(CNN\)\s*(?:--?|—)?\s*",

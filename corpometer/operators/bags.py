@@ -11,13 +11,13 @@ from corpometer.session import stored
 
 
 def dictionary(frequencies: DataFrame, seed=0) -> DataFrame:
-    """Give each distinct token an id from 0, without gaps: ``(token, token_id, df, cf)``.
+    """Give each distinct token an id from 0, without gaps: ``(token, token_id, cf)``.
 
     Ids follow a hash order of the tokens, which spreads the numbering over all tasks. The table
     is stored, since every encoding of texts reads it.
     """
-    ranked = hash_rank(frequencies.select("token", "df", "cf"), seed, id_col="token", name="__rank")
-    return stored(ranked.select("token", (F.col("__rank") - 1).alias("token_id"), "df", "cf"), "dictionary")
+    ranked = hash_rank(frequencies.select("token", "cf"), seed, id_col="token", name="__rank")
+    return stored(ranked.select("token", (F.col("__rank") - 1).alias("token_id"), "cf"), "dictionary")
 
 
 def token_rows(df: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:

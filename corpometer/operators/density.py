@@ -18,8 +18,9 @@ PAIR_CHUNK = 2048  # points whose distances to the grid are held at once
 def value_counts(df: DataFrame, value: Column | str, corpus_col: str = "corpus") -> DataFrame:
     """``(corpus, value, n)``: equal values counted once, before anything else is done with them."""
     expr = F.col(value) if isinstance(value, str) else value
-    named = df.select(corpus_col, expr.cast("double").alias("value")).where(F.col("value").isNotNull())
-    return named.groupBy(corpus_col, "value").agg(F.count(F.lit(1)).alias("n"))
+    # Nulls go by their count: a filter on the value would work the value out a second time.
+    named = df.select(corpus_col, expr.cast("double").alias("value"))
+    return named.groupBy(corpus_col, "value").agg(F.count("value").alias("n")).where("n > 0")
 
 
 def histogram(counts: DataFrame, bins: int = 30, corpus_col: str = "corpus") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach, attach_row
 from corpometer.operators.ranks import running_sums
+from corpometer.session import stored
 
 
 def directions(width: int, n: int = 128, seed: int = 42) -> np.ndarray:
@@ -41,7 +42,8 @@ def project(
                 yield pd.Series(list(stacked @ matrix))
 
     dotted = df.where(F.col(vector_col).isNotNull()).select(*keep, dots(vector_col).alias("__d"))
-    return dotted.select(*keep, F.posexplode("__d").alias("direction", "value"))
+    # The outer form keeps Spark from putting a filter, and with it a second call, before the explode.
+    return dotted.select(*keep, F.posexplode_outer("__d").alias("direction", "value"))
 
 
 def wasserstein_1d(
@@ -61,8 +63,11 @@ def wasserstein_1d(
     """
     names = [reference, *others]
     rows = df.where(F.col(corpus_col).isin(*names))
-    counted = rows.groupBy(*by, F.col(value_col).cast("double").alias("__x")).agg(
-        *[F.sum(F.when(F.col(corpus_col) == c, 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(names)]
+    counted = stored(
+        rows.groupBy(*by, F.col(value_col).cast("double").alias("__x")).agg(
+            *[F.sum(F.when(F.col(corpus_col) == c, 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(names)]
+        ),
+        "value-counts",
     )
     sums = {f"c{i}": F.col(f"n{i}") for i in range(len(names))}
     run = running_sums(counted, "__x", sums, by=by, following="__next", span=span)

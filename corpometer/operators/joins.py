@@ -52,8 +52,8 @@ def attach(
 
 def attach_row(big: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a table that is one row by construction (an ungrouped aggregate)."""
-    keyed = row.withColumn("__one", F.lit(1))
-    return big.withColumn("__one", F.lit(1)).join(F.broadcast(keyed), "__one").drop("__one")
+    values = row.select(F.struct(*row.columns).alias("row")).scalar()
+    return big.withColumns({name: values[name] for name in row.columns})
 
 
 def lookup(

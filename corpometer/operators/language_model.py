@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach_row, lookup
@@ -10,21 +10,17 @@ from corpometer.session import stored
 
 
 def bigrams(tokens: Column) -> Column:
-    """Array of ``(w1, w2)`` of all neighbouring tokens."""
-    return F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
-            lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-        ),
-    ).otherwise(F.array().cast("array<struct<w1:string,w2:string>>"))
+    """Array of ``(w1, w2)`` of all neighbouring tokens; the last token comes with a null ``w2``."""
+    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
+    return F.zip_with(tokens, following, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
 
 
 def bigram_counts(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
     """``(*by, w1, w2, n)``, added up where the documents are read before anything is moved."""
+    # Tokens become a column first, so that a text is split once and not for each use of them.
     return (
-        df.select(*by, F.inline(bigrams(tokens)))
+        df.select(*by, tokens.alias("__t"))
+        .select(*by, F.inline(bigrams(F.col("__t"))))
         .groupBy(*by, "w1", "w2")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -33,34 +29,39 @@ def bigram_counts(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
 def bigram_losses(
     counts: DataFrame,
     train: str,
-    vocabulary: int | DataFrame,
     k: float = 0.1,
+    vocabulary: int | None = None,
     corpus_col: str = "corpus",
 ) -> DataFrame:
-    """``(w1, w2, n, loss)`` for every bigram of any corpus, ``n`` over all corpora.
+    """``(w1, w2, n, loss)`` for every bigram of any corpus, ``n`` added up over corpora.
 
-    The loss is ``-ln((c(w1, w2) + k) / (c(w1) + k * V))`` with counts of the training corpus.
-    ``counts`` is ``(corpus, w1, w2, n)`` and ``vocabulary`` the number ``V`` or a one-row table.
+    ``counts`` is a stored ``(corpus, w1, w2, n)``. The loss is
+    ``-ln((c(w1, w2) + k) / (c(w1) + k * V))`` with the counts of the training corpus and ``V`` its
+    distinct tokens and one for all others.
     """
-    pairs = counts.groupBy("w1", "w2").agg(
-        F.sum(F.when(F.col(corpus_col) == train, F.col("n")).otherwise(0)).alias("__pair"),
-        F.sum("n").alias("n"),
-    )
-    contexts = pairs.groupBy("w1").agg(F.sum("__pair").alias("__context"))
-    joined = pairs.join(contexts, "w1")
-    if isinstance(vocabulary, int):
-        size = F.lit(vocabulary)
-    else:
-        joined = attach_row(joined, vocabulary)
-        size = F.col(vocabulary.columns[0])
-    probability = (F.col("__pair") + F.lit(float(k))) / (F.col("__context") + F.lit(float(k)) * size)
-    return joined.select("w1", "w2", "n", (-F.log(probability)).alias("loss"))
+    trained = _trained(train, corpus_col)
+    pairs = counts.groupBy("w1", "w2").agg(F.sum(trained).alias("__pair"), F.sum("n").alias("n"))
+    return _with_loss(pairs, counts, train, k, vocabulary, corpus_col).select("w1", "w2", "n", "loss")
+
+
+def _trained(train: str, corpus_col: str) -> Column:
+    return F.when(F.col(corpus_col) == train, F.col("n")).otherwise(0)
 
 
-def vocabulary_size(df: DataFrame, tokens: Column, train: str, corpus_col: str = "corpus") -> DataFrame:
-    """Distinct tokens of the training corpus and one for all unknown ones, as a one-row table."""
-    words = df.where(F.col(corpus_col) == train).select(F.explode(tokens).alias("token")).distinct()
-    return words.agg((F.count(F.lit(1)) + 1).alias("vocabulary"))
+def _with_loss(
+    pairs: DataFrame, counts: DataFrame, train: str, k: float, vocabulary: int | None, corpus_col: str
+) -> DataFrame:
+    trained = _trained(train, corpus_col)
+    followed = F.when(F.col("w2").isNotNull(), trained).otherwise(0)
+    contexts = counts.groupBy("w1").agg(F.sum(followed).alias("__context"), F.sum(trained).alias("__seen"))
+    joined = pairs.where(F.col("w2").isNotNull()).join(contexts.drop("__seen"), "w1")
+    if vocabulary is None:
+        known = contexts.agg((F.sum(F.when(F.col("__seen") > 0, 1).otherwise(0)) + 1).alias("__v"))
+        joined, size = attach_row(joined, known), F.col("__v")
+    else:
+        size = F.lit(vocabulary)
+    probability = (F.col("__pair") + F.lit(float(k))) / (F.col("__context") + F.lit(float(k)) * size)
+    return joined.withColumn("loss", -F.log(probability))
 
 
 def corpus_losses(
@@ -68,11 +69,13 @@ def corpus_losses(
 ) -> DataFrame:
     """``(corpus, nll, n_tokens)`` under a bigram model trained on the corpus ``train``.
 
-    Only distinct bigrams are scored, so a frequent one costs a single row per corpus.
+    Only distinct bigrams are scored, so a frequent one costs a single row per corpus; the rows of
+    one bigram, which share a window, are as many as there are corpora.
     """
     counts = stored(bigram_counts(df, tokens, corpus_col), "bigrams")
-    losses = bigram_losses(counts, train, vocabulary_size(df, tokens, train, corpus_col), k, corpus_col)
-    scored = counts.join(losses.select("w1", "w2", "loss"), ["w1", "w2"])
+    same_pair = Window.partitionBy("w1", "w2")
+    pairs = counts.withColumn("__pair", F.sum(_trained(train, corpus_col)).over(same_pair))
+    scored = _with_loss(pairs, counts, train, k, None, corpus_col)
     return scored.groupBy(corpus_col).agg(
         F.sum(F.col("n") * F.col("loss")).alias("nll"), F.sum("n").alias("n_tokens")
     )
@@ -86,18 +89,21 @@ def document_losses(
     id_col: str = "doc_id",
     corpus_col: str = "corpus",
 ) -> DataFrame:
-    """``(corpus, id, nll, n_tokens)``; documents with fewer than two tokens get zeros."""
+    """``(corpus, id, nll, n_tokens)``; documents with fewer than two tokens get zeros.
+
+    A document is one (corpus, id) pair, so corpora may number their documents alike.
+    """
     per_doc = stored(bigram_counts(df, tokens, corpus_col, id_col), "document-bigrams")
-    counts = per_doc.groupBy(corpus_col, "w1", "w2").agg(F.sum("n").alias("n"))
-    losses = bigram_losses(counts, train, vocabulary_size(df, tokens, train, corpus_col), k, corpus_col)
+    counts = stored(per_doc.groupBy(corpus_col, "w1", "w2").agg(F.sum("n").alias("n")), "bigrams")
+    losses = bigram_losses(counts, train, k, corpus_col=corpus_col)
     table = stored(losses.select("w1", "w2", "loss", F.col("n").alias("__all_n")), "losses")
     scored = lookup(per_doc, table, ["w1", "w2"], weight="__all_n", how="inner")
-    sums = scored.groupBy(id_col).agg(
+    sums = scored.groupBy(corpus_col, id_col).agg(
         F.sum(F.col("n") * F.col("loss")).alias("nll"), F.sum("n").alias("n_tokens")
     )
     return (
         df.select(corpus_col, id_col)
-        .join(sums, id_col, "left")
+        .join(sums, [corpus_col, id_col], "left")
         .na.fill({"nll": 0.0, "n_tokens": 0})
     )
 

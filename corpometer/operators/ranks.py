@@ -93,6 +93,8 @@ def first_by_hash(
         .select("__g", F.col("__h").alias("__last_h"), F.col("__id").alias("__last_id"))
     )
     cuts = wanted.join(last, "__g", "left")
+    if not by:
+        return _cut_at(keyed, cuts.first(), id_col, df.columns, flag)
     chosen = (F.col("__size") > 0) & (
         F.col("__last_h").isNull()
         | (F.col("__h") < F.col("__last_h"))
@@ -104,6 +106,20 @@ def first_by_hash(
     return result.where("__keep").select(*df.columns)
 
 
+def _cut_at(keyed: DataFrame, cut, id_col: str, columns: Sequence[str], flag: str | None) -> DataFrame:
+    """Choose rows of a table that is one single group by comparing them with the cut row."""
+    if cut is None or cut["__size"] <= 0:
+        keep = F.lit(False)
+    elif cut["__last_h"] is None:
+        keep = F.lit(True)
+    else:
+        same = F.col("__h") == cut["__last_h"]
+        keep = (F.col("__h") < cut["__last_h"]) | (same & (F.col(id_col) <= F.lit(cut["__last_id"])))
+    if flag:
+        return keyed.withColumn(flag, keep).select(*columns, flag)
+    return keyed.where(keep).select(*columns)
+
+
 def running_sums(
     df: DataFrame,
     order_col: str,

@@ -39,8 +39,9 @@ def word_intervals(
     ``words`` is a distinct ``(corpus, word)`` table, small enough to broadcast as a rule.
     """
     # The size is taken before the explode; after it, it would be worked out again for each token.
+    # The outer explode keeps Spark from adding a filter that would make the tokens a second time.
     sized = df.select(corpus_col, id_col, tokens.alias("__t")).withColumn("__n", F.size("__t"))
-    places = sized.select(corpus_col, id_col, "__n", F.posexplode("__t").alias("__p", "word"))
+    places = sized.select(corpus_col, id_col, "__n", F.posexplode_outer("__t").alias("__p", "word"))
     used = attach(places, words.select(corpus_col, "word"), [corpus_col, "word"], how="inner")
     top = F.greatest(F.col("__n") - width, F.lit(0))
     ranges = used.select(

@@ -25,14 +25,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset.
 
-    The temporary folder is for local sessions only and becomes the session's setting.
+    The temporary folder is for local sessions only and becomes the session's checkpoint folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors can reach.")
-        folder = tempfile.mkdtemp(prefix="corpometer-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpometer-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
