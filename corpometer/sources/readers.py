@@ -85,7 +85,7 @@ def read_csv_tolerant(
     """CSV whose bad lines are skipped: too many fields drops a line, too few fills it with nulls.
 
     Lines are read whole and flagged first; a flagged line is dropped only when it has more fields
-    than the header. All columns are read until then, because the flag depends on them.
+    than the header. Column pruning is off, because the flag depends on all columns.
     """
     strings = [StructField(c, StringType()) for c in columns]
     schema = StructType([*strings, StructField(CORRUPT, StringType())])
@@ -97,6 +97,7 @@ def read_csv_tolerant(
             columnNameOfCorruptRecord=CORRUPT,
             encoding=encoding,
             multiLine=multi_line,
+            columnPruning=False,
             quote='"',
             escape='"',
         )
