@@ -14,6 +14,7 @@ from corpometer.operators.joins import attach
 from corpometer.operators.sampling import batches
 from corpometer.operators.windows import pair_windows, window_totals, word_intervals, word_windows
 from corpometer.plans import evaluate as ev
+from corpometer.session import stored
 
 WIDTH, N_DIRECTIONS = 64, 16
 
@@ -253,7 +254,7 @@ def document_losses(spark, folder):
 )
 def mean_batch_loss(spark, folder):
     losses = lm.document_losses(documents(spark, folder), T.space_tokens("text"), "real")
-    numbered = batches(losses, 15)
+    numbered = batches(stored(losses, "document-losses"), 15)
     kinds = [
         lm.mean_batch_loss(numbered, average=kind).select(F.lit(kind).alias("average"), F.round("loss", 6).alias("loss"))
         for kind in ("macro", "micro")

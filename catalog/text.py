@@ -98,16 +98,16 @@ def token_ids(spark, folder):
 
 @query(
     "pad_mask_labels",
-    f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(input_ids, 1, 256) AS ids FROM coded)
+    f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(input_ids, 1, 1024) AS ids FROM coded)
     SELECT doc_id,
-        array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda i: -1)), ' ') AS input_ids,
-        array_to_string(list_concat(list_transform(ids, lambda i: 1), list_transform(range(256 - len(ids)), lambda i: 0)), ' ') AS attention_mask,
-        array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda i: -100)), ' ') AS labels FROM cut""",
+        array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda i: -1)), ' ') AS input_ids,
+        array_to_string(list_concat(list_transform(ids, lambda i: 1), list_transform(range(1024 - len(ids)), lambda i: 0)), ' ') AS attention_mask,
+        array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda i: -100)), ' ') AS labels FROM cut""",
 )
 def pad_mask_labels(spark, folder):
     docs = texts(spark, folder)
     coded = encode(docs, T.space_tokens("text"), _dictionary(docs))
-    shaped = prepare.padded_ids(coded, 256, pad_id=-1)
+    shaped = prepare.padded_ids(coded, 1024, pad_id=-1)
     return shaped.select(
         "doc_id", *[A.join_longs(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")]
     )
@@ -137,10 +137,10 @@ def pad_to_longest(spark, folder):
 
 @query(
     "training_set",
-    f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(list_transform(input_ids, lambda i: i + 1), 1, 128) AS ids FROM coded)
+    f"""WITH {IDS}, cut AS (SELECT doc_id, list_slice(list_transform(input_ids, lambda i: i + 1), 1, 1024) AS ids FROM coded)
     SELECT doc_id AS id,
-        array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda i: 0)), ' ') AS input_ids,
-        array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda i: -100)), ' ') AS labels,
+        array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda i: 0)), ' ') AS input_ids,
+        array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda i: -100)), ' ') AS labels,
         CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)
             <= ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE) THEN 'eval' ELSE 'train' END AS split FROM cut""",
 )
@@ -149,7 +149,7 @@ def training_set(spark, folder):
     docs = texts(spark, folder)
     outputs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("generated_text"), "lang")
     stacked = outputs.where("lang = 'en'").drop("lang").unionByName(outputs.where("lang <> 'en'").drop("lang"))
-    shaped = prepare.training_set(stacked, _dictionary(docs), length=128)
+    shaped = prepare.training_set(stacked, _dictionary(docs), length=1024)
     return shaped.select(
         "id", A.join_longs(F.col("input_ids")).alias("input_ids"), A.join_longs(F.col("labels")).alias("labels"), "split"
     )

@@ -63,6 +63,8 @@ DF = f"""f AS (SELECT corpus, token, count(DISTINCT doc_id) AS df, count(*) AS c
     n AS (SELECT corpus, count(*) AS n_docs FROM {DOCS} GROUP BY corpus),
     kept AS (SELECT corpus, token, df, cf FROM f JOIN n USING (corpus) WHERE df >= 5 AND df <= floor(n_docs * 0.5::DOUBLE))"""
 
+DF_ALL = DF.replace(DOCS, "(SELECT doc_id, text, 'all' AS corpus FROM documents)")
+
 
 def frequent(docs):
     tokens = T.simple_tokens("text")
@@ -76,30 +78,30 @@ def document_frequency(spark, folder):
 
 @query(
     "bag_of_words",
-    f"""WITH {DF}, ids AS (SELECT token, row_number() OVER (ORDER BY md5('0:' || token), token) - 1 AS token_id FROM kept WHERE corpus = 'real'),
-    c AS (SELECT doc_id, token_id, count(*) AS n FROM (SELECT doc_id, unnest({sql_simple('text')}) AS token FROM {DOCS} WHERE corpus = 'real')
+    f"""WITH {DF_ALL}, ids AS (SELECT token, row_number() OVER (ORDER BY md5('0:' || token), token) - 1 AS token_id FROM kept ),
+    c AS (SELECT doc_id, token_id, count(*) AS n FROM (SELECT doc_id, unnest({sql_simple('text')}) AS token FROM {DOCS})
         JOIN ids USING (token) GROUP BY doc_id, token_id)
     SELECT doc_id, string_agg(token_id || ':' || n, ' ' ORDER BY token_id) AS bag FROM c GROUP BY doc_id""",
 )
 def bag_of_words(spark, folder):
-    real = documents(spark, folder).where("corpus = 'real'")
-    ids = bags.dictionary(frequent(real))
-    bag = bags.bags_of_words(real, T.simple_tokens("text"), ids)
+    docs = texts(spark, folder).withColumn("corpus", F.lit("all"))
+    ids = bags.dictionary(frequent(docs))
+    bag = bags.bags_of_words(docs, T.simple_tokens("text"), ids)
     pairs = F.transform("bag", lambda b: F.concat_ws(":", b["token_id"].cast("string"), b["n"].cast("string")))
     return bag.select("doc_id", F.array_join(pairs, " ").alias("bag"))
 
 
 @query(
     "dictionary_lookup",
-    f"""WITH {DF}, ids AS (SELECT token, row_number() OVER (ORDER BY md5('0:' || token), token) - 1 AS token_id FROM kept WHERE corpus = 'synthetic')
+    f"""WITH {DF_ALL}, ids AS (SELECT token, row_number() OVER (ORDER BY md5('0:' || token), token) - 1 AS token_id FROM kept)
     SELECT doc_id, p AS place, token, token_id FROM
-        (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS p FROM (SELECT doc_id, {sql_simple('text')} AS t FROM {DOCS} WHERE corpus = 'synthetic'))
+        (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS p FROM (SELECT doc_id, {sql_simple('text')} AS t FROM {DOCS}))
     JOIN ids USING (token)""",
 )
 def dictionary_lookup(spark, folder):
-    side = documents(spark, folder).where("corpus = 'synthetic'")
-    ids = bags.dictionary(frequent(side)).select("token", "token_id", "cf")
-    rows = bags.token_rows(side, T.simple_tokens("text"))
+    docs = texts(spark, folder).withColumn("corpus", F.lit("all"))
+    ids = bags.dictionary(frequent(docs))
+    rows = bags.token_rows(docs, T.simple_tokens("text"))
     coded = lookup(rows, ids, ["token"], weight="cf", how="inner")
     return coded.select("doc_id", F.col("place").cast("bigint").alias("place"), "token", "token_id")
 

@@ -162,6 +162,8 @@ def test_sliced_wasserstein_equals_numpy(spark):
         u /= np.linalg.norm(u) + 1e-12
         want.append(brute_w1((real @ u).ravel().tolist(), (made @ u).ravel().tolist()))
     assert got["distances"] == pytest.approx(want) and got["mean_distance"] == pytest.approx(np.mean(want))
+    coarse = distance.sliced_wasserstein(distance.sliced_distances(df, 5, n_projections=6, resolution=0.05)).first()
+    assert coarse["distances"] == pytest.approx(want, abs=0.05)
 
 
 @relaxed
