@@ -16,7 +16,8 @@ def dictionary(frequencies: DataFrame, seed=0) -> DataFrame:
     Ids follow a hash order of the tokens, which spreads the numbering over all tasks. The table
     is stored, since every encoding of texts reads it.
     """
-    ranked = hash_rank(frequencies.select("token", "cf"), seed, id_col="token", name="__rank")
+    counts = stored(frequencies.select("token", "cf"), "token-counts")
+    ranked = hash_rank(counts, seed, id_col="token", name="__rank")
     return stored(ranked.select("token", (F.col("__rank") - 1).alias("token_id"), "cf"), "dictionary")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpometer.operators.joins import attach_row
 from corpometer.operators.ranks import first_by_hash, hash_rank, position
 
+SMALL_SAMPLES = 1_000_000  # (seed, id) rows that fit a broadcast
+
 
 def _constant_sizes(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     if by:
@@ -57,7 +59,9 @@ def repeated_sample_mean(
     ``stats_of(rows, group_col)`` gives one row of numeric statistics per group.
     """
     picked = seeded_samples(df, n, seeds, id_col)
-    per_seed = stats_of(picked.join(df, id_col), "seed")
+    # The samples hold at most n ids per seed; while that is little, the texts need not be shuffled.
+    side = F.broadcast(picked) if n * len(seeds) <= SMALL_SAMPLES else picked
+    per_seed = stats_of(df.join(side, id_col), "seed")
     names = [c for c in per_seed.columns if c != "seed"]
     return per_seed.agg(*[F.avg(c).alias(c) for c in names])
 
