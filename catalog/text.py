@@ -20,7 +20,7 @@ from corpometer.plans import prepare
 
 
 def _tokens(name: str, sql_tokens: str, column):
-    """Two entries per tokeniser would say the same twice, so each lists tokens and their number."""
+    """Register a query that lists the tokens of each document and their number."""
 
     @query(
         name,
