@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import decontaminate, simhash
+from corpometer.llm import decontaminate, quality, simhash, toxicity
 from corpometer.llm.common import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,26 @@ GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles -
 """
 
 
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; the fold of remainder 0 is not learnt from."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, folder, "labels"), folds=5, held_out=0)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages")
+    )
+
+
+@query
+def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; the fold of remainder 1 is not learnt from."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, folder, "labels"), folds=3, held_out=1)
+    return quality.scored(docs, model).select(
+        "doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and the smallest id it is linked to."""
