@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import decontaminate, quality, simhash, toxicity
+from corpometer.llm import decontaminate, pieces, quality, simhash, toxicity
 from corpometer.llm.common import fold_of, read_table
 
+#: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -53,6 +56,13 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Token ids of every document, and whether they spell it again."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, pieces.load_model(model)).drop("text")
+
+
 @query
 def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; the fold of remainder 1 is not learnt from."""
