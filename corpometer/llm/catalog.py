@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import decontaminate, pieces, quality, simhash, toxicity
+from corpometer.llm import decontaminate, nearest, pieces, quality, simhash, toxicity, urls
 from corpometer.llm.common import fold_of, read_table
 
 #: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
@@ -56,6 +56,28 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = read_table(spark, folder, "embeddings")
+    return nearest.nearest(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+ORACLE["op5_nearest_vectors"] = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:
     """Token ids of every document, and whether they spell it again."""
@@ -79,3 +101,18 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(read_table(spark, folder, "documents"))
     text = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+URL_RULES = (
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+)
+
+
+@query
+def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of every page's url; the method's own where no rule fits."""
+    pages = read_table(spark, folder, "pages")
+    return urls.judged(pages, urls.fit(pages, URL_RULES))
