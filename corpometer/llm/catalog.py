@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import decontaminate, nearest, pieces, quality, simhash, toxicity, urls
+from corpometer.llm import decontaminate, licenses, nearest, pieces, quality, simhash, toxicity, urls
 from corpometer.llm.common import fold_of, read_table
 
 #: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
@@ -85,6 +85,25 @@ def op6_sentencepiece(spark: SparkSession, folder: str, model: str = PIECE_MODEL
     return pieces.encoded(docs, pieces.load_model(model)).drop("text")
 
 
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of the fixed phrases in every document, and the labels of phrases and rules."""
+    found = licenses.scanned(read_table(spark, folder, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda b: b["first"])
+    own, added = F.transform("base", lambda b: b["label"]), F.transform("detections", lambda d: d["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined(own).alias("base_labels"),
+        joined(F.concat(own, added)).alias("labels"),
+        "score",
+    )
+
+
 @query
 def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; the fold of remainder 1 is not learnt from."""
