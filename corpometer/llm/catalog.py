@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import decontaminate, licenses, nearest, pieces, quality, simhash, toxicity, urls
+from corpometer.llm import chat, decontaminate, licenses, nearest, pieces, quality, simhash, toxicity, urls
 from corpometer.llm.common import fold_of, read_table
 
 #: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
@@ -56,6 +56,45 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations, and of one whose texts are control strings, read back from the examples."""
+    conversations = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    return chat.read_back(chat.expanded(conversations.unionByName(control)))
+
+
+ORACLE["op4_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + length(text) + 8
+    + len(regexp_extract_all(role || ' ' || text, '<\\*(\||/s>|s>)')) + len(regexp_extract_all(role || ' ' || text, '\|\\*>'))
+    + len(regexp_extract_all(role || ' ' || text, '\[\\*/?INST\]')) AS chars
+  FROM turns
+), run AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS so_far FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  CAST(coalesce(sum(so_far) FILTER (role = 'assistant'), 0) AS BIGINT) AS expanded_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
+FROM run GROUP BY conv_id
+"""
+
+
 @query
 def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""

@@ -58,7 +58,7 @@ def labelled_sample(
 
 
 def with_columns_from(
-    df: DataFrame, text: str, added: str, score: Callable[[list[str | None]], list[pa.Array]], chars: int = 4_000_000
+    df: DataFrame, text: str, added: str, score: Callable[[list[str | None]], list[pa.Array]], chars: int = 2_000_000
 ) -> DataFrame:
     """``df`` and new columns worked out from whole texts, a bounded number of characters at a time.
 

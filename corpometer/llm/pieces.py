@@ -8,6 +8,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +22,8 @@ from corpometer.llm.common import with_columns_from
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
+WORDS_AT_ONCE = 5_000
 
 
 @dataclass
@@ -87,7 +89,7 @@ def parse_model(data: bytes) -> PieceModel:
     return model
 
 
-def build_tokenizer(model: PieceModel) -> Tokenizer:
+def build_tokenizer(model: PieceModel, cache: int = 10_000) -> Tokenizer:
     """The tokenizer that gives the model's ids.
 
     A unigram model keeps its scores. A BPE model's merges are all splits of a piece into two pieces,
@@ -109,7 +111,7 @@ def build_tokenizer(model: PieceModel) -> Tokenizer:
         token = None if unknown is None else model.pieces[unknown][0]
         core = models.BPE(
             vocab=ids, merges=[x[-1] for x in sorted(splits)], unk_token=token, fuse_unk=True,
-            byte_fallback=model.byte_fallback, cache_capacity=50_000,
+            byte_fallback=model.byte_fallback, cache_capacity=cache,
         )
     tokenizer = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -144,19 +146,22 @@ class Encoder:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model, self.cached = model, cached
-        self.tokenizer = build_tokenizer(model)
         self.by_word = cuts_at_marks(model) and not model.charsmap and not model.trim_spaces and model.dummy_prefix
         self.known: dict[str, bytes] = {}
         self.units = re.compile(f"{MARK}+[^{MARK}]*")
         if self.by_word:
             # Words are handed over with their marker, so the copy for words does not normalise.
-            self.words = build_tokenizer(model)
+            self.words = build_tokenizer(model, cache=0)
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = pre_tokenizers.Sequence([])
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces
         ]
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return build_tokenizer(self.model)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as int32; a null or empty text has none."""
         texts = [t or "" for t in texts]
@@ -167,8 +172,10 @@ class Encoder:
         if len(self.known) + len(seen) > self.cached:
             self.known.clear()
         new = [w for w in seen if w not in self.known]
-        for word, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("i", e.ids).tobytes()
+        for low in range(0, len(new), WORDS_AT_ONCE):
+            some = new[low : low + WORDS_AT_ONCE]
+            for word, e in zip(some, self.words.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[word] = array("i", e.ids).tobytes()
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, ws)), dtype=np.int32) for ws in split]
 
@@ -207,4 +214,4 @@ def encoded(docs: DataFrame, model: PieceModel, text: str = "text", threads: int
         return [pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sizes), pa.array(same)]
 
     encoders: list[Encoder] = []
-    return with_columns_from(docs, text, "ids array<int>, n_tokens bigint, round_trip boolean", score)
+    return with_columns_from(docs, text, "ids array<int>, n_tokens bigint, round_trip boolean", score, chars=1_000_000)

@@ -177,8 +177,12 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
     groups = _with_components(rows, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Of the fingerprints that hold the smallest id, one stays; in most components there is but one.
-    keep = groups.groupBy("component_id", "doc_id").agg(F.min("fingerprint").alias("keep"))
-    nulls = groups.where("component_id is null").select(F.lit(None).cast("long").alias("k_id"), F.col("fingerprint").alias("k_fp")).distinct()
-    keep = keep.where("component_id is not null").select(F.col("doc_id").alias("k_id"), F.col("keep").alias("k_fp")).union(nulls)
-    kept = marked.join(keep, marked.doc_id.cast("long").eqNullSafe(keep.k_id) & (F.col("__fingerprint") == F.col("k_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fingerprint"]).select(*docs.columns)
+    named = groups.where("component_id is not null").groupBy("component_id").agg(F.min("fingerprint").alias("k_fp"))
+    keep = named.select(F.col("component_id").alias("k_id"), "k_fp")
+    keep = keep.union(groups.where("component_id is null").select(F.col("component_id").alias("k_id"), F.col("fingerprint").alias("k_fp")).distinct())
+    same = (F.col("__fingerprint") == F.col("k_fp")) & marked.doc_id.cast("long").eqNullSafe(F.col("k_id"))
+    kept = marked.join(stored(keep, "keep"), same, "left_semi")
+    # Where no row comes twice, the kept texts are not moved once more to look for repeats.
+    if not rows.groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__fingerprint"])
+    return kept.select(*docs.columns)

@@ -28,6 +28,7 @@ DRIFT = 0.1
 STEMS = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
 ADDED = ("score", "predicted", "passages")
+CACHED_WORDS = 200_000
 EULER = 0.5772156649015329
 
 
@@ -54,7 +55,7 @@ class Scores(dict):
         self.odds = odds
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         self[word] = value = max((self.odds[u] for u in units_of(word) if u in self.odds), default=0.0) - DRIFT
         return value
