@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import chat, decontaminate, licenses, nearest, pieces, quality, simhash, toxicity, urls
+from corpometer.llm import chat, decontaminate, licenses, logbilinear, nearest, pieces, quality, simhash, toxicity, urls
 from corpometer.llm.common import fold_of, read_table
 
 #: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
@@ -56,6 +56,17 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under the model and the unigram base; the fold of remainder 2 is not learnt from."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    found, total = logbilinear.scored_from(docs, docs.where(~held_out))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
