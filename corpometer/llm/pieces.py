@@ -24,6 +24,10 @@ UNIGRAM, BPE = 1, 2
 MARK = "▁"
 CACHED_WORDS = 150_000
 WORDS_AT_ONCE = 5_000
+# Ways to cut a text that starts with a marker into units, the finest first: markers and then a run of
+# Latin letters and digits or of other characters; markers and all up to the next marker.
+LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+CUTS = (f"{MARK}*[{LATIN}]+|{MARK}*[^{LATIN}{MARK}]+|{MARK}+", f"{MARK}+[^{MARK}]*")
 
 
 @dataclass
@@ -122,33 +126,44 @@ def build_tokenizer(model: PieceModel, cache: int = 10_000) -> Tokenizer:
     if model.mark_spaces:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if cuts_at_marks(model):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
+    if _cut_at_marks(model):
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(CUTS[-1]), "isolated")
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
     return tokenizer
 
 
-def cuts_at_marks(model: PieceModel) -> bool:
-    """Whether no piece holds a marker after another character, so that words can be encoded apart."""
+def _cut_at_marks(model: PieceModel) -> bool:
     return model.mark_spaces and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
 
 
+def unit_pattern(model: PieceModel) -> str | None:
+    """The finest way of cutting that no piece crosses, so that units can be encoded apart; None if none is."""
+    if not model.mark_spaces:
+        return None
+    long = [p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED) and len(p) > 1]
+    for cut in CUTS[:-1]:
+        if all(map(re.compile(cut).fullmatch, long)):
+            return cut
+    return CUTS[-1] if _cut_at_marks(model) else None
+
+
 class Encoder:
     """Encodes and decodes batches of texts with the ids of one model.
 
-    Where words can be encoded apart and the normaliser is the identity, each word is encoded once and
-    its ids are kept, up to ``cached`` words. New words of a batch go to the tokenizer together, which
-    works on them with ``threads`` threads. Any other model encodes whole texts.
+    Where words can be encoded apart (see :func:`unit_pattern`) and the normaliser is the identity, each
+    word is encoded once and its ids are kept, up to ``cached`` words. New words go to the tokenizer in
+    batches, which it works on with ``threads`` threads. Any other model encodes whole texts.
     """
 
     def __init__(self, model: PieceModel, threads: int = 2, cached: int = CACHED_WORDS):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model, self.cached = model, cached
-        self.by_word = cuts_at_marks(model) and not model.charsmap and not model.trim_spaces and model.dummy_prefix
+        pattern = unit_pattern(model)
+        self.by_word = pattern is not None and not model.charsmap and not model.trim_spaces and model.dummy_prefix
         self.known: dict[str, bytes] = {}
-        self.units = re.compile(f"{MARK}+[^{MARK}]*")
+        self.units = re.compile(pattern or "")
         if self.by_word:
             # Words are handed over with their marker, so the copy for words does not normalise.
             self.words = build_tokenizer(model, cache=0)
