@@ -22,9 +22,9 @@ BUCKETS = 128
 WORDS = 1024 - BUCKETS - 1
 HOT = 100_000
 WIDTH = 16
-NOISE = 24
+NOISE = 48
 BATCH = 8_192
-RATE = 0.08
+RATE = 0.02
 FLUSH = 300_000
 
 

@@ -188,8 +188,9 @@ def _spread(bins: np.ndarray, values: np.ndarray) -> np.ndarray:
 def document_measures(field: LineField, lines: Lines) -> np.ndarray:
     """Per text: the log-odds of the length-weighted share of bad lines, and the log of their bytes."""
     marginal, _ = forward_backward(field, lines)
-    bad, size = np.concatenate([[0], np.cumsum(marginal * lines.sizes)]), np.concatenate([[0], np.cumsum(lines.sizes)])
-    bad, size = np.diff(bad[lines.starts]), np.diff(size[lines.starts])
+    texts = len(lines.starts) - 1
+    owner = np.repeat(np.arange(texts), np.diff(lines.starts))
+    bad, size = (np.bincount(owner, weights=w, minlength=texts) for w in (marginal * lines.sizes, lines.sizes))
     share = (np.maximum(bad, 0) + 1e-3) / (size + 2e-3)
     return np.stack([np.log(share / np.maximum(1 - share, 1e-9)), np.log1p(np.maximum(bad, 0))], axis=1)
 
