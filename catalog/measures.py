@@ -16,7 +16,7 @@ from corpometer.operators.windows import pair_windows, window_totals, word_inter
 from corpometer.plans import evaluate as ev
 from corpometer.session import stored
 
-WIDTH, N_DIRECTIONS = 64, 16
+WIDTH, N_DIRECTIONS = 64, 128
 
 
 def _directions_sql() -> str:
@@ -128,7 +128,7 @@ def embedding_density_grid(spark, folder):
     points = embeddings(spark, folder).select(
         "corpus", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")
     )
-    return rounded(density.density_grid(points, points=20), "x", "y", "density")
+    return rounded(density.density_grid(points, points=40), "x", "y", "density")
 
 
 # --- windows and coherence ---
@@ -137,7 +137,7 @@ TOKENS = f"toks AS (SELECT corpus, doc_id, lang, {sql_simple('text')} AS tokens
 TOPICS = """docfreq AS (SELECT corpus, lang AS topic, word, count(*) AS weight FROM
         (SELECT corpus, lang, doc_id, unnest(list_distinct(tokens)) AS word FROM toks) GROUP BY corpus, lang, word),
     topics AS (SELECT corpus, topic, word, rank FROM (SELECT corpus, topic, word,
-        row_number() OVER (PARTITION BY corpus, topic ORDER BY weight DESC, word) AS rank FROM docfreq) WHERE rank <= 10),
+        row_number() OVER (PARTITION BY corpus, topic ORDER BY weight DESC, word) AS rank FROM docfreq) WHERE rank <= 20),
     words AS (SELECT DISTINCT corpus, word FROM topics)"""
 ISLANDS = """occ AS (SELECT corpus, doc_id, len(tokens) AS n, unnest(tokens) AS word, generate_subscripts(tokens, 1) - 1 AS p FROM toks),
     rng AS (SELECT corpus, doc_id, word, greatest(p - 109, 0) AS a, least(p, greatest(n - 110, 0)) AS b FROM occ JOIN words USING (corpus, word)),
@@ -156,7 +156,7 @@ ISLANDS = """occ AS (SELECT corpus, doc_id, len(tokens) AS n, unnest(tokens) AS
 def _topics(docs, tokens):
     once = docs.select("corpus", F.col("lang").alias("topic"), F.explode(F.array_distinct(tokens)).alias("word"))
     weights = once.groupBy("corpus", "topic", "word").agg(F.count(F.lit(1)).alias("weight"))
-    return co.top_words(weights, 10)
+    return co.top_words(weights, 20)
 
 
 @query("topic_top_words", f"WITH {TOKENS}, {TOPICS} SELECT corpus, topic, rank, word FROM topics")
@@ -207,12 +207,12 @@ def mean_coherence(spark, folder):
 
 # --- language model ---
 
-def loss_sql(source: str, tokens: str, name: str = "d") -> str:
+def loss_sql(source: str, tokens: str, name: str = "d", train: str = "real") -> str:
     return f"""{name} AS (SELECT corpus, doc_id, {tokens} AS t FROM {source}),
     big AS (SELECT corpus, doc_id, unnest(list_slice(t, 1, len(t) - 1)) AS w1, unnest(list_slice(t, 2, len(t))) AS w2 FROM {name} WHERE len(t) > 1),
-    pc AS (SELECT w1, w2, count(*) AS n FROM big WHERE corpus = 'real' GROUP BY w1, w2),
+    pc AS (SELECT w1, w2, count(*) AS n FROM big WHERE corpus = '{train}' GROUP BY w1, w2),
     uc AS (SELECT w1, sum(n) AS n FROM pc GROUP BY w1),
-    vocab AS (SELECT count(DISTINCT token) + 1 AS v FROM (SELECT unnest(t) AS token FROM {name} WHERE corpus = 'real')),
+    vocab AS (SELECT count(DISTINCT token) + 1 AS v FROM (SELECT unnest(t) AS token FROM {name} WHERE corpus = '{train}')),
     scored AS (SELECT corpus, doc_id, -ln((coalesce(pc.n, 0) + 0.1::DOUBLE) / (coalesce(uc.n, 0) + 0.1::DOUBLE * v)) AS loss
         FROM big LEFT JOIN pc USING (w1, w2) LEFT JOIN uc USING (w1), vocab)"""
 
@@ -288,13 +288,13 @@ def running_time(spark, folder):
 
 @query(
     "time_left",
-    f"""SELECT model, batch_id, done, n - done AS remaining, round(total_time / done * (n - done) + 1e-7, 6) AS seconds_left FROM ({RUN})""",
+    f"""SELECT model, batch_id, done, n - done AS remaining, CAST(round(total_time * (n - done), 6) AS DECIMAL(28, 6)) AS left_times_done FROM ({RUN})""",
 )
 def time_left(spark, folder):
-    """Shares of 1/128 and the like end in a 5 that the engines round apart; both sides step past it."""
+    """The time left times the rows done, which has an end in decimals where the time left may have none."""
     left = timing.time_left(generation_log(spark, folder))
-    nudged = (F.col("seconds_left") + 1e-7).alias("seconds_left")
-    return rounded(left.select("model", "batch_id", "done", "remaining", nudged), "seconds_left")
+    exact = F.round(F.col("seconds_left") * F.col("done"), 6).cast("decimal(28,6)").alias("left_times_done")
+    return left.select("model", "batch_id", "done", "remaining", exact)
 
 
 # --- reports ---
@@ -393,16 +393,17 @@ EVALUATION = stats_sql(
     + " UNION ALL ".join(
         f"SELECT corpus, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM stats" for m in ("n_docs", *STATS)
     )
-    + "), cutd AS (SELECT corpus, doc_id, list_slice(tokens, 1, 1024) AS tokens FROM d)",
+    + """), parts AS (SELECT CASE WHEN corpus = 'real' AND substr(md5('42:' || doc_id), 1, 8) >= '1999999a' THEN 'training' ELSE corpus END AS corpus,
+        doc_id, tokens FROM d)""",
 )
 
 
 @query(
     "evaluation_report",
     EVALUATION
-    + f""", {loss_sql('cutd', 'tokens', 'cut_tokens')}, dist AS (WITH {W1} SELECT * FROM d)
+    + f""", {loss_sql('parts', 'tokens', 'part_tokens', 'training')}, dist AS (WITH {W1} SELECT * FROM d)
     SELECT corpus, metric, round(value, 6) AS value FROM (SELECT * FROM long
-    UNION ALL SELECT corpus, 'perplexity', exp(sum(loss) / count(*)) FROM scored GROUP BY corpus
+    UNION ALL SELECT corpus, 'perplexity', exp(sum(loss) / count(*)) FROM scored WHERE corpus <> 'training' GROUP BY corpus
     UNION ALL SELECT corpus, 'wasserstein', avg(distance) FROM dist GROUP BY corpus)""",
 )
 def evaluation_report(spark, folder):

@@ -41,17 +41,17 @@ def unseeded_sample(spark, folder):
     "capped_per_label",
     """SELECT vec_id, label FROM (SELECT vec_id, label,
        row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS r FROM embeddings)
-       WHERE r <= 20""",
+       WHERE r <= 1000""",
 )
 def capped_per_label(spark, folder):
-    return sp.sample_per_label(table(spark, folder, "embeddings").select("vec_id", "label"), "label", 20, id_col="vec_id")
+    return sp.sample_per_label(table(spark, folder, "embeddings").select("vec_id", "label"), "label", 1000, id_col="vec_id")
 
 
 @query(
     "bootstrap_stats",
-    f"""WITH d AS (SELECT doc_id, text, list_slice({sql_space('text')}, 1, 2048) AS tokens FROM {DOCS} WHERE corpus = 'real'),
+    f"""WITH d AS (SELECT doc_id, text, {sql_space('text')} AS tokens FROM {DOCS} WHERE corpus = 'real'),
     picked AS (SELECT seed, doc_id FROM (SELECT seed, doc_id, row_number() OVER (PARTITION BY seed
-        ORDER BY md5(seed || ':' || doc_id), doc_id) AS r FROM d, (SELECT unnest(range(10)) AS seed)) WHERE r <= 100),
+        ORDER BY md5(seed || ':' || doc_id), doc_id) AS r FROM d, (SELECT unnest(range(10)) AS seed)) WHERE r <= 1000),
     lens AS (SELECT seed, avg(len(tokens)) AS a, stddev_pop(len(tokens)) AS s, avg(length(text)) AS c
         FROM picked JOIN d USING (doc_id) GROUP BY seed),
     counts AS (SELECT seed, token, count(*) AS n FROM (SELECT seed, unnest(tokens) AS token FROM picked JOIN d USING (doc_id))
@@ -63,7 +63,7 @@ def capped_per_label(spark, folder):
 def bootstrap_stats(spark, folder):
     real = documents(spark, folder).where("corpus = 'real'").select("doc_id", "text")
     mean = sp.repeated_sample_mean(
-        lambda rows, group: stats.token_stats(rows, corpus_col=group), real, 100, list(range(10))
+        lambda rows, group: stats.token_stats(rows, corpus_col=group), real, 1000, list(range(10))
     )
     names = ("avg_len_tokens", "std_len_tokens", "avg_len_chars", "ttr", "hapax_ratio")
     return rounded(mean.select(*names), *names)
@@ -116,6 +116,43 @@ def batch_numbers(spark, folder):
     return attach_row(sp.batches(docs, 15), docs.agg(sp.batch_count(F.count(F.lit(1)), 15).alias("n_batches")))
 
 
+TEXT_IDS = "(SELECT concat('id-', md5(CAST(doc_id AS VARCHAR))) AS uuid, lang FROM documents)"
+
+
+def text_ids(spark, folder):
+    return table(spark, folder, "documents").select(F.concat(F.lit("id-"), F.md5(F.col("doc_id").cast("string"))).alias("uuid"), "lang")
+
+
+@query("batch_numbers_text_id", f"SELECT uuid, (row_number() OVER (ORDER BY uuid) - 1) // 15 AS batch_id FROM {TEXT_IDS}")
+def batch_numbers_text_id(spark, folder):
+    return sp.batches(text_ids(spark, folder).select("uuid"), 15, "uuid")
+
+
+@query("seeded_sample_text_id", f"SELECT uuid, lang FROM {TEXT_IDS} ORDER BY md5('42:' || uuid), uuid LIMIT 400")
+def seeded_sample_text_id(spark, folder):
+    return sp.sample_exact(text_ids(spark, folder), 400, id_col="uuid")
+
+
+@query(
+    "batch_numbers_large_id",
+    "SELECT big_id, (row_number() OVER (ORDER BY big_id) - 1) // 15 AS batch_id FROM (SELECT doc_id + 1152921504606846976 AS big_id FROM documents)",
+)
+def batch_numbers_large_id(spark, folder):
+    ids = table(spark, folder, "documents").select((F.col("doc_id") + F.lit(2**60)).alias("big_id"))
+    return sp.batches(ids, 15, "big_id")
+
+
+@query(
+    "seeded_sample_shared_ids",
+    """SELECT kind, id FROM (SELECT 'document' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'vector', vec_id FROM embeddings)
+       ORDER BY md5('42:' || kind || ':' || id), kind, id LIMIT 300""",
+)
+def seeded_sample_shared_ids(spark, folder):
+    docs = table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"))
+    vectors = table(spark, folder, "embeddings").select(F.lit("vector").alias("kind"), F.col("vec_id").alias("id"))
+    return sp.sample_exact(docs.unionByName(vectors), 300, id_col=["kind", "id"])
+
+
 @query(
     "owner_shares",
     """SELECT doc_id, list_extract(['ana', 'ben', 'cem'], CAST(ntile(3) OVER (ORDER BY doc_id) AS INTEGER)) AS person

@@ -29,9 +29,9 @@ def corpus_stats(spark, folder):
     return rounded(stats.corpus_stats(documents(spark, folder)), *STATS)
 
 
-@query("token_stats", stats_sql(f"list_slice({sql_space('text')}, 1, 2048)", "SELECT * FROM stats"))
+@query("token_stats", stats_sql(sql_space('text'), "SELECT * FROM stats"))
 def token_stats(spark, folder):
-    return rounded(stats.token_stats(documents(spark, folder), max_length=4096), *STATS)
+    return rounded(stats.token_stats(documents(spark, folder)), *STATS)
 
 
 _LONG = " UNION ALL ".join(f"SELECT corpus, '{m}' AS metric, {m} AS value FROM stats" for m in STATS)
@@ -40,7 +40,7 @@ _LONG = " UNION ALL ".join(f"SELECT corpus, '{m}' AS metric, {m} AS value FROM s
 @query(
     "side_by_side_stats",
     stats_sql(
-        f"list_slice({sql_space('text')}, 1, 2048)",
+        sql_space('text'),
         f""", long AS ({_LONG}) SELECT metric, max(CASE corpus WHEN 'real' THEN value END) AS "real",
         max(CASE corpus WHEN 'synthetic' THEN value END) AS synthetic FROM long GROUP BY metric""",
     ),

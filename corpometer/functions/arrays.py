@@ -9,9 +9,10 @@ CONTEXT_LIMIT = 2048  # tokens a model of the measured kind can take in
 IGNORED_LABEL = -100  # label value that a loss leaves out
 
 
-def truncate(tokens: Column, length: int, context: int = CONTEXT_LIMIT) -> Column:
-    """The first ``min(length, context)`` tokens."""
-    return F.slice(tokens, 1, min(int(length), context))
+def truncate(tokens: Column, length: int | None, context: int | None = CONTEXT_LIMIT) -> Column:
+    """The first ``length`` tokens, and of those no more than ``context``; None sets no limit."""
+    limits = [int(n) for n in (length, context) if n is not None]
+    return F.slice(tokens, 1, min(limits)) if limits else tokens
 
 
 def pad(ids: Column, length, pad_id: int = 0) -> Column:

@@ -1,8 +1,8 @@
 """Exact ranks and running sums over groups of any size.
 
 A window function over one group runs in one task, which fails when a group holds a third of all
-rows. The functions here cut every group into value ranges first: each range is ranked or summed
-by itself, and a small table of range totals gives what comes before it.
+rows. The functions here cut every group into ranges first, of a hash or of the order itself: each
+range is ranked or summed by itself, and a small table of range totals gives what comes before it.
 """
 
 from __future__ import annotations
@@ -14,15 +14,21 @@ from pyspark.sql import functions as F
 
 from corpometer.functions.keys import order_key
 from corpometer.operators.joins import attach, bounded, group_key
+from corpometer.session import stored
 
 HASH_DIGITS = 4  # 65,536 hash ranges per group
-FANOUT = 1024  # 1,024 coarse ranges of 1,024 fine ranges each
+REPEATED = "rows of a group share their id, so no exact number of them can be chosen; name all columns that make the id"
 
 
 def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def id_columns(id_col: str | Sequence[str]) -> list[str]:
+    """The columns that make a row's id: one, or several where tables with their own numbers are in one."""
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
 def _hash_ranges(df: DataFrame, by: Sequence[str], seed, id_cols: Sequence[str]) -> DataFrame:
     return df.withColumns(
         {"__g": group_key(*by), "__h": order_key(seed, *id_cols)}
@@ -32,16 +38,18 @@ def _hash_ranges(df: DataFrame, by: Sequence[str], seed, id_cols: Sequence[str])
 def hash_rank(
     df: DataFrame,
     seed,
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
     by: Sequence[str] = (),
     name: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
     """Add each row's place (from 1) within its group in the seed's hash order.
 
-    With ``total``, also add the number of rows in the group.
+    With ``total``, also add the number of rows in the group. Rows that share all columns of the id
+    take neighbouring places in any order.
     """
-    keyed = _hash_ranges(df, by, seed, [id_col])
+    ids = id_columns(id_col)
+    keyed = _hash_ranges(df, by, seed, ids)
     counts = keyed.groupBy("__g", "__r").agg(F.count(F.lit(1)).alias("__n"))
     ranges = Window.partitionBy("__g")
     columns = [
@@ -50,7 +58,7 @@ def hash_rank(
     if total:
         columns.append(F.sum("__n").over(ranges).alias(total))
     offsets = counts.select("__g", "__r", *columns)
-    inner = Window.partitionBy("__g", "__r").orderBy("__h", id_col)
+    inner = Window.partitionBy("__g", "__r").orderBy("__h", *ids)
     ranked = keyed.withColumn("__i", F.row_number().over(inner))
     placed = ranked.join(offsets, ["__g", "__r"]).withColumn(
         name, (F.col("__before") + F.col("__i")).cast("bigint")
@@ -62,7 +70,7 @@ def first_by_hash(
     df: DataFrame,
     sizes: DataFrame,
     seed,
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
     by: Sequence[str] = (),
     flag: str | None = None,
 ) -> DataFrame:
@@ -70,10 +78,12 @@ def first_by_hash(
 
     ``sizes`` has the group columns and ``size``; a group it does not name keeps nothing. With
     ``flag`` all rows stay and a boolean column tells which ones were chosen. The rows themselves
-    are not moved: the id columns alone give the hash at which each group is cut.
+    are not moved: the id columns alone give the hash at which each group is cut. ``id_col`` names
+    all columns that tell a group's rows apart; a cut between rows that share them all is an error.
     """
-    keyed = _hash_ranges(df, by, seed, [id_col])
-    ids = keyed.select("__g", "__r", "__h", F.col(id_col).alias("__id"))
+    names = id_columns(id_col)
+    keyed = _hash_ranges(df, by, seed, names)
+    ids = keyed.select("__g", "__r", "__h", F.struct(*names).alias("__id"))
     wanted = sizes.select(group_key(*by).alias("__g"), F.col("size").alias("__size"))
     local = bounded(wanted)
     wanted = wanted if local is None else local
@@ -88,33 +98,35 @@ def first_by_hash(
     within = Window.partitionBy("__g", "__r").orderBy("__h", "__id")
     last = (
         attach(ids, edge, ["__g", "__r"], how="inner")
-        .withColumn("__i", F.row_number().over(within))
+        .withColumns({"__i": F.row_number().over(within), "__next": F.lead("__id").over(within)})
         .where(F.col("__i") == F.col("__left"))
-        .select("__g", F.col("__h").alias("__last_h"), F.col("__id").alias("__last_id"))
+        .select("__g", F.col("__h").alias("__last_h"), F.col("__id").alias("__last_id"), (F.col("__next") == F.col("__id")).alias("__torn"))
     )
     cuts = wanted.join(last, "__g", "left")
     if not by:
-        return _cut_at(keyed, cuts.first(), id_col, df.columns, flag)
-    chosen = (F.col("__size") > 0) & (
-        F.col("__last_h").isNull()
-        | (F.col("__h") < F.col("__last_h"))
-        | ((F.col("__h") == F.col("__last_h")) & (F.col(id_col) <= F.col("__last_id")))
-    )
-    result = attach(keyed, cuts, ["__g"]).withColumn("__keep", F.coalesce(chosen, F.lit(False)))
+        return _cut_at(keyed, cuts.first(), names, df.columns, flag)
+    before = (F.col("__h") < F.col("__last_h")) | ((F.col("__h") == F.col("__last_h")) & (F.struct(*names) <= F.col("__last_id")))
+    chosen = (F.col("__size") > 0) & (F.col("__last_h").isNull() | before)
+    checked = F.when(F.col("__torn"), F.raise_error(F.lit(REPEATED)).cast("boolean")).otherwise(chosen)
+    result = attach(keyed, cuts, ["__g"]).withColumn("__keep", F.coalesce(checked, F.lit(False)))
     if flag:
         return result.withColumn(flag, F.col("__keep")).select(*df.columns, flag)
     return result.where("__keep").select(*df.columns)
 
 
-def _cut_at(keyed: DataFrame, cut, id_col: str, columns: Sequence[str], flag: str | None) -> DataFrame:
+def _cut_at(keyed: DataFrame, cut, names: Sequence[str], columns: Sequence[str], flag: str | None) -> DataFrame:
     """Choose rows of a table that is one single group by comparing them with the cut row."""
+    if cut is not None and cut["__torn"]:
+        raise ValueError(REPEATED)
     if cut is None or cut["__size"] <= 0:
         keep = F.lit(False)
     elif cut["__last_h"] is None:
         keep = F.lit(True)
     else:
+        kinds = {f.name: f.dataType for f in keyed.schema.fields}
+        last = F.struct(*[F.lit(cut["__last_id"][n]).cast(kinds[n]).alias(n) for n in names])
         same = F.col("__h") == cut["__last_h"]
-        keep = (F.col("__h") < cut["__last_h"]) | (same & (F.col(id_col) <= F.lit(cut["__last_id"])))
+        keep = (F.col("__h") < cut["__last_h"]) | (same & (F.struct(*names) <= last))
     if flag:
         return keyed.withColumn(flag, keep).select(*columns, flag)
     return keyed.where(keep).select(*columns)
@@ -127,74 +139,41 @@ def running_sums(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     following: str | None = None,
-    span: tuple[float, float] | None = None,
-    fanout: int = FANOUT,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Add running sums up to and including each row, in the order of a numeric column.
+    """Add running sums up to and including each row, in the order of a column of any type with an order.
 
-    ``following`` also adds the next value of the order column in the group. Rows that share a
-    value are taken in the order of ``ties``; group equal values first where there are many.
-    ``span`` gives limits that hold all values and saves the pass that looks for them.
+    Nulls come first. ``following`` also adds the next value of the order column in the group. Rows
+    that share a value are taken in the order of ``ties``; group equal values first where there are
+    many. Rows are dealt into ``ranges`` (one for each shuffle partition) of the order of group and
+    value, at borders that Spark samples, so neither a large group nor an outlier fills one task. The
+    dealt rows are written once, as their range is read twice.
     """
     names = list(sums)
-    rows = df.withColumns(
-        {
-            "__g": group_key(*by),
-            "__v": F.col(order_col).cast("double"),
-            **{f"__s_{n}": expr for n, expr in sums.items()},
-        }
-    )
-    fine = F.when(
-        F.col("__hi") > F.col("__lo"),
-        F.least(
-            F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * float(fanout**2)),
-            F.lit(fanout**2 - 1),
-        ),
-    ).otherwise(F.lit(0))
-    if span is None:
-        ends = rows.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        rows = attach(rows, ends, ["__g"])
-    else:
-        rows = rows.withColumns({"__lo": F.lit(float(span[0])), "__hi": F.lit(float(span[1]))})
-    rows = rows.withColumn("__fine", fine.cast("bigint")).drop("__lo", "__hi")
-    parts = [F.sum(f"__s_{n}").alias(f"__s_{n}") for n in names] + [F.min("__v").alias("__first")]
-    fines = rows.groupBy("__g", "__fine").agg(*parts).withColumn(
-        "__coarse", F.floor(F.col("__fine") / fanout).cast("bigint")
-    )
-    coarses = fines.groupBy("__g", "__coarse").agg(
-        *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in names], F.min("__first").alias("__first")
-    )
-
-    def totals_before(table, window, prefix):
-        return table.select(
-            "__g",
-            *([c for c in ("__coarse", "__fine") if c in table.columns]),
-            *[F.sum(f"__s_{n}").over(_before(window)).alias(f"{prefix}_{n}") for n in names],
-            F.lead("__first").over(window).alias(f"{prefix}_next"),
-        )
-
-    coarse_before = totals_before(coarses, Window.partitionBy("__g").orderBy("__coarse"), "__c")
-    fine_before = totals_before(
-        fines, Window.partitionBy("__g", "__coarse").orderBy("__fine"), "__f"
-    )
-    offsets = fine_before.join(coarse_before, ["__g", "__coarse"]).select(
+    rows = df.withColumns({"__g": group_key(*by), **{f"__s_{n}": expr for n, expr in sums.items()}})
+    order = [F.col(order_col).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties]]
+    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(count, F.col("__g"), *order).withColumn("__p", F.spark_partition_id())
+    rows = stored(dealt, "ranges")
+    # A struct with the null flag ahead sorts nulls first, which a plain minimum would leave out.
+    first = F.min(F.struct(F.col(order_col).isNotNull(), F.col(order_col).alias("value")))["value"]
+    totals = rows.groupBy("__g", "__p").agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in names], first.alias("__first"))
+    along = Window.partitionBy("__g").orderBy("__p")
+    offsets = totals.select(
         "__g",
-        "__fine",
-        *[
-            (F.coalesce(f"__f_{n}", F.lit(0)) + F.coalesce(f"__c_{n}", F.lit(0))).alias(f"__o_{n}")
-            for n in names
-        ],
-        F.coalesce("__f_next", "__c_next").alias("__o_next"),
+        "__p",
+        *[F.coalesce(F.sum(f"__s_{n}").over(_before(along)), F.lit(0)).alias(f"__o_{n}") for n in names],
+        F.lead("__first").over(along).alias("__o_next"),
     )
-    inside = Window.partitionBy("__g", "__fine").orderBy("__v", *ties)
+    inside = Window.partitionBy("__g", "__p").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     added = {f"__i_{n}": F.sum(f"__s_{n}").over(upto) for n in names}
     if following:
-        added["__i_next"] = F.lead("__v").over(inside)
-    out = rows.withColumns(added).join(offsets, ["__g", "__fine"])
+        added["__i_next"] = F.lead(F.struct(F.col(order_col).alias("value"))).over(inside)
+    out = rows.withColumns(added).join(offsets, ["__g", "__p"])
     columns = [(F.col(f"__o_{n}") + F.col(f"__i_{n}")).alias(n) for n in names]
     if following:
-        columns.append(F.coalesce("__i_next", "__o_next").alias(following))
+        columns.append(F.when(F.col("__i_next").isNotNull(), F.col("__i_next")["value"]).otherwise(F.col("__o_next")).alias(following))
     return out.select(*df.columns, *columns)
 
 
@@ -205,5 +184,5 @@ def position(
     ties: Sequence[str] = (),
     name: str = "position",
 ) -> DataFrame:
-    """Add each row's place (from 1) within its group in the order of a numeric column."""
+    """Add each row's place (from 1) within its group in the order of a column, nulls first."""
     return running_sums(df, order_col, {name: F.lit(1).cast("bigint")}, by=by, ties=ties)

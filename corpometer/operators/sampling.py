@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach_row
-from corpometer.operators.ranks import first_by_hash, hash_rank, position
+from corpometer.operators.ranks import first_by_hash, hash_rank, id_columns, position
 
 SMALL_SAMPLES = 1_000_000  # (seed, id) rows that fit a broadcast
 
@@ -20,20 +20,20 @@ def _constant_sizes(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("size"))
 
 
-def sample_exact(df: DataFrame, n: int, seed=42, id_col: str = "doc_id") -> DataFrame:
+def sample_exact(df: DataFrame, n: int, seed=42, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """Exactly ``n`` rows without replacement; all rows if there are fewer or ``n`` is -1."""
     if n == -1:
         return df
     return first_by_hash(df, _constant_sizes(df, (), n), seed, id_col)
 
 
-def sample_unseeded(df: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+def sample_unseeded(df: DataFrame, n: int, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """Exactly ``n`` rows, other ones on every call; one call's result does not change."""
     return sample_exact(df, n, seed=random.SystemRandom().getrandbits(63), id_col=id_col)
 
 
 def sample_per_label(
-    df: DataFrame, label_col: str, n: int = 1000, seed=42, id_col: str = "doc_id"
+    df: DataFrame, label_col: str, n: int = 1000, seed=42, id_col: str | Sequence[str] = "doc_id"
 ) -> DataFrame:
     """At most ``n`` rows of each label."""
     return first_by_hash(df, _constant_sizes(df, [label_col], n), seed, id_col, by=[label_col])
@@ -44,11 +44,12 @@ def first_rows(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
     return df.orderBy(order_col).limit(n)
 
 
-def seeded_samples(df: DataFrame, n: int, seeds: Sequence[int], id_col: str = "doc_id") -> DataFrame:
+def seeded_samples(df: DataFrame, n: int, seeds: Sequence[int], id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """``(seed, id)`` of one exact sample per seed, drawn in one pass over the ids."""
-    ids = df.select(id_col).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    names = id_columns(id_col)
+    ids = df.select(*names).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     sizes = df.sparkSession.createDataFrame([(s, n) for s in seeds], "seed int, size bigint")
-    return first_by_hash(ids, sizes, F.col("seed"), id_col, by=["seed"]).select("seed", id_col)
+    return first_by_hash(ids, sizes, F.col("seed"), id_col, by=["seed"]).select("seed", *names)
 
 
 def repeated_sample_mean(
@@ -61,7 +62,7 @@ def repeated_sample_mean(
     picked = seeded_samples(df, n, seeds, id_col)
     # The samples hold at most n ids per seed; while that is little, the texts need not be shuffled.
     side = F.broadcast(picked) if n * len(seeds) <= SMALL_SAMPLES else picked
-    per_seed = stats_of(df.join(side, id_col), "seed")
+    per_seed = stats_of(df.join(side, id_columns(id_col)), "seed")
     names = [c for c in per_seed.columns if c != "seed"]
     return per_seed.agg(*[F.avg(c).alias(c) for c in names])
 
@@ -128,7 +129,7 @@ def split(
     share: float,
     label_col: str | None = None,
     seed=42,
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
     name: str = "split",
 ) -> DataFrame:
     """Mark each row 'train' or 'test'; ``share`` of all rows, rounded up, are test rows.
@@ -145,7 +146,7 @@ def folds(
     k: int = 5,
     label_col: str | None = None,
     seed=42,
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
     name: str = "fold",
 ) -> DataFrame:
     """Number rows 0 to ``k - 1`` so that each label is spread evenly over the folds."""

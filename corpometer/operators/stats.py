@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpometer.functions import text as T
-from corpometer.functions.arrays import CONTEXT_LIMIT, truncate
+from corpometer.functions.arrays import truncate
 from corpometer.operators.joins import attach
 
 
 def _tokens(text_col: str, tokenizer: str, max_length: int | None) -> Column:
     tokens = T.tokenize(text_col, tokenizer, stop_words=None)
-    return tokens if max_length is None else truncate(tokens, max_length)
+    return truncate(tokens, max_length, context=None)
 
 
 def token_counts(
@@ -138,11 +138,11 @@ def token_stats(
     df: DataFrame,
     text_col: str = "text",
     corpus_col: str = "corpus",
-    max_length: int = CONTEXT_LIMIT,
+    max_length: int | None = None,
     tokenizer: str = "space",
 ) -> DataFrame:
-    """Corpus statistics on documents cut to what a model can read."""
-    return corpus_stats(df, text_col, corpus_col, tokenizer, min(max_length, CONTEXT_LIMIT))
+    """Corpus statistics on whole documents, or on the first ``max_length`` tokens of each."""
+    return corpus_stats(df, text_col, corpus_col, tokenizer, max_length)
 
 
 def long_form(stats: DataFrame, corpus_col: str = "corpus") -> DataFrame:

@@ -17,7 +17,7 @@ def require_columns(df: DataFrame, *names: str, where: str = "input") -> DataFra
     """``df`` itself, or a ValueError that lists the columns there are."""
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' not found in {where}. Available: {df.columns}")
+            raise ValueError(f"{where} has no column '{name}'; it has {', '.join(df.columns)}")
     return df
 
 

@@ -139,9 +139,9 @@ def classify_embeddings(
             foldCol="fold",
             parallelism=parallelism,
         )
-        # One model fit is many short jobs; few rows in many partitions would only add to them.
-        parts_needed = max(1, n // ROWS_PER_PARTITION)
-        ready = scaled.transform(train).select("features", "label", "fold").coalesce(parts_needed).persist()
+        # Few rows in more partitions than there are cores would only add to the many short jobs of a fit.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        ready = scaled.transform(train).select("features", "label", "fold").coalesce(max(cores, n // ROWS_PER_PARTITION)).persist()
         best = search.fit(ready).bestModel
         ready.unpersist()
     finally:

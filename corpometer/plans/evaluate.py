@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpometer.functions import text as T
 from corpometer.functions.arrays import truncate
+from corpometer.functions.keys import order_key
 from corpometer.operators import language_model as lm
 from corpometer.operators import stats
 from corpometer.operators.density import density_curve, length_quantiles, value_counts
@@ -18,9 +19,10 @@ from corpometer.operators.ranks import first_by_hash
 from corpometer.plans.classify import classify_texts
 from corpometer.plans.topics import topic_coherence
 
+HELD_OUT = 0.1  # share of the training corpus that perplexity is measured on
 MODES = ("real", "synthetic", "both")
 COSTLY = ("coherence", "perplexity")
-MAX_TEXT_LENGTH = 1024  # tokens of each text that the loss looks at
+TRAINING = "\u0000training"  # name of the rows a model is trained on, while losses are worked out
 
 
 def _metric_rows(df: DataFrame, names: Sequence[str], corpus_col: str) -> DataFrame:
@@ -43,14 +45,29 @@ def perplexities(
     df: DataFrame,
     train: str,
     text_col: str = "text",
+    id_col: str = "doc_id",
     corpus_col: str = "corpus",
-    max_length: int = MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     k: float = 0.1,
+    held_out: float = HELD_OUT,
+    seed=42,
 ) -> DataFrame:
-    """Perplexity of each corpus under a bigram model of one of them, as metric rows."""
-    tokens = truncate(T.space_tokens(text_col), max_length)
-    losses = lm.corpus_losses(df, tokens, train, k, corpus_col)
-    return _metric_rows(lm.perplexity(losses, corpus_col), ["perplexity"], corpus_col)
+    """Perplexity of each corpus under a bigram model of the corpus ``train``, as metric rows.
+
+    The share ``held_out`` of that corpus, chosen by a hash of the id, is not learned from, and only
+    those rows stand for it; with 0 it is measured on what the model has seen. Whole texts are read
+    unless ``max_length`` sets a limit in tokens. ``detail`` says what the model was trained on.
+    """
+    tokens = truncate(T.space_tokens(text_col), max_length, context=None)
+    learned = F.col(corpus_col) == train
+    if held_out:
+        learned &= F.substring(order_key(seed, id_col), 1, 8) >= f"{round(held_out * 2**32):08x}"
+        rows = df.withColumn(corpus_col, F.when(learned, TRAINING).otherwise(F.col(corpus_col)))
+        losses = lm.corpus_losses(rows, tokens, TRAINING, k, corpus_col).where(F.col(corpus_col) != TRAINING)
+    else:
+        losses = lm.corpus_losses(df, tokens, train, k, corpus_col)
+    detail = F.to_json(F.struct(F.lit(train).alias("train"), F.lit(float(held_out)).alias("held_out")))
+    return _metric_rows(lm.perplexity(losses, corpus_col), ["perplexity"], corpus_col).withColumn("detail", detail)
 
 
 def evaluate(
@@ -68,27 +85,36 @@ def evaluate(
     num_topics: int = 10,
     no_below: int = 5,
     seed=42,
+    train: str | None = None,
+    held_out: float = HELD_OUT,
+    max_length: int | None = None,
 ) -> DataFrame:
     """The report ``(corpus, metric, value, detail)``.
 
     ``mode`` picks the corpora. Lengths and words are measured on all rows; ``coherence`` and
-    ``perplexity`` on an exact sample of ``sample`` rows per corpus (-1: all). The classifier and
-    the distance of ``embeddings`` need both sides and run in mode 'both' only. ``skip`` leaves
-    measures out: 'stats', 'coherence', 'perplexity', 'classifier', 'distance'.
+    ``perplexity`` on an exact sample of ``sample`` rows per corpus (-1: all). Perplexity is under a
+    model of the corpus ``train`` (by default the reference, in every mode), of which the share
+    ``held_out`` is kept for measuring. The classifier and the distance of ``embeddings`` set each
+    synthetic corpus against the reference, need both sides and run in mode 'both' only. ``skip``
+    leaves measures out: 'stats', 'coherence', 'perplexity', 'classifier', 'distance'.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     names = {"real": [reference], "synthetic": list(synthetic), "both": [reference, *synthetic]}[mode]
-    rows = df.where(F.col(corpus_col).isin(*names) & F.col(text_col).isNotNull())
-    few = rows
+    train = train or reference
+    texts = df.where(F.col(text_col).isNotNull())
+    rows = texts.where(F.col(corpus_col).isin(*names))
+    few = texts.where(F.col(corpus_col).isin(*names, train))
     if sample != -1 and set(COSTLY) - set(skip):
-        sizes = df.sparkSession.createDataFrame([(n, sample) for n in names], f"{corpus_col} string, size bigint")
-        few = first_by_hash(rows, sizes, seed, id_col, by=[corpus_col])
+        sized = list(dict.fromkeys([*names, train]))
+        sizes = df.sparkSession.createDataFrame([(n, sample) for n in sized], f"{corpus_col} string, size bigint")
+        few = first_by_hash(few, sizes, seed, id_col, by=[corpus_col])
     parts: list[DataFrame] = []
     if "stats" not in skip:
         parts.append(lengths_and_words(rows, text_col, corpus_col))
     if "perplexity" not in skip:
-        parts.append(perplexities(few, names[0], text_col, corpus_col))
+        losses = perplexities(few, train, text_col, id_col, corpus_col, max_length, held_out=held_out, seed=seed)
+        parts.append(losses.where(F.col("corpus").isin(*names)))
     if "coherence" not in skip:
         for name in names:
             one = topic_coherence(
@@ -101,7 +127,9 @@ def evaluate(
             )
     if mode == "both":
         if "classifier" not in skip:
-            parts += _classifier_rows(rows, synthetic, text_col, id_col, corpus_col, seed)
+            for name in synthetic:
+                pair = rows.where(F.col(corpus_col).isin(reference, name))
+                parts += _classifier_rows(pair, name, text_col, id_col, corpus_col, seed)
         if embeddings is not None and "distance" not in skip:
             if embedding_width is None:
                 raise ValueError("embedding_width is needed with embeddings")
@@ -120,13 +148,13 @@ def evaluate(
 
 
 def _classifier_rows(rows, synthetic, text_col, id_col, corpus_col, seed) -> list[DataFrame]:
-    result = classify_texts(rows, list(synthetic), text_col, id_col, corpus_col, seed=seed)
-    wide = result.scores.select(F.lit("all").alias("corpus"), "accuracy", "macro_f1", "roc_auc")
+    result = classify_texts(rows, synthetic, text_col, id_col, corpus_col, seed=seed)
+    wide = result.scores.select(F.lit(synthetic).alias("corpus"), "accuracy", "macro_f1", "roc_auc")
     report = result.report.agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("name", "precision", "recall", "f1", "support")))).alias("detail")
     )
     named = report.select(
-        F.lit("all").alias("corpus"), F.lit("class_report").alias("metric"),
+        F.lit(synthetic).alias("corpus"), F.lit("class_report").alias("metric"),
         F.lit(None).cast("double").alias("value"), "detail",
     )
     return [_metric_rows(wide, ("accuracy", "macro_f1", "roc_auc"), "corpus"), named]

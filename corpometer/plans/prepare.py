@@ -59,7 +59,7 @@ def padded_ids(
 
     Labels copy the ids; padded places get the ignored label unless ``mask_labels`` is off.
     """
-    ids = A.truncate(F.col("input_ids"), length)
+    ids = A.truncate(F.col("input_ids"), length, context=None)
     shaped = coded.select(
         id_col,
         A.pad(ids, length, pad_id).alias("input_ids"),
@@ -73,7 +73,7 @@ def padded_batches(
     coded: DataFrame, batch_col: str = "batch_id", length: int = A.CONTEXT_LIMIT, pad_id: int = 0
 ) -> DataFrame:
     """Pad each row to the longest row of its batch, no longer than ``length``."""
-    cut = coded.withColumn("input_ids", A.truncate(F.col("input_ids"), length))
+    cut = coded.withColumn("input_ids", A.truncate(F.col("input_ids"), length, context=None))
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch_col))
     sized = cut.withColumn("__longest", longest)
     return (

@@ -34,7 +34,8 @@ def test_corpus_stats_by_hand(spark):
 
 def test_token_stats_cut_documents(spark):
     df = docs_of(spark, [("r", "x " * 5000)])
-    assert stats.token_stats(df, max_length=4096).first()["n_tokens"] == 2048
+    assert stats.token_stats(df, max_length=4096).first()["n_tokens"] == 4096
+    assert stats.token_stats(df).first()["n_tokens"] == 5000
 
 
 def test_document_frequency_limits(spark):

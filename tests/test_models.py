@@ -59,7 +59,7 @@ def test_topics_are_repeatable_and_coherent(spark):
 def test_coherence_of_nothing(spark):
     df = spark.createDataFrame([(1, "r", "the 12"), (2, "r", None)], SCHEMA)
     row = topics.topic_coherence(df).first()
-    assert row["coherence"] is None and row["error"] == "No valid texts after processing"
+    assert row["coherence"] is None and row["error"] == "The corpus holds no token"
     rare = topics.topic_coherence(spark.createDataFrame([(1, "r", "apple pear")], SCHEMA)).first()
     assert rare["coherence"] is None and rare["dictionary_size"] == 0 and rare["error"]
 

@@ -106,7 +106,7 @@ def test_stand_in_corpus(spark):
 def test_running_sums_equal_sorted_sums(spark, data):
     rows = [(i, g, v, w) for i, (g, v, w) in enumerate(data)]
     df = spark.createDataFrame(rows, "id bigint, g string, v double, w bigint")
-    got = ranks.running_sums(df, "v", {"s": F.col("w")}, by=["g"], ties=["id"], following="nxt", fanout=4)
+    got = ranks.running_sums(df, "v", {"s": F.col("w")}, by=["g"], ties=["id"], following="nxt", ranges=4)
     out = {r["id"]: (r["s"], r["nxt"]) for r in got.collect()}
     assert len(out) == len(rows)
     for group in {r[1] for r in rows}:
