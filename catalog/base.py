@@ -99,7 +99,9 @@ def sql_simple(col: str, stops: str | None = STOPS) -> str:
 
 
 def sql_words(col: str) -> str:
-    step = f"regexp_replace(lower({col}), {quoted(T.CONTRACTION)}, ' \\1', 'g')"
+    step = f"regexp_replace(lower({col}), {quoted(T.FUSED)}, '\\1\\3\\5\\7 \\2\\4\\6\\8', 'g')"
+    step = f"regexp_replace({step}, {quoted(T.SHORTENED)}, '\\1\\2', 'g')"
+    step = f"regexp_replace({step}, {quoted(T.CONTRACTION)}, ' \\1', 'g')"
     step = f"regexp_replace({step}, {quoted(T.APART)}, ' ', 'g')"
     step = f"regexp_replace({step}, {quoted(T.CLOSING)}, '\\1', 'g')"
     step = f"regexp_replace({step}, {quoted(T.OPENING)}, '\\1', 'g')"

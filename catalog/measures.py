@@ -123,7 +123,23 @@ def length_quantiles(spark, folder):
     return rounded(quantiles, "value")
 
 
-@query("embedding_density_grid")
+DENSITY_GRID = f"""WITH pts AS (SELECT corpus, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM {VECS}),
+    shape AS (SELECT corpus, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_samp(x) AS sxx, var_samp(y) AS syy,
+        covar_samp(x, y) AS sxy, pow(count(*), -1.0::DOUBLE / 3) AS f FROM pts GROUP BY corpus),
+    axes AS (SELECT *, sxx * syy - sxy * sxy AS det, 3 * sqrt(sxx * f) AS hx, 3 * sqrt(syy * f) AS hy FROM shape),
+    grid AS (SELECT corpus, point_x, point_y, x0 - hx + point_x * (x1 - x0 + 2 * hx) / 39 AS gx, y0 - hy + point_y * (y1 - y0 + 2 * hy) / 39 AS gy,
+        syy / det / f AS a, sxx / det / f AS b, sxy / det / f AS c, n * 2 * pi() * sqrt(det) * f AS scale
+        FROM axes, (SELECT unnest(range(40)) AS point_x), (SELECT unnest(range(40)) AS point_y)),
+    dense AS (SELECT corpus, point_x, point_y, gx, gy,
+        sum(exp(-0.5 * (a * (gx - x) * (gx - x) + b * (gy - y) * (gy - y) - 2 * c * (gx - x) * (gy - y)))) / scale AS density
+        FROM grid JOIN pts USING (corpus) GROUP BY corpus, point_x, point_y, gx, gy, scale),
+    shares AS (SELECT *, (sum(density) OVER (PARTITION BY corpus ORDER BY density, point_x, point_y ROWS UNBOUNDED PRECEDING) - density)
+        / sum(density) OVER (PARTITION BY corpus) AS share FROM dense)
+    SELECT corpus, point_x, point_y, round(gx, 6) AS x, round(gy, 6) AS y, round(density, 6) AS density,
+        CAST(CASE WHEN share >= 0.05 THEN floor((share - 0.05) / (0.95::DOUBLE / 19)) + 1 ELSE 0 END AS BIGINT) AS level FROM shares"""
+
+
+@query("embedding_density_grid", DENSITY_GRID)
 def embedding_density_grid(spark, folder):
     points = embeddings(spark, folder).select(
         "corpus", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")

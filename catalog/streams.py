@@ -59,4 +59,4 @@ def stream_running_stats(spark, folder):
     stream = ingest.table_stream(spark, folder, table(spark, folder, "events").schema, "events.parquet")
     totals = ingest.running_stats(stream, "event_type", "value")
     ingest.keep_latest(totals, path, checkpoint).awaitTermination()
-    return rounded(spark.read.parquet(path), "total_seconds", "avg_seconds")
+    return rounded(ingest.latest(spark, path), "total_seconds", "avg_seconds")

@@ -21,6 +21,8 @@ ALPHABETIC = r"[\p{L}\p{Nl}\p{No}_]+"
 WORD_RUN = r"[\p{L}\p{N}_]{2,}"
 LETTERS_ONLY = r"^\p{L}+$"
 # Word tokeniser: negated and shortened forms, then punctuation that stands apart from words.
+FUSED = r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(lem|gim)(me))\b"  # two words written as one
+SHORTENED = r"(^|" + SPACE + r")['’]t(is|was)\b"
 CONTRACTION = r"(?:n't|'(?:s|m|d|ll|re|ve))(" + SPACE + r"|[.,:;?!)]|$)"
 APART = r"[\[\](){}<>\"“”«»‘’,:;?!@#$%&]|--|\.\.+|`+|''"
 CLOSING = r"[.']+(" + SPACE + r"|$)"
@@ -74,7 +76,9 @@ def simple_tokens(
 
 def word_pieces(text) -> Column:
     """Word tokens of the lower-cased text, punctuation and short forms set apart and left out."""
-    spaced = F.regexp_replace(F.lower(_col(text)), CONTRACTION, " $1")
+    spaced = F.regexp_replace(F.lower(_col(text)), FUSED, "$1$3$5$7 $2$4$6$8")
+    spaced = F.regexp_replace(spaced, SHORTENED, "$1$2")
+    spaced = F.regexp_replace(spaced, CONTRACTION, " $1")
     spaced = F.regexp_replace(spaced, APART, " ")
     spaced = F.regexp_replace(spaced, CLOSING, "$1")
     spaced = F.regexp_replace(spaced, OPENING, "$1")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from corpometer.operators.ranks import hash_rank
 from corpometer.operators.sampling import sample_exact
 from corpometer.operators.tables import require_columns, text_rows
 
@@ -16,7 +17,7 @@ CORRUPT = "_corrupt_record"
 
 # Layouts of the text files: an article under its topic, and a logged generation run.
 ARTICLE_NAME = r"article_(\d+)_(\d{8}_\d{6})"
-ARTICLE_BODY = r"(?s)^Topic: ([^\n]*)\n\n(.*?)\s*$"
+ARTICLE_BODY = r"(?s)^Topic: ([^\n]*)\n\n(.*?)\n?\z"  # a file ends in a line break of its own
 RUN_PROMPT = r"(?s)^### PROMPT USED ###\n(.*?)\n\n### MODEL OUTPUT ###\n"
 RUN_OUTPUT = r"(?s)\n### MODEL OUTPUT ###\n(.*)\n\n### GENERATION TIME: [0-9.]+ seconds ###\s*$"
 RUN_SECONDS = r"\n### GENERATION TIME: ([0-9.]+) seconds ###\s*$"
@@ -70,9 +71,11 @@ def read_articles(
     texts = text_rows(df.select(column), column)
     if n == -1:
         return texts
-    # Files have no row id; a row's place in its file split is the same each time they are read.
-    numbered = texts.withColumn("__row", F.monotonically_increasing_id())
-    return sample_exact(numbered, n, seed, id_col="__row").select(column)
+    # Files have no row id. Equal texts are told apart by a number from 1 on; which of them gets which
+    # number makes no difference, so the sample is the same however the file is split.
+    keyed = texts.withColumns({"__row": F.monotonically_increasing_id(), "__key": F.sha2(F.col(column), 256)})
+    numbered = hash_rank(keyed, seed, "__row", by=["__key"], name="__copy")
+    return sample_exact(numbered, n, seed, id_col=["__key", "__copy"]).select(column)
 
 
 def read_csv_tolerant(
@@ -80,10 +83,12 @@ def read_csv_tolerant(
     path: str,
     columns: Sequence[str],
     encoding: str = "ISO-8859-1",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV whose bad lines are skipped: too many fields drops a line, too few fills it with nulls.
 
+    ``multi_line`` reads line breaks inside quotes; without it large files are split.
+
     Lines are read whole and flagged first; a flagged line is dropped only when it has more fields
     than the header. Column pruning is off, because the flag depends on all columns.
     """
@@ -133,9 +138,12 @@ def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> Data
 
 
 def parse_articles(files: DataFrame) -> DataFrame:
-    """``(idx, ts, topic, article)`` of article files, number and time from the file's path."""
-    return files.select(
-        F.regexp_extract("file", ARTICLE_NAME, 1).cast("bigint").alias("idx"),
+    """``(idx, ts, topic, article)`` of article files, number and time from the file's path.
+
+    Files with another kind of name are left out.
+    """
+    return files.where(F.col("file").rlike(ARTICLE_NAME)).select(
+        F.regexp_extract("file", ARTICLE_NAME, 1).try_cast("bigint").alias("idx"),
         F.try_to_timestamp(F.regexp_extract("file", ARTICLE_NAME, 2), F.lit("yyyyMMdd_HHmmss")).alias("ts"),
         F.regexp_extract("value", ARTICLE_BODY, 1).alias("topic"),
         F.regexp_extract("value", ARTICLE_BODY, 2).alias("article"),
@@ -143,9 +151,9 @@ def parse_articles(files: DataFrame) -> DataFrame:
 
 
 def parse_run_logs(files: DataFrame) -> DataFrame:
-    """``(idx, ts, prompt, output, seconds)`` of run logs."""
-    return files.select(
-        F.regexp_extract("file", ARTICLE_NAME, 1).cast("bigint").alias("idx"),
+    """``(idx, ts, prompt, output, seconds)`` of run logs; files with another kind of name are left out."""
+    return files.where(F.col("file").rlike(ARTICLE_NAME)).select(
+        F.regexp_extract("file", ARTICLE_NAME, 1).try_cast("bigint").alias("idx"),
         F.try_to_timestamp(F.regexp_extract("file", ARTICLE_NAME, 2), F.lit("yyyyMMdd_HHmmss")).alias("ts"),
         F.regexp_extract("value", RUN_PROMPT, 1).alias("prompt"),
         F.regexp_extract("value", RUN_OUTPUT, 1).alias("output"),

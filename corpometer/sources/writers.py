@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpometer.operators.reports import flat_nested
@@ -56,6 +56,10 @@ def article_file(idx, ts) -> Column:
 
 
 def _write_files(df: DataFrame, path: str) -> None:
+    """One file per row; the second and later rows of a name get their number behind it."""
+    turn = F.row_number().over(Window.partitionBy("file").orderBy("value"))
+    name = F.when(F.col("turn") > 1, F.concat("file", F.lit("_"), F.col("turn"))).otherwise(F.col("file"))
+    df = df.withColumn("turn", turn).withColumn("file", name).drop("turn")
     df.write.mode("overwrite").partitionBy("file").text(path)
 
 

@@ -74,14 +74,24 @@ def running_stats(
 
 
 def keep_latest(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replace a Parquet table with the totals after each micro-batch."""
+    """Write the totals after each micro-batch to a folder of their own; :func:`latest` reads the last.
+
+    No folder that has been written is touched again, so a crash leaves the totals before it whole.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH_COLUMN}={batch_id}")
 
     return _each_batch(totals, write, checkpoint, "complete")
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The totals after the last micro-batch."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max(BATCH_COLUMN)).first()[0]
+    return rows.where(F.col(BATCH_COLUMN) == last).drop(BATCH_COLUMN)
+
+
 def _each_batch(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str
 ) -> StreamingQuery:

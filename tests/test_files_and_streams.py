@@ -15,7 +15,7 @@ def test_csv_with_quotes_and_breaks(spark, tmp_path):
     got = [r["article"] for r in readers.read_articles(spark, str(path), "article").collect()]
     assert sorted(got) == ['one "two",\nthree', "plain"]
     assert readers.read_articles(spark, str(path), "article", n=1).count() == 1
-    with pytest.raises(ValueError, match="Column 'body' not found"):
+    with pytest.raises(ValueError, match="has no column 'body'"):
         readers.read_articles(spark, str(path), "body")
     with pytest.raises(ValueError, match="give CSV or line-delimited JSON"):
         readers.read_articles(spark, str(tmp_path / "real.txt"), "article")
@@ -41,6 +41,34 @@ def test_tolerant_csv(spark, tmp_path):
     assert sorted(r[0] for r in got.select("cleaner_article").collect()) == ["a, b", "café", "short"]
 
 
+def test_tolerant_csv_with_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "train.csv"
+    path.write_text('n,text\n1,"line one\nline two, more"\n2,a,b\n3\n', encoding="latin-1")
+    got = readers.read_csv_tolerant(spark, str(path), ["n", "text"]).collect()
+    assert sorted(map(tuple, got)) == [("1", "line one\nline two, more"), ("3", None)]
+
+
+def test_sample_of_a_file_does_not_follow_its_splits(spark, tmp_path):
+    lines = [f"text {i % 60}" for i in range(200)]
+    one, many = tmp_path / "one.csv", tmp_path / "many.csv"
+    one.write_text("article\n" + "\n".join(lines) + "\n")
+    many.mkdir()
+    for k in range(4):
+        (many / f"{k}.csv").write_text("article\n" + "\n".join(lines[k::4]) + "\n")
+    samples = [sorted(r[0] for r in readers.read_articles(spark, str(p), "article", n=70, file_format="csv").collect()) for p in (one, many)]
+    assert samples[0] == samples[1] and len(samples[0]) == 70
+
+
+def test_article_files_keep_repeats_and_ends(spark, tmp_path):
+    rows = [(1, "A", "text one  \n"), (1, "A", "text two"), (2, "B", " ")]
+    df = spark.createDataFrame(rows, "idx int, topic string, article string").withColumn("ts", F.lit("2025-11-09 08:51:46").cast("timestamp"))
+    path = str(tmp_path / "out")
+    writers.write_article_files(df, path)
+    (tmp_path / "out" / "notes.txt").write_text("not an article")
+    got = readers.read_article_files(spark, path).collect()
+    assert sorted((r["idx"], r["topic"], r["article"]) for r in got) == sorted(rows)
+
+
 def test_article_and_run_log_files(spark, tmp_path):
     (tmp_path / "article_0003_20251109_085146.txt").write_text("Topic: Science - Space\n\nOne.\n\nTopic: not this\nTwo.")
     (tmp_path / "article_12345_20251109_085146.txt").write_text("Topic: Empty\n\n")
@@ -111,7 +139,7 @@ def test_snapshots_and_running_stats(spark, tmp_path):
         ingest.snapshots(stream, snaps, str(tmp_path / "c1")).awaitTermination()
         ingest.keep_latest(ingest.running_stats(stream), totals, str(tmp_path / "c2")).awaitTermination()
     assert ingest.snapshot(spark, snaps, 0).count() == 2 and ingest.snapshot(spark, snaps).count() == 4
-    got = {r["model"]: tuple(r[1:]) for r in spark.read.parquet(totals).collect()}
+    got = {r["model"]: tuple(r[1:]) for r in ingest.latest(spark, totals).collect()}
     assert got == {"m": (2, 3.0, 1.5), "k": (2, 4.0, 2.0)}
 
 

@@ -109,3 +109,15 @@ def test_word_lists():
     assert len(ENGLISH_STOP_WORDS) == len(set(ENGLISH_STOP_WORDS)) == 179
     source, target = accent_table()
     assert dict(zip(source, target))["é"] == "e" and len(source) > len(target)
+
+
+def test_tokens_worked_out_by_hand(spark):
+    text = "I cannot stop. We're gonna go, 'tis fine (really)! Don't gimme 12 cafés."
+    row = spark.createDataFrame([(text,)], "text string").select(
+        T.word_pieces("text").alias("pieces"), T.alphabetic_words("text", None).alias("words"),
+        T.simple_tokens("text", None).alias("simple"), T.tfidf_tokens("text", None).alias("tfidf"),
+    ).first()
+    assert row["pieces"] == ["i", "can", "not", "stop", "we", "gon", "na", "go", "is", "fine", "really", "do", "gim", "me", "12", "cafés"]
+    assert row["words"] == [w for w in row["pieces"] if w != "12"]
+    assert row["simple"] == ["cannot", "stop", "we", "re", "gonna", "go", "tis", "fine", "really", "don", "gimme", "cafes"]
+    assert row["tfidf"] == ["cannot", "stop", "we", "re", "gonna", "go", "tis", "fine", "really", "don", "gimme", "12", "cafés"]
