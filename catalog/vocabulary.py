@@ -9,6 +9,7 @@ from corpometer.functions import text as T
 from corpometer.operators import bags, stats
 from corpometer.operators.joins import lookup
 from corpometer.operators.tables import top_rows
+from corpometer.session import stored
 
 STATS = ("avg_len_tokens", "std_len_tokens", "avg_len_chars", "ttr", "hapax_ratio")
 
@@ -71,6 +72,12 @@ def frequent(docs):
     return stats.frequent_tokens(stats.document_frequency(docs, tokens), stats.documents_per_corpus(docs))
 
 
+def frequent_of(counts, docs):
+    """The frequent tokens of all documents from their stored term counts, without reading the texts again."""
+    found = bags.frequencies_of(counts).withColumn("corpus", F.lit("all"))
+    return stats.frequent_tokens(found, stats.documents_per_corpus(docs.withColumn("corpus", F.lit("all"))))
+
+
 @query("document_frequency", f"WITH {DF} SELECT * FROM kept")
 def document_frequency(spark, folder):
     return frequent(documents(spark, folder))
@@ -84,9 +91,10 @@ def document_frequency(spark, folder):
     SELECT doc_id, string_agg(token_id || ':' || n, ' ' ORDER BY token_id) AS bag FROM c GROUP BY doc_id""",
 )
 def bag_of_words(spark, folder):
-    docs = texts(spark, folder).withColumn("corpus", F.lit("all"))
-    ids = bags.dictionary(frequent(docs))
-    bag = bags.bags_of_words(docs, T.simple_tokens("text"), ids)
+    docs = texts(spark, folder)
+    counts = stored(bags.term_counts(docs, T.simple_tokens("text")), "term-counts")
+    ids = bags.dictionary(frequent_of(counts, docs))
+    bag = bags.bags_of_counts(counts, ids)
     pairs = F.transform("bag", lambda b: F.concat_ws(":", b["token_id"].cast("string"), b["n"].cast("string")))
     return bag.select("doc_id", F.array_join(pairs, " ").alias("bag"))
 

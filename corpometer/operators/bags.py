@@ -31,7 +31,8 @@ def encode(df: DataFrame, tokens: Column, ids: DataFrame, id_col: str = "doc_id"
 
     ``ids`` is ``(token, token_id, cf)``. Documents without a known token get an empty array.
     """
-    rows = token_rows(df, tokens, id_col)
+    # The lookup reads its rows twice, so texts are cut into tokens once and the rows are kept.
+    rows = stored(token_rows(df, tokens, id_col), "token-rows")
     coded = lookup(rows, ids.select("token", "token_id", "cf"), ["token"], weight="cf", how="inner")
     packed = coded.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("place", "token_id"))).alias("__p")
@@ -52,9 +53,18 @@ def term_counts(df: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFr
     )
 
 
+def frequencies_of(counts: DataFrame) -> DataFrame:
+    """``(token, df, cf)`` of stored term counts: documents with the token, and how often it occurs."""
+    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+
+
 def bags_of_words(df: DataFrame, tokens: Column, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, bag)`` with ``bag`` an array of ``(token_id, n)`` in id order."""
-    counts = term_counts(df, tokens, id_col)
+    return bags_of_counts(stored(term_counts(df, tokens, id_col), "term-counts"), ids, id_col)
+
+
+def bags_of_counts(counts: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """:func:`bags_of_words` of stored term counts, which a dictionary may have been made from."""
     coded = lookup(counts, ids.select("token", "token_id", "cf"), ["token"], weight="cf", how="inner")
     return coded.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("token_id", "n"))).alias("bag")
@@ -74,8 +84,8 @@ def tfidf(
     The vocabulary is the ``max_features`` most frequent terms; the weight of a term is
     ``n * (ln((1 + docs) / (1 + df)) + 1)`` before each document is scaled to length 1.
     """
-    counts = term_counts(df, tokens, id_col)
-    terms = counts.groupBy("token").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
+    counts = stored(term_counts(df, tokens, id_col), "term-counts")
+    terms = frequencies_of(counts)
     kept = attach_row(top_terms(terms, max_features), df.agg(F.count(F.lit(1)).alias("__docs")))
     idf = kept.select(
         "token", (F.log((1 + F.col("__docs")) / (1 + F.col("df"))) + 1).alias("idf")

@@ -114,9 +114,13 @@ def coherence(
 
 
 def _local(table: DataFrame) -> DataFrame:
-    """Topic tables as local ones while they are small, which they are unless topics are many."""
+    """Topic tables as local ones while they are small, which they are unless topics are many.
+
+    The table is stored first, so that what is behind it runs once whatever its size.
+    """
+    table = stored(table, "topics")
     local = bounded(table)
-    return stored(table, "topics") if local is None else local
+    return table if local is None else local
 
 
 def coherence_of(pairs: DataFrame, corpus_col: str = "corpus") -> DataFrame:

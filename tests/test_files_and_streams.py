@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpometer.operators import scoring, tables
-from corpometer.session import fresh_path, shared_folder, spread, stored
+from corpometer.session import cleared, fresh_path, shared_folder, spread, stored
 from corpometer.sources import readers, writers
 from corpometer.streaming import ingest
 
@@ -160,6 +160,15 @@ def test_failed_batch_keeps_the_run_going(spark):
     assert got[3] == got[4] == got[5] == (0.0, 0, "RuntimeError: no")
 
 
+def test_stored_tables_go_with_their_scope(spark, tmp_path):
+    with cleared(spark):
+        inner = stored(spark.range(3), "inner")
+        inner.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(Exception, match="exist"):
+        inner.count()
+
+
 def test_session_helpers(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x") and fresh_path(spark, "x").startswith(shared_folder(spark))
     df = spark.range(5)
