@@ -53,8 +53,8 @@ def _with_loss(
 ) -> DataFrame:
     trained = _trained(train, corpus_col)
     followed = F.when(F.col("w2").isNotNull(), trained).otherwise(0)
-    contexts = counts.groupBy("w1").agg(F.sum(followed).alias("__context"), F.sum(trained).alias("__seen"))
-    joined = pairs.where(F.col("w2").isNotNull()).join(contexts.drop("__seen"), "w1")
+    contexts = stored(counts.groupBy("w1").agg(F.sum(followed).alias("__context"), F.sum(trained).alias("__seen"), F.sum("n").alias("__n")), "contexts")
+    joined = lookup(pairs.where(F.col("w2").isNotNull()), contexts.drop("__seen"), ["w1"], weight="__n", how="inner")
     if vocabulary is None:
         known = contexts.agg((F.sum(F.when(F.col("__seen") > 0, 1).otherwise(0)) + 1).alias("__v"))
         joined, size = attach_row(joined, known), F.col("__v")
@@ -64,6 +64,30 @@ def _with_loss(
     return joined.withColumn("loss", -F.log(probability))
 
 
+def _contexts(pairs: DataFrame) -> DataFrame:
+    """``(w1, context)`` of stored training bigrams: how often each word was followed by another.
+
+    Every training word is there, the last of a text with a null ``w2``, so rows count the vocabulary.
+    """
+    followed = F.when(F.col("w2").isNotNull(), F.col("n")).otherwise(0)
+    return stored(pairs.groupBy("w1").agg(F.sum(followed).alias("context")), "contexts")
+
+
+def _parts_of_loss(words: DataFrame, pairs: DataFrame, contexts: DataFrame, k: float, *by: str) -> DataFrame:
+    """``(*by, nll, n_tokens)`` as the sum of two parts, of which neither needs the other's join.
+
+    ``-ln((c(w1, w2) + k) / (c(w1) + k * V))`` is a part of the first word and a part of the pair:
+    ``words`` is ``(*by, w1, n)``, ``pairs`` is ``(*by, pair, n)`` with the training count of each pair.
+    """
+    size = contexts.agg((F.count(F.lit(1)) + 1).alias("__v"))
+    first = attach_row(words.join(contexts, "w1", "left"), size)
+    context = F.log(F.coalesce("context", F.lit(0)) + F.lit(float(k)) * F.col("__v"))
+    ahead = first.select(*by, (F.col("n") * context).alias("nll"), F.col("n").alias("n_tokens"))
+    pair = -F.log(F.coalesce("pair", F.lit(0)) + F.lit(float(k)))
+    behind = pairs.select(*by, (F.col("n") * pair).alias("nll"), F.lit(0).cast("bigint").alias("n_tokens"))
+    return ahead.union(behind).groupBy(*by).agg(F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def corpus_losses(
     df: DataFrame, tokens: Column, train: str, k: float = 0.1, corpus_col: str = "corpus"
 ) -> DataFrame:
@@ -73,12 +97,12 @@ def corpus_losses(
     one bigram, which share a window, are as many as there are corpora.
     """
     counts = stored(bigram_counts(df, tokens, corpus_col), "bigrams")
+    contexts = _contexts(counts.where(F.col(corpus_col) == train))
+    followed = counts.where(F.col("w2").isNotNull())
+    words = followed.groupBy(corpus_col, "w1").agg(F.sum("n").alias("n"))
     same_pair = Window.partitionBy("w1", "w2")
-    pairs = counts.withColumn("__pair", F.sum(_trained(train, corpus_col)).over(same_pair))
-    scored = _with_loss(pairs, counts, train, k, None, corpus_col)
-    return scored.groupBy(corpus_col).agg(
-        F.sum(F.col("n") * F.col("loss")).alias("nll"), F.sum("n").alias("n_tokens")
-    )
+    pairs = followed.withColumn("pair", F.sum(_trained(train, corpus_col)).over(same_pair))
+    return _parts_of_loss(words, pairs, contexts, k, corpus_col)
 
 
 def document_losses(
@@ -91,16 +115,18 @@ def document_losses(
 ) -> DataFrame:
     """``(corpus, id, nll, n_tokens)``; documents with fewer than two tokens get zeros.
 
-    A document is one (corpus, id) pair, so corpora may number their documents alike.
+    A document is one (corpus, id) pair, so corpora may number their documents alike. The training
+    bigrams are counted and stored once; texts are then read again and their bigrams joined as they
+    are, and adaptive execution splits the partitions of frequent ones.
     """
-    per_doc = stored(bigram_counts(df, tokens, corpus_col, id_col), "document-bigrams")
-    counts = stored(per_doc.groupBy(corpus_col, "w1", "w2").agg(F.sum("n").alias("n")), "bigrams")
-    losses = bigram_losses(counts, train, k, corpus_col=corpus_col)
-    table = stored(losses.select("w1", "w2", "loss", F.col("n").alias("__all_n")), "losses")
-    scored = lookup(per_doc, table, ["w1", "w2"], weight="__all_n", how="inner")
-    sums = scored.groupBy(corpus_col, id_col).agg(
-        F.sum(F.col("n") * F.col("loss")).alias("nll"), F.sum("n").alias("n_tokens")
-    )
+    learned = stored(bigram_counts(df.where(F.col(corpus_col) == train), tokens), "training-bigrams")
+    contexts = _contexts(learned)
+    cut = df.select(corpus_col, id_col, tokens.alias("__t"))
+    rows = cut.select(corpus_col, id_col, F.inline(bigrams(F.col("__t")))).where(F.col("w2").isNotNull())
+    words = rows.groupBy(corpus_col, id_col, "w1").agg(F.count(F.lit(1)).alias("n"))
+    seen = learned.where(F.col("w2").isNotNull()).withColumnRenamed("n", "pair")
+    pairs = rows.join(seen, ["w1", "w2"], "left").withColumn("n", F.lit(1).cast("bigint"))
+    sums = _parts_of_loss(words, pairs, contexts, k, corpus_col, id_col)
     return (
         df.select(corpus_col, id_col)
         .join(sums, [corpus_col, id_col], "left")
