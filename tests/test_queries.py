@@ -15,7 +15,8 @@ QUICK = (
     "corpus_stats side_by_side_stats document_frequency seeded_sample capped_per_label stratified_split plain_split "
     "stratified_folds batch_numbers balanced_by_repeats roc_auc class_report length_histogram length_density "
     "wasserstein_per_direction window_pair_counts topic_coherence corpus_perplexity document_losses running_time "
-    "time_left tfidf_weights pad_mask_labels topic_prompts chat_text tolerant_csv_scan article_files json_report"
+    "batch_numbers_text_id batch_numbers_large_id seeded_sample_text_id seeded_sample_shared_ids embedding_density_grid scored_rows "
+    "bag_of_words token_ids time_left tfidf_weights pad_mask_labels topic_prompts chat_text tolerant_csv_scan article_files json_report"
 ).split()
 
 
@@ -59,13 +60,23 @@ def test_names_match():
 
 def test_library_source_stays_distributed():
     banned = r"\.collect\(|toPandas\(|crossJoin\(|localCheckpoint\(|\.rdd\.(?!getNumPartitions)|foreachPartition|toLocalIterator"
-    for path in (ROOT / "corpometer").rglob("*.py"):
-        assert not re.search(banned, path.read_text()), path
+    one_task = r"numPartitions=1\b|partitions: int = 1\b|(?<!F)\.coalesce\(1\)|repartition\(1\)"
+    # What comes to the driver is one row, or a table whose rows are bounded before it is read.
+    brought = {"toArrow(": {"operators/joins.py": 1}, ".first()": {"operators/ranks.py": 1, "plans/topics.py": 1, "plans/embed.py": 1, "streaming/ingest.py": 1}}
+    library = ROOT / "corpometer"
+    for path in library.rglob("*.py"):
+        name, text = path.relative_to(library).as_posix(), path.read_text()
+        assert not re.search(banned, text) and not re.search(one_task, text), path
+        for call, allowed in brought.items():
+            if not name.startswith("llm/"):
+                assert text.count(call) == allowed.get(name, 0), (path, call)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="tables are not there")
 @pytest.mark.parametrize(
-    "name", "corpus_stats seeded_sample stratified_split stratified_folds batch_numbers running_time wasserstein_per_direction".split()
+    "name",
+    "corpus_stats token_stats seeded_sample seeded_sample_shared_ids stratified_split stratified_folds batch_numbers batch_numbers_text_id "
+    "running_time time_left wasserstein_per_direction document_losses corpus_perplexity bag_of_words tfidf_weights token_ids".split(),
 )
 def test_plans_have_no_single_task_exchange_of_rows(spark, name):
     plan = entry_points.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
