@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from gc import collect as free_cycles
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,24 @@ def bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | Non
     return None if head.num_rows > max_rows else small.sparkSession.createDataFrame(head, schema=small.schema)
 
 
+def heaviest(rows: DataFrame, weight: str, most: int) -> pa.Table:
+    """The rows of a stored table with the largest weights, at most ``most`` of them, on the driver.
+
+    Rows of one weight stay together: the least weight taken is the one down to which all rows still
+    fit. It is found from the number of rows of each weight, so no task sorts what it does not keep.
+    """
+    sizes = rows.groupBy(weight).agg(F.count(F.lit(1)).alias("__rows"))
+    down = Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("__upto", F.sum("__rows").over(down)).where(F.col("__upto") <= most)
+    least = fits.agg(F.min(weight)).scalar()
+    return rows.where(F.col(weight) >= least).toArrow()
+
+
+def let_go() -> None:
+    """Free what an earlier task of the same worker holds in cycles, such as a model and the classes with it."""
+    free_cycles()
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int
 ) -> DataFrame:
@@ -72,6 +91,7 @@ def with_columns_from(
     types = [to_arrow(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             for low, high in pieces(texts, chars):

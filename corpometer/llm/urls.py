@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpometer.llm.common import heaviest, let_go
 from corpometer.session import stored
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -61,11 +62,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def word_counts(pages: DataFrame, html: str = "html", max_words: int = MAX_WORDS) -> dict[str, int]:
-    """The ``max_words`` most frequent words of all pages' visible texts, with their counts over all pages."""
+    """The most frequent words of all pages' visible texts, ``max_words`` at most, with their counts over all pages."""
     text = F.regexp_replace(F.col(html), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
     counts = words.where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").count()
-    top = counts.orderBy(F.desc("count"), "word").limit(max_words).toArrow()
+    top = heaviest(stored(counts, "word-counts"), "count", max_words)
     return dict(zip(top.column("word").to_pylist(), top.column("count").to_pylist(), strict=True))
 
 
@@ -153,6 +154,7 @@ def fit(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "
     model = UrlModel(rules, word_counts(pages, html, max_words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table, segmenter = Rules(model.rules), Segmenter(model.words)
         seen: Counter = Counter()
 
@@ -174,12 +176,13 @@ def fit(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "
 
     rows = _parts(pages, url).mapInArrow(count, "token string, side int, n long")
     side = lambda k: F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
-    counts = stored(rows.groupBy("token").agg(side(0), side(1)), "url-tokens")
+    counts = stored(rows.groupBy("token").agg(side(0), side(1), F.sum("n").alias("n")), "url-tokens")
     totals = counts.where("token <> ''").agg(F.sum("n0"), F.sum("n1"), F.count("*")).toArrow().to_pylist()[0]
     model.tokens, model.distinct = (tuple(v or 0 for v in list(totals.values())[:2]), list(totals.values())[2])
-    top = counts.orderBy(F.col("token") != "", F.desc(F.col("n0") + F.col("n1")), "token").limit(max_tokens + 1)
-    model.counts = {r["token"]: (r["n0"], r["n1"]) for r in top.toArrow().to_pylist()}
-    model.pages = model.counts.pop("", (0, 0))
+    top = heaviest(counts.where("token <> ''"), "n", max_tokens).to_pylist()
+    model.counts = {r["token"]: (r["n0"], r["n1"]) for r in top}
+    pages_of = counts.where("token = ''").toArrow().to_pylist()
+    model.pages = (pages_of[0]["n0"], pages_of[0]["n1"]) if pages_of else (0, 0)
     return model
 
 
@@ -194,6 +197,7 @@ def judged(pages: DataFrame, model: UrlModel, page_id: str = "page_id", url: str
     host, path = host_and_path(F.col(url))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table, segmenter = Rules(model.rules), Segmenter(model.words)
         for batch in batches:
             rules, verdicts, words, odds = [], [], [], []
