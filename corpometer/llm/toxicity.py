@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import labelled_sample, with_columns_from
+from corpometer.llm.common import heaviest, labelled_sample, let_go, with_columns_from
 from corpometer.llm.quality import logistic
 from corpometer.session import stored
 
@@ -132,14 +132,10 @@ def log_odds(sample: DataFrame, max_units: int = MAX_UNITS) -> dict[str, float]:
 
     delta = side("toxic", row["n1"]) - side("clean", row["n0"])
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    kept = (
-        counts.where(F.col("toxic") >= MIN_DOCUMENTS)
-        .select("unit", (delta - F.lit(DEVIATIONS) * spread).alias("odds"))
-        .where("odds > 0")
-        .orderBy(F.desc("odds"), "unit")
-        .limit(max_units)
-    )
-    return {r["unit"]: r["odds"] for r in kept.toArrow().to_pylist()}
+    # Rounded, so that units of about the same odds are kept or left out together.
+    odds = F.round(delta - F.lit(DEVIATIONS) * spread, 3).alias("odds")
+    kept = stored(counts.where(F.col("toxic") >= MIN_DOCUMENTS).select("unit", odds).where("odds > 0"), "toxic-units")
+    return {r["unit"]: r["odds"] for r in heaviest(kept, "odds", max_units).to_pylist()}
 
 
 def _measures(found: list[tuple[int, int, float]], n: int, model: Tox) -> tuple[float, float, float]:
@@ -173,29 +169,33 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
     odds = model.odds
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = Scores(odds)
+        seen: Counter = Counter()
         for batch in batches:
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 values = token_scores(text, table)
-                found = sorted(segments(values), key=lambda s: -s[2])[:32]
-                seen = Counter(round(v, 1) for v in values)
-                rows.append({"label": label, "n": len(values), "segments": [s for _, _, s in found],
-                             "values": list(seen), "counts": [float(c) for c in seen.values()]})
+                found = segments(values)
+                if label == 0:
+                    seen.update(round(v, 1) for v in values)
+                rows.append({"label": label, "n": len(values), "segments": [s for _, _, s in found]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        # One row for each rounded score of a word in clean texts: how often the task has met it.
+        yield pa.RecordBatch.from_pylist([{"label": -1, "n": c, "segments": [v]} for v, c in seen.items()], schema=schema)
 
-    schema = pa.schema([("label", pa.int32()), ("n", pa.int64())] + [(n, pa.list_(pa.float64())) for n in ("segments", "values", "counts")])
-    ddl = "label int, n long, segments array<double>, values array<double>, counts array<double>"
-    rows = sample.mapInArrow(gather, ddl).toArrow().to_pylist()
+    schema = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64()))])
+    rows = sample.mapInArrow(gather, "label int, n long, segments array<double>").toArrow().to_pylist()
+    seen: Counter = Counter()
+    for r in rows:
+        if r["label"] < 0:
+            seen[r["segments"][0]] += r["n"]
+    rows = [r for r in rows if r["label"] >= 0]
     clean = [r for r in rows if r["label"] == 0]
     if len(clean) == len(rows) or not clean:
         model.document = np.array([-4.0, 0.0, 0.0, 0.0])
         return model
-    seen: Counter = Counter()
-    for r in clean:
-        for v, c in zip(r["values"], r["counts"], strict=True):
-            seen[v] += c
-    values, share = np.array(list(seen)), np.array(list(seen.values()))
+    values, share = np.array(list(seen)), np.array(list(seen.values()), dtype=float)
     if len(values):
         model.rate = _rate(share / share.sum(), values)
     tops = [model.rate * max(r["segments"]) - math.log(max(r["n"], 1)) for r in clean if r["segments"]]
