@@ -87,6 +87,33 @@ def test_evaluation_report(spark):
         evaluate.evaluate(df, mode="all")
 
 
+def test_evaluation_of_three_corpora(spark):
+    rows = corpus(FIRST, 60, "real") + corpus(SECOND, 30, "near", 60) + corpus(FIRST, 30, "same", 90, seed=5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    report = evaluate.evaluate(df, synthetic=("near", "same"), skip=("coherence",)).collect()
+    got = {(r["corpus"], r["metric"]): r for r in report}
+    assert got[("near", "roc_auc")]["value"] > 0.99 > got[("same", "roc_auc")]["value"]
+    assert got[("near", "perplexity")]["value"] > got[("same", "perplexity")]["value"]
+    assert got[("real", "perplexity")]["detail"] == '{"train":"real","held_out":0.1}'
+    alone = {(r["corpus"], r["metric"]): r["value"] for r in evaluate.evaluate(df, mode="synthetic", synthetic=("near", "same"), skip=("coherence",)).collect()}
+    assert alone[("near", "perplexity")] == pytest.approx(got[("near", "perplexity")]["value"]) and ("real", "perplexity") not in alone
+
+
+def test_limits_of_count_vectors(spark):
+    df = spark.createDataFrame([(i, ["common", f"w{i % 3}", f"v{i}"]) for i in range(9)], "doc_id bigint, tokens array<string>")
+    terms = lambda **options: set(topics.count_vectors(df, **options)[0].vocabulary)
+    assert terms(no_below=2, no_above=1.0) == {"common", "w0", "w1", "w2"}
+    assert terms(no_below=0.3, no_above=0.5) == {"w0", "w1", "w2"}
+    with pytest.raises(ValueError, match="More than 3 terms"):
+        topics.count_vectors(df, no_below=1, no_above=1.0, max_terms=3)
+
+
+def test_word_vectors_read_whole_texts_and_bound_their_words(spark):
+    df = spark.createDataFrame([(1, "r", "head " * 3_000 + "tail tail tail " + "odd " * 2), (2, "r", "head tail")], SCHEMA)
+    words = lambda **options: {r["word"] for r in embed.fit_word_vectors(df, width=4, **options).getVectors().collect()}
+    assert words(min_count=3) == {"head", "tail"} and words(min_count=1, max_words=2) == {"head", "tail"}
+
+
 def test_prepared_tables(spark):
     ids = spark.range(30)
     prompts = prepare.prompt_table(ids, "Write about {topic}.")
