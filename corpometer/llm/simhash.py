@@ -20,11 +20,12 @@ SHINGLE = 3
 SEED = 42
 HALF = 32
 CROWDED = 64
+CONFIRMED = 12
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit fingerprint as a signed integer: a bit is set if over half the shingles' hashes have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     if not words:
         return 0
     line = b" ".join(words)
@@ -32,7 +33,20 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
     spans = zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=False)
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), dtype="<u8")
+    return _majority(np.fromiter((digest(line[a:b], seed) for a, b in spans), dtype="<u8"))
+
+
+def word_fingerprint_of(text: str | None, seed: int = SEED) -> int:
+    """Fingerprint of the distinct words of a text, which a changed word moves less than its shingles."""
+    words = set(_words(text))
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8")) if words else 0
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for low in range(0, len(hashes), 65536):
         part = hashes[low : low + 65536]
@@ -41,47 +55,50 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", of_words: str | None = None) -> DataFrame:
     """``docs`` and its fingerprints as long. Null and empty texts, and texts without words, get zero.
 
-    Lower-cases A-Z, cuts words at ASCII white space, and takes whole texts of any length.
+    Lower-cases A-Z, cuts words at ASCII white space, and takes whole texts of any length. ``of_words``
+    names a second column, for the fingerprint of the distinct words.
     """
-    kept = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
-    schema = T.StructType([*kept, T.StructField(name, T.LongType())])
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {name.lower(), (of_words or name).lower()}]
+    added = [name, of_words] if of_words else [name]
+    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in added)])
     passed = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             for low, high in pieces(texts, 4_000_000):
-                values = [fingerprint_of(t.as_py()) for t in texts.slice(low, high - low)]
+                some = texts.slice(low, high - low).to_pylist()
+                values = [pa.array(map(f, some), pa.int64()) for f in (fingerprint_of, word_fingerprint_of)[: len(added)]]
                 columns = [batch.column(batch.schema.get_field_index(n)).slice(low, high - low) for n in passed]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.int64())], names=[*passed, name])
+                yield pa.RecordBatch.from_arrays([*columns, *values], names=[*passed, *added])
 
     return docs.select(*[F.col(f"`{n}`") for n in passed], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _variants(value: Column, bits: int, tag: Column | None = None) -> Column:
-    """Keys of a segment: the whole value, and the value with each bit blanked out.
+def _signatures(rows: DataFrame, value: str, bits: int) -> DataFrame:
+    """``rows`` with ``key`` and ``side`` for each signature of the two segments of ``value``, an SQL expression
+    of ``2 * bits`` bits.
 
-    Each key is (key, side). The whole value is met on side 2, a blanked one on the side that its bit
-    has, so that two values which differ in that bit alone meet once, and equal values meet once.
+    A segment is indexed whole, and with each bit blanked out. The whole segment is met on side 2, a
+    blanked one on the side that its bit has, so that two values which differ in that bit alone meet
+    once, and equal values meet once. The key holds the segment's number, the bit, and the bits left.
     """
-    place = F.lit(0).cast("long") if tag is None else tag
-    whole = F.struct((place * 64 + 63).alias("place"), value.alias("value"), F.lit(2).alias("side"))
-    blanked = [
-        F.struct(
-            (place * 64 + i).alias("place"),
-            value.bitwiseAND(F.lit(~(1 << i))).alias("value"),
-            F.shiftright(value, i).bitwiseAND(F.lit(1)).cast("int").alias("side"),
-        )
-        for i in range(bits)
-    ]
-    return F.array(whole, *blanked)
-
-
-def _segment(column: Column, low: int, bits: int) -> Column:
-    return F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << bits) - 1))
+    places = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * bits + 1))).alias("__at"))
+    split = places.select(
+        *rows.columns,
+        F.expr(f"CASE WHEN __at <= {bits} THEN ({value}) & {(1 << bits) - 1}L ELSE shiftrightunsigned({value}, {bits}) & {(1 << bits) - 1}L END").alias("__part"),
+        F.expr(f"CAST(__at > {bits} AS INT)").alias("__segment"),
+        F.expr(f"__at % {bits + 1}").alias("__bit"),
+    )
+    whole = f"__bit = {bits}"
+    return split.select(
+        *rows.columns,
+        F.expr(f"shiftleft(__segment * 64L + __bit, {bits}) | CASE WHEN {whole} THEN __part ELSE __part & ~shiftleft(1L, __bit) END").alias("key"),
+        F.expr(f"CASE WHEN {whole} THEN 2 ELSE CAST(shiftright(__part, __bit) & 1L AS INT) END").alias("side"),
+    )
 
 
 def _distance() -> Column:
@@ -109,26 +126,16 @@ def near_pairs(values: DataFrame, distance: int = DISTANCE, crowded: int = CROWD
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard find up to three differing bits")
-    fp = F.col("fp")
-    keys = values.select(
-        "fp",
-        F.explode(F.concat(*[_variants(_segment(fp, s * HALF, HALF), HALF, F.lit(s).cast("long")) for s in (0, 1)])).alias("k"),
-    ).select("fp", (F.shiftleft(F.col("k.place"), HALF).bitwiseOR(F.col("k.value"))).alias("key"), F.col("k.side").alias("side"))
+    keys = _signatures(values.select("fp"), "fp", HALF)
     heavy = stored(keys.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
     local = bounded(heavy, BROADCAST_ROWS)
     few = heavy if local is None else F.broadcast(local)
     pairs = _meet(keys.join(few, "key", "left_anti"), ["key"], distance)
     crowd = keys.join(few, "key", "left_semi")
-    # The segment that the key doesn't hold; bit 38 of the key says which one it holds.
-    other = F.when(F.shiftright("key", HALF + 6) == 0, _segment(fp, HALF, HALF)).otherwise(_segment(fp, 0, HALF))
-    finer = crowd.select(
-        "fp",
-        F.col("key").alias("top"),
-        F.col("side").alias("outer"),
-        F.explode(
-            F.concat(*[_variants(_segment(other, s * 16, 16), 16, F.lit(s).cast("long")) for s in (0, 1)])
-        ).alias("k"),
-    ).select("fp", "top", "outer", (F.shiftleft(F.col("k.place"), 16).bitwiseOR(F.col("k.value"))).alias("key"), F.col("k.side").alias("side"))
+    # The segment that the key doesn't hold, cut once more; the bit above the place says which one it holds.
+    other = f"CASE WHEN shiftright(top, {HALF + 6}) = 0 THEN shiftrightunsigned(fp, {HALF}) ELSE fp & {(1 << HALF) - 1}L END"
+    crowd = crowd.select("fp", F.col("key").alias("top"), F.col("side").alias("outer"))
+    finer = _signatures(crowd, other, HALF // 2)
     left = finer.where("side <> 1 and outer <> 1").select("top", "key", F.col("fp").alias("a"), F.col("side").alias("sa"), F.col("outer").alias("oa"))
     right = finer.where("side <> 0 and outer <> 0").select("top", "key", F.col("fp").alias("b"), F.col("side").alias("sb"), F.col("outer").alias("ob"))
     # Blanked outside: 0 meets 1 there, and any finer sides meet; whole outside: finer sides as above.
@@ -156,10 +163,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     return _with_components(rows, distance)
 
 
-def _with_components(rows: DataFrame, distance: int) -> DataFrame:
-    """Components of stored rows (doc_id, fingerprint)."""
+def _with_components(rows: DataFrame, distance: int, more_links: DataFrame | None = None) -> DataFrame:
+    """Components of stored rows (doc_id, fingerprint), with ``more_links`` (a, b) between fingerprints."""
     values = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "values")
-    roots = connected(near_pairs(values.select("fp"), distance))
+    links = near_pairs(values.select("fp"), distance)
+    roots = connected(links if more_links is None else links.union(more_links))
     linked = values.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(linked.join(lows, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "components")
@@ -167,20 +175,45 @@ def _with_components(rows: DataFrame, distance: int) -> DataFrame:
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def links_by_words(rows: DataFrame, distance: int = DISTANCE, confirmed: int = CONFIRMED) -> DataFrame:
+    """Links (a, b) between fingerprints of rows (fingerprint, words) whose distinct words are nearly the same.
+
+    Fingerprints of the words at ``distance`` bits or fewer make a candidate; it is a link where the
+    fingerprints of the shingles are at ``confirmed`` bits (12) or fewer. Of those that share a
+    fingerprint of the words one stands for all: the others are compared with it alone, so their
+    number never counts twice.
+    """
+    pairs = rows.select(F.col("fingerprint").alias("a"), "words").distinct()
+    stands = stored(pairs.groupBy("words").agg(F.min("a").alias("b")), "word-values")
+    same = pairs.join(stands, "words").where((F.col("a") != F.col("b")) & (_distance() <= confirmed)).select("a", "b")
+    near = near_pairs(stands.select(F.col("words").alias("fp")), distance).withColumnsRenamed({"a": "wa", "b": "wb"})
+    across = (
+        near.join(stands.select(F.col("words").alias("wa"), F.col("b").alias("a")), "wa")
+        .join(stands.select(F.col("words").alias("wb"), "b"), "wb")
+        .where((F.col("a") != F.col("b")) & (_distance() <= confirmed))
+        .select("a", "b")
+    )
+    return same.union(across)
+
+
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each component: of those with its smallest id, one.
 
-    A component whose ids are all null keeps one row for each fingerprint. Rows that share an id but
+    Near copies of five-word similarity 0.8 and more often differ by more than three bits, so documents
+    are also linked by their distinct words (:func:`links_by_words`). A component whose ids are all null keeps one row for each fingerprint. Rows that share an id but
     not a component are judged apart. The columns and their order stay.
     """
-    marked = stored(fingerprints(docs, "text", "__fingerprint"), "marked")
+    marked = stored(fingerprints(docs, "text", "__fingerprint", "__words"), "marked")
     rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
-    groups = _with_components(rows, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = links_by_words(marked.select(F.col("__fingerprint").alias("fingerprint"), F.col("__words").alias("words")), distance)
+    groups = _with_components(rows, distance, more).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Of the fingerprints that hold the smallest id, one stays; in most components there is but one.
     named = groups.where("component_id is not null").groupBy("component_id").agg(F.min("fingerprint").alias("k_fp"))
     keep = named.select(F.col("component_id").alias("k_id"), "k_fp")
     keep = keep.union(groups.where("component_id is null").select(F.col("component_id").alias("k_id"), F.col("fingerprint").alias("k_fp")).distinct())
-    same = (F.col("__fingerprint") == F.col("k_fp")) & marked.doc_id.cast("long").eqNullSafe(F.col("k_id"))
+    # The fingerprint alone is the key, a long; ids are compared behind it, which keeps a hash table small.
+    own = marked.doc_id.cast("long")
+    same = (F.col("__fingerprint") == F.col("k_fp")) & ((own == F.col("k_id")) | (own.isNull() & F.col("k_id").isNull()))
     kept = marked.join(stored(keep, "keep"), same, "left_semi")
     # Where no row comes twice, the kept texts are not moved once more to look for repeats.
     if not rows.groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():

@@ -5,16 +5,32 @@ import random
 import re
 import string
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpometer.llm import components, decontaminate, licenses, simhash, urls
+from corpometer.llm import common, components, decontaminate, licenses, simhash, urls
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 LONG = "word " * 60_000
 
 
+def test_heaviest_keeps_whole_weights(spark):
+    rows = spark.createDataFrame([("a", 9), ("b", 7), ("c", 7), ("d", 1), ("e", 1), ("f", 1)], "token string, n long")
+    for most, want in ((0, ""), (1, "a"), (2, "a"), (3, "abc"), (5, "abc"), (6, "abcdef")):
+        assert "".join(sorted(common.heaviest(rows, "n", most).column("token").to_pylist())) == want
+    assert common.heaviest(rows.limit(0), "n", 3).num_rows == 0
+
+
+def test_pieces_hold_every_row():
+    texts = pa.array(["a" * 10, None, "", "b" * 100, "c", "d" * 3] * 5)
+    for chars in (1, 12, 60, 10_000):
+        ranges = list(common.pieces(texts, chars))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(len(t or "") for t in texts.slice(a, b - a).to_pylist()) <= chars for a, b in ranges)
+
+
 # --- decontamination ---
 
 
@@ -154,8 +170,22 @@ def test_components_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.components(df).collect())
     assert got == want
+    # The stage also links by distinct words, confirmed by the shingles' fingerprints.
+    def apart(x, y):
+        return bin((x ^ y) & (2**64 - 1)).count("1")
+    words = [simhash.word_fingerprint_of(t) for _, t in rows]
+    stands = {w: min(p for p, v in zip(prints, words, strict=True) if v == w) for w in words}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        same = words[i] == words[j] and stands[words[i]] in (prints[i], prints[j]) and apart(prints[i], prints[j]) <= 12
+        across = apart(words[i], words[j]) <= 3 and (prints[i], prints[j]) == (stands[words[i]], stands[words[j]]) and apart(prints[i], prints[j]) <= 12
+        if same or across:
+            group = [group[i] if g == group[j] else g for g in group]
+    low = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        low.setdefault(g, []).append(d)
     kept = simhash.one_of_each(df.selectExpr("doc_id", "text", "doc_id AS fingerprint")).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted({c for _, _, c in want})
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(min((x for x in ids if x is not None), default=None)) for ids in low.values())
+    assert len(low) < len({c for _, _, c in want})
     assert simhash.components(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0
 
 
