@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import pieces
+from corpometer.llm.common import heaviest, let_go, pieces
 from corpometer.session import stored
 
 END = b" "
@@ -62,6 +62,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, bucket, n) over whole texts; tasks add up what they read before it is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -82,11 +83,12 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(counts: DataFrame, words: int = WORDS, hot: int = HOT) -> Vocabulary:
     """The vocabulary of a stored table of counts; ``words`` bounds the model's list, ``hot`` what tasks hold."""
-    top = counts.orderBy(F.col("token") != END.decode(), F.desc("n"), "token").limit(hot + 1).toArrow()
+    ends = counts.where(F.col("token") == END.decode()).toArrow().to_pylist()
+    top = heaviest(counts.where(F.col("token") != END.decode()), "n", hot).to_pylist()
+    top = ends + sorted(top, key=lambda r: (-r["n"], r["token"]))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow().to_pylist()[0]
-    tokens = [t.encode() for t in top.column("token").to_pylist()]
-    n = np.array(top.column("n").to_pylist(), dtype=np.int64)
-    bucket = np.array(top.column("bucket").to_pylist(), dtype=np.int64)
+    tokens = [r["token"].encode() for r in top]
+    n, bucket = (np.array([r[c] for r in top], dtype=np.int64) for c in ("n", "bucket"))
     if tokens[:1] != [END]:  # nothing to learn from
         tokens, n, bucket = [END, *tokens], np.concatenate([[0], n]), np.concatenate([[0], bucket])
     listed = np.arange(len(tokens)) <= words
@@ -216,6 +218,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", width: int = W
     first = start(vocab, width)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index = {t: i for i, t in enumerate(vocab.tokens)}
         trainer = Trainer(first, vocab, noise, rate)
         runs: list[np.ndarray] = []
@@ -272,6 +275,7 @@ def scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Bilinea
     first_bucket = len(vocab.id_counts) - BUCKETS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index = {t: i for i, t in enumerate(vocab.tokens)}
         one, two, sums = (t.astype(np.float32) for t in model.tables())
         task, row = TaskContext.get().partitionId(), 0
