@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +25,29 @@ CONFIRMED = 12
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit fingerprint as a signed integer: a bit is set if over half the shingles' hashes have it."""
-    words = _words(text)
+    hashes = shingle_hashes(words_of(text), shingle, seed)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words in order; fewer words are one run."""
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
     spans = zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=False)
-    return _majority(np.fromiter((digest(line[a:b], seed) for a, b in spans), dtype="<u8"))
+    return np.fromiter((digest(line[a:b], seed) for a, b in spans), dtype="<u8")
 
 
 def word_fingerprint_of(text: str | None, seed: int = SEED) -> int:
     """Fingerprint of the distinct words of a text, which a changed word moves less than its shingles."""
-    words = set(_words(text))
+    words = set(words_of(text))
     return _majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8")) if words else 0
 
 
-def _words(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
@@ -160,14 +165,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text"), "fingerprints")
-    return _with_components(rows, distance)
+    return _with_components(rows, lambda values: near_pairs(values, distance))
 
 
-def _with_components(rows: DataFrame, distance: int, more_links: DataFrame | None = None) -> DataFrame:
-    """Components of stored rows (doc_id, fingerprint), with ``more_links`` (a, b) between fingerprints."""
+def _with_components(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of stored rows (doc_id, fingerprint) under the links (a, b) between their distinct ``fp``."""
     values = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "values")
-    links = near_pairs(values.select("fp"), distance)
-    roots = connected(links if more_links is None else links.union(more_links))
+    roots = connected(links_of(values.select("fp")))
     linked = values.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(linked.join(lows, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "components")
@@ -204,9 +208,14 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     not a component are judged apart. The columns and their order stay.
     """
     marked = stored(fingerprints(docs, "text", "__fingerprint", "__words"), "marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
     more = links_by_words(marked.select(F.col("__fingerprint").alias("fingerprint"), F.col("__words").alias("words")), distance)
-    groups = _with_components(rows, distance, more).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_of_each(marked, docs.columns, lambda values: near_pairs(values, distance).union(more))
+
+
+def first_of_each(marked: DataFrame, columns: list[str], links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``columns`` of one row of each component of a stored table with __fingerprint, under the links between these."""
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
+    groups = _with_components(rows, links_of).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Of the fingerprints that hold the smallest id, one stays; in most components there is but one.
     named = groups.where("component_id is not null").groupBy("component_id").agg(F.min("fingerprint").alias("k_fp"))
     keep = named.select(F.col("component_id").alias("k_id"), "k_fp")
@@ -218,4 +227,4 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # Where no row comes twice, the kept texts are not moved once more to look for repeats.
     if not rows.groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__fingerprint"])
-    return kept.select(*docs.columns)
+    return kept.select(*columns)

@@ -1,0 +1,86 @@
+"""The pipeline's near-duplicate stage against the exact five-word similarity of all pairs."""
+
+import itertools
+import random
+
+import pytest
+
+import corpus_pipeline
+from corpometer.llm import copies, simhash
+
+
+def bits_apart(x, y):
+    return bin((x ^ y) & (2**64 - 1)).count("1")
+
+
+def runs(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def similar(a, b):
+    x, y = runs(a), runs(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def brute_kept(rows):
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if group[i] != group[j] and similar(rows[i][1], rows[j][1]):
+            group = [group[i] if g == group[j] else g for g in group]
+    low = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        low.setdefault(g, []).append(d)
+    return sorted(str(min((d for d in ids if d is not None), default=None)) for ids in low.values())
+
+
+def changed(rng, words, n, by):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = rng.choice(by)
+    return out
+
+
+def loose_texts():
+    """Texts of one set of words, a tenth of each changed: fingerprints near each other, similarity below 0.8."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(20)]
+    base = vocabulary * 2 + [rng.choice(vocabulary) for _ in range(360)]
+    return [(i, " ".join(vocabulary * 2 + changed(rng, base[40:], 18, vocabulary))) for i in range(40)]
+
+
+def kept_ids(spark, rows, stage):
+    return sorted(str(r.doc_id) for r in stage(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_stage_keeps_what_is_no_near_copy(spark):
+    rows = loose_texts()
+    prints = [(simhash.word_fingerprint_of(t), simhash.fingerprint_of(t)) for _, t in rows]
+    loose = [
+        (i, j) for i, j in itertools.combinations(range(len(rows)), 2)
+        if prints[i][0] == prints[j][0] and bits_apart(prints[i][1], prints[j][1]) <= simhash.CONFIRMED and not similar(rows[i][1], rows[j][1])
+    ]
+    assert len(loose) > 10
+    assert kept_ids(spark, rows, lambda df: corpus_pipeline.near_duplicates(spark, df, "")) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("crowded", [64, 5, 1])
+def test_groups_equal_brute_force(spark, crowded):
+    rng = random.Random(crowded)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in (1, 3, 4, 5, 6, 40, 200, 900):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        rows += [" ".join(changed(rng, base, min(n, rng.randrange(1 + n // 30 + n // 100)), vocabulary)) for _ in range(12)]
+    # A chain of similar texts whose ends are not similar, and a passage that many texts share.
+    chain = [rng.choice(vocabulary) for _ in range(300)]
+    for _ in range(15):
+        chain = changed(rng, chain, 4, vocabulary)
+        rows.append(" ".join(chain))
+    passage = [rng.choice(vocabulary) for _ in range(100)]
+    rows += [" ".join(passage + [rng.choice(vocabulary) for _ in range(rng.choice((10, 25, 60)))]) for _ in range(40)]
+    rows = [(1000 - i, t) for i, t in enumerate(rows)]
+    rows += [(5, None), (6, " \n"), (None, rows[0][1]), (None, "nothing like it at all"), (7, "A b C d e f"), (8, "a B\nc  d E F"), rows[3], rows[3]]
+    want = brute_kept(rows)
+    assert kept_ids(spark, rows, lambda df: copies.one_of_each(df.selectExpr("doc_id", "text", "doc_id AS fingerprint"), crowded)) == want
+    assert copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
