@@ -84,3 +84,17 @@ def test_groups_equal_brute_force(spark, crowded):
     want = brute_kept(rows)
     assert kept_ids(spark, rows, lambda df: copies.one_of_each(df.selectExpr("doc_id", "text", "doc_id AS fingerprint"), crowded)) == want
     assert copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_compares_all_texts_of_one_set_of_words(spark):
+    """Three groups of near copies in the same few words: their smallest fingerprint is near one group at most."""
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(12)]
+    bases = [vocabulary + [rng.choice(vocabulary) for _ in range(288)] for _ in range(3)]
+    rows = [(i, " ".join(vocabulary + changed(rng, bases[i % 3][12:], 3, vocabulary))) for i in range(30)]
+    assert len({simhash.word_fingerprint_of(t) for _, t in rows}) == 1
+    prints = [simhash.fingerprint_of(t) for _, t in rows]
+    assert max(bits_apart(prints[i], prints[j]) for i, j in itertools.combinations(range(0, 30, 3), 2)) > simhash.DISTANCE
+    assert kept_ids(spark, rows, lambda df: corpus_pipeline.near_duplicates(spark, df, "")) == brute_kept(rows) == ["0", "1", "2"]
+    # The rule by fingerprints alone, which compares with one text of the class, leaves more.
+    assert len(kept_ids(spark, rows, simhash.one_of_each)) > 3
