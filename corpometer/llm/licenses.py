@@ -68,7 +68,8 @@ NAMED = (
     ("busl", "business source licen[cs]e", "business", ("1.0", "1.1")),
     ("sspl", "server side public licen[cs]e", "server", ("1",)),
     ("elastic", "elastic licen[cs]e", "elastic", ("1", "2", "2.0")),
-    ("openrail", "(?:bigscience )?(?:open ?)?rail(?: m)?(?: licen[cs]e)?", "rail", ("1.0",)),
+    ("openrail", "(?:bigscience )?openrail(?: m)?(?: licen[cs]e)?", "openrail", ("1.0",)),
+    ("openrail", "(?:(?:bigscience open|bigscience|open) rail(?: m)?(?: licen[cs]e)?|rail m(?: licen[cs]e)?|rail licen[cs]e)", "rail", ("1.0",)),
     ("odbl", "open database licen[cs]e", "database", ("1.0",)),
     ("odc-by", "open data commons attribution licen[cs]e", "commons", ("1.0",)),
     ("cdla-permissive", "community data licen[cs]e agreement permissive", "permissive", ("1.0", "2.0")),
@@ -111,7 +112,7 @@ SINGLE = (
     ("ncsa", "university of illinois ncsa open source licen[cs]e", ("ncsa",), 2),
     ("unlicense", "(?:the )?unlicense", ("unlicense",), 2),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered",), 1),
-    ("wtfpl", "do what the fuck you want to public licen[cs]e", ("licence",), 2),
+    ("wtfpl", "do what the fuck you want to public licen[cs]e", ("fuck",), 2),
     ("wtfpl", "wtfpl", ("wtfpl",), 2),
     ("public-domain", "(?:released |placed |dedicated )?(?:in |into |to )?the public domain", ("public", "domain"), 3),
     ("postgresql", "postgresql licen[cs]e", ("postgresql",), 2),
@@ -125,7 +126,8 @@ SINGLE = (
     ("unicode", "unicode licen[cs]e agreement", ("unicode",), 2),
     ("ms-pl", "microsoft public licen[cs]e", ("microsoft",), 2),
     ("ms-rl", "microsoft reciprocal licen[cs]e", ("microsoft",), 2),
-    ("beerware", "beer ?ware licen[cs]e", ("beerware",), 2),
+    ("beerware", "beerware licen[cs]e", ("beerware",), 2),
+    ("beerware", "beer ware licen[cs]e", ("beer", "ware"), 2),
     ("json", "the software shall be used for good not evil", ("evil",), 1),
     ("apache", "licen[cs]ed under the apache licen[cs]e", ("apache",), 3),
     ("apache", "licen[cs]ed to the apache software foundation asf", ("apache",), 2),
@@ -149,9 +151,11 @@ SINGLE = (
     ("no-warranty", "without warranty of any kind", ("warranty", "kind"), 4),
     ("no-warranty", "without warranties or conditions of any kind", ("warranties", "conditions"), 4),
     ("terms-of-use", "terms of (?:use|service)", ("terms",), 4),
-    ("license-mention", "licen[cs]ed under", ("licensed",), 4),
+    ("license-mention", "licensed under", ("licensed",), 4),
+    ("license-mention", "licenced under", ("licenced",), 4),
     ("license-mention", "released under", ("released",), 4),
-    ("license-mention", "see (?:the )?licen[cs]e", ("license",), 4),
+    ("license-mention", "see (?:the )?license", ("license",), 4),
+    ("license-mention", "see (?:the )?licence", ("licence",), 4),
 )
 
 
