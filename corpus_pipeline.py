@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpometer.llm import copies, decontaminate, pieces, quality, toxicity
+from corpometer.llm import decontaminate, pieces, quality, simhash, toxicity
 from corpometer.llm.catalog import PIECE_MODEL
 from corpometer.llm.common import read_table
-from corpometer.session import fresh_path
+from corpometer.session import cleared, delete_paths, fresh_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that copies of five-word similarity 0.8 or more join."""
-    return copies.one_of_each(docs)
+    """One document of each group that fingerprints of three-word shingles at three bits or fewer join."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; each stage's rows go to the shared folder and are read back."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply the stages to the documents; each stage's rows go to the shared folder and are read back.
+
+    What a stage stores on its way is deleted when its rows are written, and these when the next stage's are.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete_paths(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
