@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from gc import collect as free_cycles
 
 import pyarrow as pa
@@ -28,6 +28,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, behind as many underscores as it takes to differ from all ``taken`` names, case aside."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """``small`` as a local table of at most ``max_rows`` rows, or None; no more than one row above is read."""
     head = small.limit(max_rows + 1).toArrow()
@@ -88,19 +96,33 @@ def with_columns_from(
     kept = [f for f in df.schema.fields if f.name.lower() not in {n.name.lower() for n in new.fields}]
     schema = T.StructType(kept + new.fields)
     passed = [f.name for f in kept]
+    given = unused("__text", passed)
     types = [to_arrow(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.schema.get_field_index(given))
             for low, high in pieces(texts, chars):
                 values = score(texts.slice(low, high - low).to_pylist())
                 columns = [batch.column(batch.schema.get_field_index(n)).slice(low, high - low) for n in passed]
                 columns += [v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.select(*[F.col(f"`{n}`") for n in passed], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{n}`") for n in passed], F.col(text).alias(given)).mapInArrow(run, schema)
+
+
+def kept_by(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], added: Iterable[str], condition: str) -> DataFrame:
+    """The rows of ``docs`` for which ``condition`` holds on the columns that ``judge`` adds, with the columns they had.
+
+    Columns of the docs that have one of the ``added`` names wait under another name meanwhile.
+    """
+    away: dict[str, str] = {}
+    for name in docs.columns:
+        if name.lower() in {a.lower() for a in added}:
+            away[name] = unused(f"own_{name}", [*docs.columns, *away.values()])
+    kept = judge(docs.withColumnsRenamed(away)).where(condition)
+    return kept.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def pieces(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import bounded
+from corpometer.llm.common import bounded, unused
 from corpometer.session import stored
 
 SHINGLE = 5
@@ -107,7 +107,11 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; ``options`` as in :func:`contaminated`."""
-    bad = stored(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    """``docs`` without those that hold a benchmark item; ``options`` as in :func:`contaminated`.
+
+    Columns stay as they are, whatever their names; rows that share the id of a document go with it.
+    """
+    bad_id = unused("bad_id", docs.columns)
+    bad = stored(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
     local = bounded(bad)
-    return docs.join(bad if local is None else F.broadcast(local), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad if local is None else F.broadcast(local), F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti")

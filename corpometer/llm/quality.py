@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpometer.llm.common import labelled_sample, with_columns_from
+from corpometer.llm.common import kept_by, labelled_sample, with_columns_from
 
 FIT_ROWS = 6_000
 FIT_LINES = 2_000
@@ -288,7 +288,5 @@ def scored(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
 
 
 def without_low_quality(docs: DataFrame, field: LineField) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with the columns they had."""
-    away, back = {n: f"__{n}" for n in ADDED}, {f"__{n}": n for n in ADDED}
-    kept = scored(docs.withColumnsRenamed(away), field).where("predicted = 1").drop(*ADDED)
-    return kept.withColumnsRenamed(back).select(*docs.columns)
+    """The rows of ``docs`` that the model accepts, with the columns they had, whatever their names."""
+    return kept_by(docs, lambda rows: scored(rows, field), ADDED, "predicted = 1")

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpometer.llm.common import BROADCAST_ROWS, bounded, pieces
+from corpometer.llm.common import BROADCAST_ROWS, bounded, unused, with_columns_from
 from corpometer.llm.components import connected
-from corpometer.session import stored
+from corpometer.session import cleared, fresh_path, stored
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 HALF = 32
 CROWDED = 64
-CONFIRMED = 12
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -41,12 +37,6 @@ def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.nda
     return np.fromiter((digest(line[a:b], seed) for a, b in spans), dtype="<u8")
 
 
-def word_fingerprint_of(text: str | None, seed: int = SEED) -> int:
-    """Fingerprint of the distinct words of a text, which a changed word moves less than its shingles."""
-    words = set(words_of(text))
-    return _majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8")) if words else 0
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -60,27 +50,13 @@ def _majority(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", of_words: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` and its fingerprints as long. Null and empty texts, and texts without words, get zero.
 
-    Lower-cases A-Z, cuts words at ASCII white space, and takes whole texts of any length. ``of_words``
-    names a second column, for the fingerprint of the distinct words.
+    Lower-cases A-Z, cuts words at ASCII white space, and takes whole texts of any length. A column of
+    the docs that is called ``name`` is replaced.
     """
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {name.lower(), (of_words or name).lower()}]
-    added = [name, of_words] if of_words else [name]
-    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in added)])
-    passed = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
-            for low, high in pieces(texts, 4_000_000):
-                some = texts.slice(low, high - low).to_pylist()
-                values = [pa.array(map(f, some), pa.int64()) for f in (fingerprint_of, word_fingerprint_of)[: len(added)]]
-                columns = [batch.column(batch.schema.get_field_index(n)).slice(low, high - low) for n in passed]
-                yield pa.RecordBatch.from_arrays([*columns, *values], names=[*passed, *added])
-
-    return docs.select(*[F.col(f"`{n}`") for n in passed], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return with_columns_from(docs, text, f"`{name}` long", lambda texts: [pa.array(map(fingerprint_of, texts), pa.int64())], 4_000_000)
 
 
 def _signatures(rows: DataFrame, value: str, bits: int) -> DataFrame:
@@ -165,66 +141,45 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text"), "fingerprints")
-    return _with_components(rows, lambda values: near_pairs(values, distance))
+    return _with_components(rows, distance).drop("root")
 
 
-def _with_components(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of stored rows (doc_id, fingerprint) under the links (a, b) between their distinct ``fp``."""
+def _with_components(rows: DataFrame, distance: int) -> DataFrame:
+    """Components of stored rows (doc_id, fingerprint) whose fingerprints are linked at ``distance`` bits or fewer."""
     values = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "values")
-    roots = connected(links_of(values.select("fp")))
+    roots = connected(near_pairs(values.select("fp"), distance))
     linked = values.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(linked.join(lows, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "components")
+    named = stored(linked.join(lows, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id"), "components")
     # Copies share a fingerprint: adaptive execution splits the partition of a crowded one.
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def links_by_words(rows: DataFrame, distance: int = DISTANCE, confirmed: int = CONFIRMED) -> DataFrame:
-    """Links (a, b) between fingerprints of rows (fingerprint, words) whose distinct words are nearly the same.
-
-    Fingerprints of the words at ``distance`` bits or fewer make a candidate; it is a link where the
-    fingerprints of the shingles are at ``confirmed`` bits (12) or fewer. Of those that share a
-    fingerprint of the words one stands for all: the others are compared with it alone, so their
-    number never counts twice.
-    """
-    pairs = rows.select(F.col("fingerprint").alias("a"), "words").distinct()
-    stands = stored(pairs.groupBy("words").agg(F.min("a").alias("b")), "word-values")
-    same = pairs.join(stands, "words").where((F.col("a") != F.col("b")) & (_distance() <= confirmed)).select("a", "b")
-    near = near_pairs(stands.select(F.col("words").alias("fp")), distance).withColumnsRenamed({"a": "wa", "b": "wb"})
-    across = (
-        near.join(stands.select(F.col("words").alias("wa"), F.col("b").alias("a")), "wa")
-        .join(stands.select(F.col("words").alias("wb"), "b"), "wb")
-        .where((F.col("a") != F.col("b")) & (_distance() <= confirmed))
-        .select("a", "b")
-    )
-    return same.union(across)
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: of those with its smallest id, one.
+    """``docs`` with one row of each component of :func:`components`: of those with its smallest id, one.
 
-    Near copies of five-word similarity 0.8 and more often differ by more than three bits, so documents
-    are also linked by their distinct words (:func:`links_by_words`). A component whose ids are all null keeps one row for each fingerprint. Rows that share an id but
-    not a component are judged apart. The columns and their order stay.
+    A component whose ids are all null keeps one row for each fingerprint. Rows that share an id but not
+    a component are judged apart; of equal rows one stays. Null and empty texts are one component, as
+    their fingerprints are zero. The columns and their order stay, whatever their names; an empty table
+    gives an empty one.
     """
-    marked = stored(fingerprints(docs, "text", "__fingerprint", "__words"), "marked")
-    more = links_by_words(marked.select(F.col("__fingerprint").alias("fingerprint"), F.col("__words").alias("words")), distance)
-    return first_of_each(marked, docs.columns, lambda values: near_pairs(values, distance).union(more))
-
-
-def first_of_each(marked: DataFrame, columns: list[str], links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``columns`` of one row of each component of a stored table with __fingerprint, under the links between these."""
-    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
-    groups = _with_components(rows, links_of).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Of the fingerprints that hold the smallest id, one stays; in most components there is but one.
-    named = groups.where("component_id is not null").groupBy("component_id").agg(F.min("fingerprint").alias("k_fp"))
-    keep = named.select(F.col("component_id").alias("k_id"), "k_fp")
-    keep = keep.union(groups.where("component_id is null").select(F.col("component_id").alias("k_id"), F.col("fingerprint").alias("k_fp")).distinct())
+    print_ = unused("fingerprint", docs.columns)
+    marked = stored(fingerprints(docs, "text", print_), "marked")
+    keep_path = fresh_path(docs.sparkSession, "keep")
+    with cleared(docs.sparkSession):
+        rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(print_).alias("fingerprint"))
+        groups = _with_components(rows, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        # Of the fingerprints that hold the smallest id, one stays; in most components there is but one.
+        named = groups.where("component_id is not null").groupBy("root", F.col("component_id").alias("k_id")).agg(F.min("fingerprint").alias("k_fp"))
+        unnamed = groups.where("component_id is null").select(F.col("component_id").alias("k_id"), F.col("fingerprint").alias("k_fp"))
+        named.select("k_id", "k_fp").union(unnamed.distinct()).write.parquet(keep_path)
+        repeated = not rows.groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty()
+    keep = docs.sparkSession.read.parquet(keep_path).alias("keep")
     # The fingerprint alone is the key, a long; ids are compared behind it, which keeps a hash table small.
-    own = marked.doc_id.cast("long")
-    same = (F.col("__fingerprint") == F.col("k_fp")) & ((own == F.col("k_id")) | (own.isNull() & F.col("k_id").isNull()))
-    kept = marked.join(stored(keep, "keep"), same, "left_semi")
+    own, kept_id = F.col("marked.doc_id").cast("long"), F.col("keep.k_id")
+    same = (F.col(f"marked.`{print_}`") == F.col("keep.k_fp")) & ((own == kept_id) | (own.isNull() & kept_id.isNull()))
+    kept = marked.alias("marked").join(keep, same, "left_semi")
     # Where no row comes twice, the kept texts are not moved once more to look for repeats.
-    if not rows.groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__fingerprint"])
-    return kept.select(*columns)
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", print_])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

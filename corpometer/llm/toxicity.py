@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import heaviest, labelled_sample, let_go, with_columns_from
+from corpometer.llm.common import heaviest, kept_by, labelled_sample, let_go, with_columns_from
 from corpometer.llm.quality import logistic
 from corpometer.session import stored
 
@@ -236,7 +236,5 @@ def scored(docs: DataFrame, model: Tox, text: str = "text") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Tox) -> DataFrame:
-    """The rows of ``docs`` that the model does not take for toxic, with the columns they had."""
-    away, back = {n: f"__{n}" for n in ADDED}, {f"__{n}": n for n in ADDED}
-    kept = scored(docs.withColumnsRenamed(away), model).where("predicted = 0").drop(*ADDED)
-    return kept.withColumnsRenamed(back).select(*docs.columns)
+    """The rows of ``docs`` that the model does not take for toxic, with the columns they had, whatever their names."""
+    return kept_by(docs, lambda rows: scored(rows, model), ADDED, "predicted = 0")

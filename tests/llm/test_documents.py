@@ -170,25 +170,19 @@ def test_components_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.components(df).collect())
     assert got == want
-    # The stage also links by distinct words, confirmed by the shingles' fingerprints.
-    def apart(x, y):
-        return bin((x ^ y) & (2**64 - 1)).count("1")
-    words = [simhash.word_fingerprint_of(t) for _, t in rows]
-    stands = {w: min(p for p, v in zip(prints, words, strict=True) if v == w) for w in words}
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        same = words[i] == words[j] and stands[words[i]] in (prints[i], prints[j]) and apart(prints[i], prints[j]) <= 12
-        across = apart(words[i], words[j]) <= 3 and (prints[i], prints[j]) == (stands[words[i]], stands[words[j]]) and apart(prints[i], prints[j]) <= 12
-        if same or across:
-            group = [group[i] if g == group[j] else g for g in group]
-    low = {}
-    for g, (d, _) in zip(group, rows, strict=True):
-        low.setdefault(g, []).append(d)
-    kept = simhash.one_of_each(df.selectExpr("doc_id", "text", "doc_id AS fingerprint")).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(str(min((x for x in ids if x is not None), default=None)) for ids in low.values())
-    assert len(low) < len({c for _, _, c in want})
+    kept = simhash.one_of_each(df.selectExpr("doc_id", "text", "doc_id AS fingerprint", "1 AS k_fp", "2 AS k_id", "3 AS _fingerprint"))
+    assert kept.columns == ["doc_id", "text", "fingerprint", "k_fp", "k_id", "_fingerprint"]
+    ids = sorted(str(min((x for x in ids if x is not None), default=None)) for ids in low.values())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ids
     assert simhash.components(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_of_null_ids_and_long_texts(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, LONG), (3, LONG), (2, LONG + " end"), (2, "entirely other words here"), (9, None), (8, " ")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:8]) for r in kept) == [("2", "entirely"), ("2", "word wor"), ("8", " "), ("None", "a b c d")]
+
+
 # --- licenses ---
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -376,3 +377,17 @@ def test_pipeline(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(DATA)).count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="tables are not there")
+def test_stages_pass_on_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = "score __score predicted __predicted passages __passages __text own_score bad_id fingerprint __fingerprint __size __bands k_fp k_id".split()
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    now = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, str(DATA))
+        rows = after.collect()
+        assert after.columns == more.columns and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+        now = spark.createDataFrame(rows, more.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, more, str(DATA)).where(F.col("__text") == F.concat(F.lit("__text"), "doc_id")).count() == docs.count()
