@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpometer.llm import chat, decontaminate, licenses, logbilinear, nearest, pieces, quality, simhash, toxicity, urls
+from corpometer.llm import (
+    bloom, chat, decontaminate, licenses, logbilinear, merkle, nearest, pieces, quality, repeats, simhash, toxicity, urls,
+)
 from corpometer.llm.common import fold_of, read_table
 
 #: Tokenizer files are read on the driver and travel with the tasks; the path is a parameter.
@@ -185,3 +187,121 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict of every page's url; the method's own where no rule fits."""
     pages = read_table(spark, folder, "pages")
     return urls.judged(pages, urls.fit(pages, URL_RULES))
+
+
+@query
+def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The row that stays for every document, of those with the same text but for white space."""
+    return bloom.copies(read_table(spark, folder, "documents"))
+
+
+ORACLE["op11_exact_duplicates"] = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+def planted_repeats(doc_id: Column, text: Column) -> Column:
+    """``text``, which repeats its words from place a on with period p where ten divides the id's crc32.
+
+    With n words and g a tenth of the crc32, a is g % n and p is 1 + (n - a) / (3 + g % 8).
+    """
+    code = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    seed = F.floor(code / 10).cast("long")
+    shape = F.transform(
+        F.array(words),
+        lambda ws: F.struct(ws.alias("ws"), (seed % F.size(ws)).cast("int").alias("a"), F.size(ws).alias("n")),
+    )
+    shape = F.transform(shape, lambda s: F.struct(s["ws"].alias("ws"), s["a"].alias("a"), s["n"].alias("n"), (1 + F.floor((s["n"] - s["a"]) / (3 + seed % 8))).cast("int").alias("p")))
+    spelled = F.transform(
+        shape,
+        lambda s: F.array_join(F.transform(s["ws"], lambda w, i: F.when(i < s["a"], w).otherwise(s["ws"][s["a"] + (i - s["a"]) % s["p"]])), " "),
+    )
+    return F.when((code % 10 == 0) & (F.size(words) > 0), spelled[0]).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated word sequences in every document, with repeats put into a tenth of them."""
+    docs = read_table(spark, folder, "documents").select("doc_id", planted_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    found = repeats.with_runs(docs)
+    line = lambda r: F.concat(*[part for n in ("start", "length", "period") for part in (r[n].cast("string"), F.lit("," if n != "period" else "\n"))])
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and roots of every document, and the root that it folds to as tampered with."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    row = [F.col(c) for c in ("doc_id", "source", "lang")]
+    found = F.when(hit, merkle.leaf_of(*row, F.col("n_chars").cast("long") + 1, F.col("text")))
+    made = merkle.manifest(docs, merkle.leaf_of(*row, F.col("n_chars"), F.col("text")), found)
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+
+ORACLE["op13_merkle_manifest"] = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, n_chars, CAST(doc_id AS VARCHAR) AS digits,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM documents
+), coded AS (
+  SELECT *, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(digits) + 1), lambda i: CAST(ascii(digits[i]) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+  FROM rows
+), leaves AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n,
+    sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS found
+  FROM coded
+), tree AS (
+  SELECT g, 0 AS level, pos, n, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, level, pos // 2, n
+), subroots AS (
+  SELECT g, hash, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, n, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n
+), steps AS (
+  SELECT l.doc_id, t.level AS step, t.pos < (l.pos >> t.level) AS before, t.hash
+  FROM leaves l JOIN tree t ON t.g = l.g AND t.pos = xor(l.pos >> t.level, 1)
+  UNION ALL
+  SELECT l.doc_id, s.height + t.level, t.pos < (s.pos >> t.level), t.hash
+  FROM leaves l JOIN subroots s ON s.g = l.g JOIN top t ON t.pos = xor(s.pos >> t.level, 1)
+), heights AS (
+  SELECT l.doc_id, s.height + (SELECT max(level) FROM top) AS height FROM leaves l JOIN subroots s ON s.g = l.g
+), folded AS (
+  SELECT doc_id, 0 AS step, coalesce(found, leaf) AS hash FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(CASE WHEN s.before THEN s.hash || f.hash ELSE f.hash || coalesce(s.hash, '') END)
+  FROM folded f JOIN heights h ON h.doc_id = f.doc_id AND f.step < h.height LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.step = f.step
+), proofs AS (
+  SELECT doc_id, string_agg(hash, '' ORDER BY step) AS proof FROM steps GROUP BY doc_id
+)
+SELECT l.doc_id, l.leaf, s.hash AS subroot, r.hash AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  f.hash AS folded_root, f.hash = r.hash AS verified
+FROM leaves l JOIN subroots s ON s.g = l.g JOIN heights h ON h.doc_id = l.doc_id JOIN folded f ON f.doc_id = l.doc_id AND f.step = h.height
+JOIN top r ON r.n = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+"""
