@@ -9,6 +9,7 @@ from catalog.vocabulary import STATS, stats_sql
 from corpometer.functions import text as T
 from corpometer.operators import coherence as co
 from corpometer.operators import density, distance, reports, stats, timing
+from corpometer.operators import kneser_ney
 from corpometer.operators import language_model as lm
 from corpometer.operators.joins import attach
 from corpometer.operators.sampling import batches
@@ -261,6 +262,55 @@ def document_losses(spark, folder):
     return rounded(losses.select("corpus", "doc_id", "nll", "n_tokens"), "nll")
 
 
+def kneser_ney_sql(source: str, tokens: str, order: int, train: str = "real") -> str:
+    """Tables of an interpolated model; ``scored`` has a row for each predicted token."""
+    marks = "[" + ", ".join(["''"] * (order - 2)) + "]"
+    parts = [
+        f"t AS (SELECT corpus, doc_id, {tokens} AS w FROM {source})",
+        f"padded AS (SELECT corpus, doc_id, list_concat({marks}, w) AS w FROM t WHERE len(w) >= 2)",
+        f"places AS (SELECT corpus, doc_id, w, unnest(range(1, len(w) - {order - 2})) AS i FROM padded)",
+        f"occ AS (SELECT corpus, doc_id, w[i:i + {order - 1}] AS gram FROM places)",
+        f"l{order} AS (SELECT gram, count(*) FILTER (WHERE corpus = '{train}') AS c FROM occ GROUP BY gram)",
+    ]
+    for m in range(order - 1, 0, -1):
+        parts.append(f"l{m} AS (SELECT gram[2:{m + 1}] AS gram, count(*) FILTER (WHERE c > 0) AS c FROM l{m + 1} GROUP BY 1)")
+    for m in range(1, order + 1):
+        parts.append(
+            f"d{m} AS (SELECT CASE WHEN a > 0 THEN a / (a + 2 * b) ELSE 0.5::DOUBLE END AS d "
+            f"FROM (SELECT count(*) FILTER (WHERE c = 1) AS a, count(*) FILTER (WHERE c = 2) AS b FROM l{m}))"
+        )
+        context = f"l.gram[1:{m - 1}]" if m > 1 else "0"
+        parts.append(f"x{m} AS (SELECT {context} AS context, sum(c) AS total, count(*) FILTER (WHERE c > 0) AS types FROM l{m} l GROUP BY 1)")
+        below, lower = ("b.p", f"JOIN p{m - 1} b ON b.gram = l.gram[2:{m}]") if m > 1 else ("1 / (types + 1)", "")
+        parts.append(
+            f"p{m} AS (SELECT l.gram, CASE WHEN total > 0 THEN (greatest(c - d, 0) + d * types * {below}) / total ELSE {below} END AS p "
+            f"FROM l{m} l JOIN x{m} x ON x.context = {context} {lower} CROSS JOIN d{m})"
+        )
+    parts.append(f"scored AS (SELECT corpus, doc_id, -ln(p) AS loss FROM occ JOIN p{order} USING (gram))")
+    return ",\n    ".join(parts)
+
+
+@query(
+    "kneser_ney_perplexity",
+    f"WITH {kneser_ney_sql(THREE, sql_space('text'), 3)} SELECT corpus, round(exp(sum(loss) / count(*)), 6) AS perplexity FROM scored GROUP BY corpus",
+)
+def kneser_ney_perplexity(spark, folder):
+    """Perplexity under a model of three words of the real corpus."""
+    losses = kneser_ney.corpus_losses(_three(spark, folder), T.space_tokens("text"), "real", order=3)
+    return rounded(lm.perplexity(losses), "perplexity")
+
+
+@query(
+    "kneser_ney_document_losses",
+    f"""WITH {kneser_ney_sql(DOCS, sql_space('text'), 4)} SELECT d.corpus, d.doc_id, round(coalesce(sum(loss), 0), 6) AS nll, count(loss) AS n_tokens
+    FROM {DOCS} d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.corpus, d.doc_id""",
+)
+def kneser_ney_document_losses(spark, folder):
+    """Loss of every document under a model of four words of the real corpus."""
+    losses = kneser_ney.document_losses(documents(spark, folder), T.space_tokens("text"), "real", order=4)
+    return rounded(losses.select("corpus", "doc_id", "nll", "n_tokens"), "nll")
+
+
 @query(
     "mean_batch_loss",
     DOC_LOSS

@@ -40,12 +40,27 @@ def table_ingest(spark, folder):
     return spark.read.parquet(sink)
 
 
+def _arriving(spark, folder, run):
+    """Events in three parts by id, each behind the one before: ``run`` is called anew when a part has arrived."""
+    inbox = fresh_path(spark, "events")
+    events = table(spark, folder, "events")
+    size = events.agg(F.max("event_id") + 1).scalar()
+    for part in range(3):
+        place = F.col("event_id") * 3
+        events.where((place >= size * part) & (place < size * (part + 1))).write.mode("append").parquet(inbox)
+        run(inbox, events.schema)
+
+
 @query("stream_snapshots", "SELECT event_id, event_type, value FROM events")
 def stream_snapshots(spark, folder):
+    """Every file is a micro-batch; the stream starts three times and goes on where it was."""
     path, checkpoint = fresh_path(spark, "snapshots"), fresh_path(spark, "snapshots-checkpoint")
-    schema = table(spark, folder, "events").schema
-    stream = ingest.table_stream(spark, folder, schema, "events.parquet", files_per_trigger=1)
-    ingest.snapshots(stream.select("event_id", "event_type", "value"), path, checkpoint).awaitTermination()
+
+    def run(inbox, schema):
+        stream = ingest.table_stream(spark, inbox, schema, files_per_trigger=1)
+        ingest.snapshots(stream.select("event_id", "event_type", "value"), path, checkpoint).awaitTermination()
+
+    _arriving(spark, folder, run)
     return ingest.snapshot(spark, path).drop(ingest.BATCH_COLUMN)
 
 
@@ -55,8 +70,31 @@ def stream_snapshots(spark, folder):
        FROM events GROUP BY event_type""",
 )
 def stream_running_stats(spark, folder):
+    """Totals after three starts of the stream, each file a micro-batch; the state goes from one to the next."""
     path, checkpoint = fresh_path(spark, "running"), fresh_path(spark, "running-checkpoint")
-    stream = ingest.table_stream(spark, folder, table(spark, folder, "events").schema, "events.parquet")
-    totals = ingest.running_stats(stream, "event_type", "value")
-    ingest.keep_latest(totals, path, checkpoint).awaitTermination()
+
+    def run(inbox, schema):
+        totals = ingest.running_stats(ingest.table_stream(spark, inbox, schema, files_per_trigger=1), "event_type", "value")
+        ingest.keep_latest(totals, path, checkpoint).awaitTermination()
+
+    _arriving(spark, folder, run)
     return rounded(ingest.latest(spark, path), "total_seconds", "avg_seconds")
+
+
+@query(
+    "stream_running_time",
+    """SELECT event_type AS model, event_id AS batch_id, value AS elapsed_time, round(sum(value) OVER w, 6) AS total_time, row_number() OVER w AS done
+       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def stream_running_time(spark, folder):
+    """Running totals of rows that arrive in three parts, as if they had come at once."""
+    path, checkpoint = fresh_path(spark, "running-rows"), fresh_path(spark, "running-rows-checkpoint")
+
+    def run(inbox, schema):
+        stream = ingest.table_stream(spark, inbox, schema)
+        named = stream.select(F.col("event_type").alias("model"), F.col("event_id").alias("batch_id"), F.col("value").alias("elapsed_time"))
+        ingest.running_totals(named, path, checkpoint).awaitTermination()
+
+    _arriving(spark, folder, run)
+    rows = ingest.totals_so_far(spark, path).drop(ingest.BATCH_COLUMN)
+    return rounded(rows, "total_time").select("model", "batch_id", "elapsed_time", "total_time", "done")

@@ -285,15 +285,14 @@ def batched_map(spark, folder):
     f"SELECT doc_id, array_to_string({sql_simple('text')}, ' ') AS tokens FROM documents",
 )
 def parallel_token_map(spark, folder):
-    """Tokens by column expressions in each task, spread over tasks before the costly step."""
-    docs = texts(spark, folder).select("doc_id", "text").repartition("doc_id")
-    return docs.select("doc_id", text_list(T.simple_tokens("text")).alias("tokens"))
+    """Tokens by column expressions in each task; a small file is dealt out to all cores once."""
+    return texts(spark, folder).select("doc_id", text_list(T.simple_tokens("text")).alias("tokens"))
 
 
 @query(
     "batch_scorer",
     f"""SELECT corpus, doc_id, round(CASE WHEN lang = 'fr' THEN 0 ELSE len(string_split(text, ' ')) * ln(27) END, 6) AS nll,
-        CASE WHEN lang = 'fr' THEN 0 ELSE CAST(len(string_split(text, ' ')) AS BIGINT) END AS n_tokens FROM {DOCS}""",
+        CASE WHEN lang = 'fr' THEN 0 ELSE CAST(len(string_split(text, ' ')) AS BIGINT) END AS n_tokens, CAST(NULL AS VARCHAR) AS error FROM {DOCS}""",
 )
 def batch_scorer(spark, folder):
     def make_scorer():
@@ -307,4 +306,4 @@ def batch_scorer(spark, folder):
 
     docs = documents(spark, folder).withColumn("text", F.when(F.col("lang") != "fr", F.col("text")))
     scored = scoring.score_batches(docs, make_scorer)
-    return scored.select("corpus", "doc_id", F.round("nll", 6).alias("nll"), "n_tokens")
+    return scored.select("corpus", "doc_id", F.round("nll", 6).alias("nll"), "n_tokens", "error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +21,19 @@ def group_key(*cols: str) -> Column:
     )
 
 
-def bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``small`` as a local table if it has at most ``max_rows`` rows, else None.
+def local_rows(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The rows of ``small`` on the driver if there are at most ``max_rows``, else None.
 
     The read stops after ``max_rows + 1`` rows, so the driver never holds more than that.
     """
     head = small.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return None
-    return small.sparkSession.createDataFrame(head, schema=small.schema)
+    return None if head.num_rows > max_rows else head
+
+
+def bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``small`` as a local table if it has at most ``max_rows`` rows, else None; read as in :func:`local_rows`."""
+    head = local_rows(small, max_rows)
+    return None if head is None else small.sparkSession.createDataFrame(head, schema=small.schema)
 
 
 def attach(

@@ -56,5 +56,6 @@ def score_batches(
                         )
                 yield out
 
-    schema = f"{corpus_col} string, {id_col} bigint, nll double, n_tokens bigint, error string"
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (corpus_col, id_col)}
+    schema = f"{corpus_col} {kinds[corpus_col]}, {id_col} {kinds[id_col]}, nll double, n_tokens bigint, error string"
     return df.select(corpus_col, id_col, text_col).mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,12 @@ from corpometer.functions.arrays import truncate
 from corpometer.operators.joins import attach
 
 
-def _tokens(text_col: str, tokenizer: str, max_length: int | None) -> Column:
-    tokens = T.tokenize(text_col, tokenizer, stop_words=None)
+#: One of the named tokenisers, or a function from a text column to a column of tokens.
+Tokenizer = str | Callable[[Column], Column]
+
+
+def _tokens(text_col: str, tokenizer: Tokenizer, max_length: int | None) -> Column:
+    tokens = tokenizer(F.col(text_col)) if callable(tokenizer) else T.tokenize(text_col, tokenizer, stop_words=None)
     return truncate(tokens, max_length, context=None)
 
 
@@ -19,7 +25,7 @@ def token_counts(
     df: DataFrame,
     text_col: str = "text",
     corpus_col: str = "corpus",
-    tokenizer: str = "space",
+    tokenizer: Tokenizer = "space",
     max_length: int | None = None,
 ) -> DataFrame:
     """How often each token occurs in each corpus: ``(corpus, token, n)``."""
@@ -42,7 +48,7 @@ def vocabulary_stats(counts: DataFrame, corpus_col: str = "corpus") -> DataFrame
 
 
 def _one_pass(
-    df: DataFrame, text_col: str, corpus_col: str, tokenizer: str, max_length: int | None
+    df: DataFrame, text_col: str, corpus_col: str, tokenizer: Tokenizer, max_length: int | None
 ) -> DataFrame:
     """Token counts, and in the row of the null token the sums over documents.
 
@@ -64,7 +70,7 @@ def _one_pass(
     return rows.groupBy(corpus_col, "token").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(head, F.col("__size"))).alias("size"),
-        F.sum(F.when(head, F.col("__size") * F.col("__size"))).alias("square"),
+        F.stddev_pop(F.when(head, F.col("__size"))).alias("spread"),
         F.sum(F.when(head, F.col("__chars"))).alias("chars"),
     )
 
@@ -73,7 +79,7 @@ def length_stats(
     df: DataFrame,
     text_col: str = "text",
     corpus_col: str = "corpus",
-    tokenizer: str = "space",
+    tokenizer: Tokenizer = "space",
     max_length: int | None = None,
 ) -> DataFrame:
     """Documents, mean and population deviation of the token count, mean characters."""
@@ -93,7 +99,7 @@ def corpus_stats(
     df: DataFrame,
     text_col: str = "text",
     corpus_col: str = "corpus",
-    tokenizer: str = "space",
+    tokenizer: Tokenizer = "space",
     max_length: int | None = None,
 ) -> DataFrame:
     """One row per corpus: documents, token lengths, characters, ratios of types to tokens.
@@ -109,14 +115,13 @@ def corpus_stats(
     sums = counts.groupBy(corpus_col).agg(
         docs.alias("n_docs"),
         F.max("size").alias("__size"),
-        F.max("square").alias("__square"),
+        F.max("spread").alias("__spread"),
         F.max("chars").alias("__chars"),
         tokens.alias("n_tokens"),
         types.alias("n_types"),
         once.alias("__once"),
     )
     mean = F.col("__size") / F.col("n_docs")
-    spread = F.greatest(F.col("__square") / F.col("n_docs") - mean * mean, F.lit(0.0))
 
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
@@ -125,7 +130,7 @@ def corpus_stats(
         corpus_col,
         "n_docs",
         mean.alias("avg_len_tokens"),
-        F.sqrt(spread).alias("std_len_tokens"),
+        F.col("__spread").alias("std_len_tokens"),
         (F.col("__chars") / F.col("n_docs")).alias("avg_len_chars"),
         "n_tokens",
         "n_types",
@@ -139,7 +144,7 @@ def token_stats(
     text_col: str = "text",
     corpus_col: str = "corpus",
     max_length: int | None = None,
-    tokenizer: str = "space",
+    tokenizer: Tokenizer = "space",
 ) -> DataFrame:
     """Corpus statistics on whole documents, or on the first ``max_length`` tokens of each."""
     return corpus_stats(df, text_col, corpus_col, tokenizer, max_length)

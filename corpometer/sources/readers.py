@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from corpometer.operators.ranks import hash_rank
 from corpometer.operators.sampling import sample_exact
 from corpometer.operators.tables import require_columns, text_rows
+from corpometer.sources import records
 
 CORRUPT = "_corrupt_record"
 
@@ -32,14 +33,19 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header and doubled quotes. Without a schema all columns are strings.
 
-    ``multi_line`` is needed when texts hold line breaks; without it large files are split.
+    Texts may hold line breaks inside quotes, and files of any size are read by as many tasks as they have byte
+    ranges (:func:`records.records`). Without ``multi_line`` a line is a record, which takes one pass less.
     """
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding, enforceSchema=False
-    )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": encoding}
+    reader = spark.read.options(**options, enforceSchema=False)
+    paths = paths if isinstance(paths, str) else list(paths)
+    if not multi_line:
+        return (reader if schema is None else reader.schema(schema)).csv(paths)
+    found = reader.csv(paths).schema
+    wanted = found if schema is None else schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if [n.lower() for n in wanted.names] != [n.lower() for n in found.names]:
+        raise ValueError(f"the header names {found.names}, the schema {wanted.names}")
+    return records.records(spark, paths, encoding).select(records.parsed(F.col("record"), wanted).alias("row")).select("row.*")
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str | StructType | None = None) -> DataFrame:
@@ -85,13 +91,16 @@ def read_csv_tolerant(
     encoding: str = "ISO-8859-1",
     multi_line: bool = True,
 ) -> DataFrame:
-    """CSV whose bad lines are skipped: too many fields drops a line, too few fills it with nulls.
-
-    ``multi_line`` reads line breaks inside quotes; without it large files are split.
+    """CSV whose bad records are skipped: too many cells drop a record, too few are filled with nulls.
 
-    Lines are read whole and flagged first; a flagged line is dropped only when it has more fields
-    than the header. Column pruning is off, because the flag depends on all columns.
+    ``multi_line`` reads line breaks inside quotes, from as many tasks as the files have byte ranges. Without it
+    a line is a record: lines are read whole and flagged first, and a flagged line is dropped only when it has more
+    cells than the header. Column pruning is off then, because the flag depends on all columns.
     """
+    if multi_line:
+        found = records.records(spark, path, encoding).where(records.cell_count(F.col("record")) <= len(columns))
+        named = StructType([StructField(c, StringType()) for c in columns])
+        return found.select(records.parsed(F.col("record"), named).alias("row")).select("row.*")
     strings = [StructField(c, StringType()) for c in columns]
     schema = StructType([*strings, StructField(CORRUPT, StringType())])
     flagged = (
@@ -101,7 +110,6 @@ def read_csv_tolerant(
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=CORRUPT,
             encoding=encoding,
-            multiLine=multi_line,
             columnPruning=False,
             quote='"',
             escape='"',

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpometer.operators.joins import bounded
 from corpometer.operators.reports import flat_nested
+from corpometer.session import stored
+from corpometer.sources.named_files import write_named_files
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "quoteAll": False, "emptyValue": '""'}
 
@@ -56,17 +59,27 @@ def article_file(idx, ts) -> Column:
 
 
 def _write_files(df: DataFrame, path: str) -> None:
-    """One file per row; the second and later rows of a name get their number behind it."""
+    """One file per row; the second and later rows of a name get their number behind it.
+
+    Only rows whose name comes more than once are numbered, by the order of their texts.
+    """
+    named = df.where("file IS NOT NULL")
+    shared = stored(named.groupBy("file").count().where("count > 1").select("file"), "shared-names")
+    local = bounded(shared)
+    shared = shared if local is None else F.broadcast(local)
     turn = F.row_number().over(Window.partitionBy("file").orderBy("value"))
+    rows = named.join(shared, "file", "left_semi").withColumn("turn", turn)
     name = F.when(F.col("turn") > 1, F.concat("file", F.lit("_"), F.col("turn"))).otherwise(F.col("file"))
-    df = df.withColumn("turn", turn).withColumn("file", name).drop("turn")
-    df.write.mode("overwrite").partitionBy("file").text(path)
+    numbered = rows.select(name.alias("file"), "value")
+    whole = named.join(shared, "file", "left_anti").select("file", "value").unionByName(numbered)
+    ended = F.concat("value", F.lit("\n")).alias("value")
+    write_named_files(whole.select(F.concat("file", F.lit(".txt")).alias("file"), ended), path)
 
 
 def write_article_files(
     df: DataFrame, path: str, idx: str = "idx", ts: str = "ts", topic: str = "topic", article: str = "article"
 ) -> None:
-    """One text file per row, in a folder named after its number and time."""
+    """One text file per row in one folder, named after its number and time."""
     body = F.concat(F.lit("Topic: "), F.col(topic), F.lit("\n\n"), F.col(article))
     _write_files(df.select(article_file(idx, ts).alias("file"), body.alias("value")), path)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpometer.operators.joins import attach, group_key
+from corpometer.operators.timing import running_time
 from corpometer.sources.readers import parse_articles
 
 BATCH_COLUMN = "stream_batch"
@@ -92,6 +94,48 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col(BATCH_COLUMN) == last).drop(BATCH_COLUMN)
 
 
+def running_totals(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    seconds_col: str = "elapsed_time",
+    order_col: str = "batch_id",
+    by: str = "model",
+) -> StreamingQuery:
+    """Add the seconds spent (``total_time``) and the rows done (``done``) up to each row as rows arrive.
+
+    Rows of a micro-batch are taken in the order of ``order_col`` within their group, behind all rows of the
+    micro-batches before. A group may hold any share of a micro-batch: its rows are added up in ranges
+    (:func:`timing.running_time`). The totals after each micro-batch go to a folder of their own; the next one
+    starts from there, also behind a restart, and one that runs twice replaces itself. Read the rows with
+    :func:`totals_so_far`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        summed = running_time(batch, seconds_col, order_col, [by]).withColumn("__g", group_key(by))
+        if batch_id:
+            before = spark.read.parquet(f"{path}/totals/{BATCH_COLUMN}={batch_id - 1}")
+            summed = attach(summed, before.select("__g", F.col("total").alias("__total"), F.col("rows").alias("__rows")), ["__g"])
+            added = {"total_time": F.col("total_time") + F.coalesce("__total", F.lit(0)), "done": F.col("done") + F.coalesce("__rows", F.lit(0))}
+            summed = summed.withColumns(added).drop("__total", "__rows")
+        rows_path = f"{path}/rows/{BATCH_COLUMN}={batch_id}"
+        summed.write.mode("overwrite").parquet(rows_path)
+        # The last row of a group has its totals; groups that did not turn up keep theirs.
+        new = spark.read.parquet(rows_path).groupBy("__g").agg(F.max_by("total_time", "done").alias("total"), F.max("done").alias("rows"))
+        if batch_id:
+            old = before.select("__g", F.col("total").alias("o_total"), F.col("rows").alias("o_rows"))
+            new = old.join(new, "__g", "full").select("__g", F.coalesce("total", "o_total").alias("total"), F.coalesce("rows", "o_rows").alias("rows"))
+        new.write.mode("overwrite").parquet(f"{path}/totals/{BATCH_COLUMN}={batch_id}")
+
+    return _each_batch(stream, write, checkpoint, "append")
+
+
+def totals_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`running_totals` has written, with the micro-batch each one came in."""
+    return spark.read.parquet(f"{path}/rows").drop("__g")
+
+
 def _each_batch(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str
 ) -> StreamingQuery:

@@ -175,3 +175,40 @@ def test_session_helpers(spark):
     assert stored(df).orderBy("id").collect() == df.orderBy("id").collect()
     assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 4
     assert spread(spark.range(0, 10, 1, 9), "id").rdd.getNumPartitions() == 9
+
+
+def test_article_files_have_names_of_their_own(spark, tmp_path):
+    rows = [(i, f"T{i % 3}", f"text {i}") for i in range(40)] + [(7, "T1", "again"), (7, "T1", "again"), (12345, "T", "é\n\n"), (None, "T", "no name")]
+    df = spark.createDataFrame(rows, "idx int, topic string, article string").repartition(5).withColumn("ts", F.lit("2025-11-09 08:51:46").cast("timestamp"))
+    path = tmp_path / "out"
+    writers.write_article_files(df, str(path))
+    names = sorted(p.name for p in path.iterdir())
+    assert names == sorted([f"article_{i:04d}_20251109_085146.txt" for i in (*range(40), 12345)] + [f"article_0007_20251109_085146_{k}.txt" for k in (2, 3)])
+    assert (path / "article_0012_20251109_085146.txt").read_text() == "Topic: T0\n\ntext 12\n"
+    got = readers.read_article_files(spark, str(path)).collect()
+    assert sorted((r.idx, r.topic, r.article) for r in got) == sorted(r for r in rows if r[0] is not None)
+    # Written again, the files before go; when a task fails, they stay and no part of the new ones does.
+    writers.write_article_files(df.where("idx < 3"), str(path))
+    assert len(list(path.iterdir())) == 3
+    bad = df.withColumn("article", F.when(F.col("idx") == 20, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("article")))
+    with pytest.raises(Exception, match="stop"):
+        writers.write_article_files(bad, str(path))
+    assert sorted(p.name for p in path.iterdir()) == [f"article_{i:04d}_20251109_085146.txt" for i in range(3)]
+
+
+def test_running_totals_go_on_behind_a_restart(spark, tmp_path):
+    schema = "model string, batch_id int, elapsed_time double"
+    steps = [[("m", 1, 1.0), ("k", 2, 5.0), ("m", 3, 2.0)], [("m", 5, 4.0), ("m", 4, 8.0)], [("k", 6, 1.0), ("n", 7, 3.0), (None, 8, 2.0)]]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = ingest.table_stream(spark, inbox, spark.read.parquet(inbox).schema)
+        ingest.running_totals(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted(tuple(r) for r in ingest.totals_so_far(spark, out).select("batch_id", "total_time", "done", ingest.BATCH_COLUMN).collect())
+    assert got == [(1, 1.0, 1, 0), (2, 5.0, 1, 0), (3, 3.0, 2, 0), (4, 11.0, 3, 1), (5, 15.0, 4, 1), (6, 6.0, 2, 2), (7, 3.0, 1, 2), (8, 2.0, 1, 2)]
+
+
+def test_scorer_takes_ids_of_any_type(spark):
+    df = spark.createDataFrame([("r", "a7", "ok"), ("r", "b", None)], "corpus string, doc_id string, text string")
+    got = scoring.score_batches(df, lambda: lambda texts: ([1.0] * len(texts), [1] * len(texts))).collect()
+    assert sorted((r.doc_id, r.nll) for r in got) == [("a7", 1.0), ("b", 0.0)]
