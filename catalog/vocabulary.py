@@ -67,8 +67,8 @@ DF = f"""f AS (SELECT corpus, token, count(DISTINCT doc_id) AS df, count(*) AS c
 DF_ALL = DF.replace(DOCS, "(SELECT doc_id, text, 'all' AS corpus FROM documents)")
 
 
-def frequent(docs):
-    tokens = T.simple_tokens("text")
+def frequent(docs, tokens=None):
+    tokens = T.simple_tokens("text") if tokens is None else tokens
     return stats.frequent_tokens(stats.document_frequency(docs, tokens), stats.documents_per_corpus(docs))
 
 
@@ -91,10 +91,9 @@ def document_frequency(spark, folder):
     SELECT doc_id, string_agg(token_id || ':' || n, ' ' ORDER BY token_id) AS bag FROM c GROUP BY doc_id""",
 )
 def bag_of_words(spark, folder):
-    docs = texts(spark, folder)
-    counts = stored(bags.term_counts(docs, T.simple_tokens("text")), "term-counts")
-    ids = bags.dictionary(frequent_of(counts, docs))
-    bag = bags.bags_of_counts(counts, ids)
+    # The dictionary and the bags both read the tokens, so they are cut once.
+    docs = stored(texts(spark, folder).select("doc_id", T.simple_tokens("text").alias("tokens")), "tokens")
+    bag = bags.bags_of_words(docs, F.col("tokens"), bags.dictionary(frequent(docs.withColumn("corpus", F.lit("all")), F.col("tokens"))))
     pairs = F.transform("bag", lambda b: F.concat_ws(":", b["token_id"].cast("string"), b["n"].cast("string")))
     return bag.select("doc_id", F.array_join(pairs, " ").alias("bag"))
 

@@ -1,6 +1,7 @@
 """Measures against hand-worked values and brute force."""
 
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -264,3 +265,20 @@ def test_pooling_without_mask_gives_zero(spark):
     df = spark.createDataFrame([(1, [2.0, 4.0], 1), (1, [4.0, 8.0], 1), (1, [9.0, 9.0], 0), (2, [5.0, 5.0], 0)], "doc_id int, vector array<float>, mask int")
     got = {(r["doc_id"], r["place"]): r["value"] for r in stats.pooled_vectors(df).collect()}
     assert got == {(1, 0): 3.0, (1, 1): 6.0, (2, 0): 0.0, (2, 1): 0.0}
+
+
+@pytest.mark.parametrize("hot", [500_000, 40, 3, 0])
+def test_token_ids_and_bags_by_any_number_of_hot_tokens(spark, hot):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(30)] + ["é", "seldom"] + [f"rare{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [60 / (i + 1) for i in range(len(words))], k=rng.randrange(40))) for _ in range(120)] + ["", "nowhere at all", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    counts = Counter(t for text in texts for t in (text or "").split() if not t.startswith("nowhere"))
+    known = {t: i * 7 for i, t in enumerate(sorted(counts)) if t not in ("at", "all", "rare3")}
+    ids = spark.createDataFrame([(t, i, counts[t]) for t, i in known.items()], "token string, token_id bigint, cf bigint")
+    want = {i: [known[t] for t in (text or "").split() if t in known] for i, text in enumerate(texts)}
+    got = bags.encode(df, T.space_tokens("text"), ids, hot_tokens=hot).collect()
+    assert {r.doc_id: r.input_ids for r in got} == want and len(got) == len(texts)
+    bag = bags.bags_of_words(df, T.space_tokens("text"), ids, hot_tokens=hot).collect()
+    assert {r.doc_id: [tuple(b) for b in r.bag] for r in bag} == {i: sorted(Counter(x).items()) for i, x in want.items() if x}
+    assert bags.encode(df.limit(0), T.space_tokens("text"), ids, hot_tokens=hot).count() == 0
