@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from catalog.base import VECS, documents, embeddings, query, quoted, rounded, sql_simple, sql_tfidf_tokens, texts
 from corpometer.functions import text as T
 from corpometer.functions.subwords import subword_tokens
-from corpometer.operators import density, stats
+from corpometer.operators import density, distance, sketches, stats
 from corpometer.plans import hashed, sentences, topic_tables
+from corpometer.session import stored
 
 #: A public vocabulary; the path is a parameter of the queries and of the library.
 SUBWORDS = "/opt/tokenizers/byte_bpe_50k.json"
@@ -241,3 +242,25 @@ def binned_density_grid(spark, folder):
     """The density of the first two numbers of each embedding, from points dealt out to a finer grid."""
     points = embeddings(spark, folder).select("corpus", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
     return rounded(density.binned_density_grid(points, points=40).drop("level"), "x", "y", "density")
+
+
+# --- sketches ---
+
+
+@query(
+    "sketched_wasserstein",
+    """SELECT direction, 'synthetic' AS corpus, n, true AS within_error FROM (SELECT CAST(unnest(range(128)) AS INTEGER) AS direction),
+        (SELECT count(*) FILTER (WHERE label >= 5) AS n FROM embeddings WHERE embedding IS NOT NULL)""",
+)
+def sketched_wasserstein(spark, folder):
+    """Whether the distance from merged sketches is as near to the exact one as it promises, along every direction."""
+    rows = embeddings(spark, folder)
+    halves = [rows.where(F.pmod("vec_id", F.lit(2)) == half) for half in (0, 1)]
+    vectors = distance.directions(64, 128, 42)
+    parts = [stored(sketches.value_sketches(distance.project(h, vectors), "value", ["corpus", "direction"]), "sketches") for h in halves]
+    merged = stored(sketches.merged_sketches(parts[0].unionByName(parts[1]), ["corpus", "direction"]), "merged-sketches")
+    found = sketches.sketched_distances(merged, "real", ["synthetic"])
+    exact = distance.sliced_distances(rows, 64, n_projections=128).select("direction", "corpus", F.col("distance").alias("exact"))
+    sizes = merged.where("corpus <> 'real'").select("direction", "corpus", "n")
+    joined = found.join(exact, ["direction", "corpus"]).join(sizes, ["direction", "corpus"])
+    return joined.select("direction", "corpus", "n", (F.abs(F.col("distance") - F.col("exact")) <= F.col("error")).alias("within_error"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, rounded, table
+from catalog.base import DOCS, documents, query, rounded, sql_space, table
 from catalog.files import STAMP, _topic_sql
+from corpometer.functions import text as T
 from corpometer.functions.prompts import pick_topic
+from corpometer.operators import sketches, stats
 from corpometer.session import fresh_path
 from corpometer.sources import writers
 from corpometer.streaming import ingest
@@ -98,3 +100,49 @@ def stream_running_time(spark, folder):
     _arriving(spark, folder, run)
     rows = ingest.totals_so_far(spark, path).drop(ingest.BATCH_COLUMN)
     return rounded(rows, "total_time").select("model", "batch_id", "elapsed_time", "total_time", "done")
+
+
+TERMS = 400
+PART = "CAST(floor(doc_id * 3 / (SELECT max(doc_id) + 1 FROM documents)) AS INTEGER)"
+SUMMARY = f"""toks AS (SELECT corpus, part, unnest(t) AS token FROM (SELECT corpus, {PART} AS part, {sql_space('text')} AS t FROM {DOCS})),
+    c AS (SELECT corpus, part, token, count(*) AS n FROM toks GROUP BY corpus, part, token),
+    cut AS (SELECT corpus, part, coalesce(max(n) FILTER (WHERE upto > {TERMS}), 0) AS cut FROM
+        (SELECT corpus, part, n, sum(count(*)) OVER (PARTITION BY corpus, part ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS upto FROM c GROUP BY corpus, part, n) GROUP BY corpus, part),
+    kept AS (SELECT corpus, part, token, n - cut AS n, cut AS short FROM c JOIN cut USING (corpus, part) WHERE n > cut),
+    taken AS (SELECT corpus, sum(short) AS short FROM (SELECT corpus, part, max(short) AS short FROM kept GROUP BY corpus, part) GROUP BY corpus),
+    s AS (SELECT corpus, token, sum(n) AS n FROM kept GROUP BY corpus, token),
+    cut2 AS (SELECT corpus, coalesce(max(n) FILTER (WHERE upto > {TERMS}), 0) AS cut FROM
+        (SELECT corpus, n, sum(count(*)) OVER (PARTITION BY corpus ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS upto FROM s GROUP BY corpus, n) GROUP BY corpus)"""
+
+
+def _vocabulary(spark, folder):
+    """Documents arrive in three parts by id; the stream starts anew for each."""
+    path, checkpoint, inbox = (fresh_path(spark, n) for n in ("vocabulary", "vocabulary-checkpoint", "texts"))
+    docs = documents(spark, folder).select("doc_id", "corpus", "text")
+    size = docs.agg(F.max("doc_id") + 1).scalar()
+    for part in range(3):
+        docs.where(F.floor(F.col("doc_id") * 3 / size) == part).write.mode("append").parquet(inbox)
+        stream = ingest.table_stream(spark, inbox, docs.schema)
+        ingest.vocabulary(stream, path, checkpoint, lambda: T.space_tokens("text"), terms=TERMS).awaitTermination()
+    return ingest.vocabulary_so_far(spark, path, terms=TERMS)
+
+
+@query(
+    "stream_frequent_terms",
+    f"""WITH {SUMMARY} SELECT corpus, token, CAST(n - cut AS BIGINT) AS n, CAST(short + cut AS BIGINT) AS short FROM s JOIN taken USING (corpus) JOIN cut2 USING (corpus) WHERE n > cut""",
+)
+def stream_frequent_terms(spark, folder):
+    """Counts of frequent terms merged from the summaries of three micro-batches, and what they may fall short by."""
+    return _vocabulary(spark, folder)[1]
+
+
+@query(
+    "stream_types",
+    f"""SELECT corpus, count(*) AS n_tokens, true AS within_error FROM (SELECT corpus, unnest({sql_space('text')}) AS token FROM {DOCS}) GROUP BY corpus""",
+)
+def stream_types(spark, folder):
+    """Tokens so far, and whether the estimate of the types is as near to their number as it promises to be."""
+    merged = _vocabulary(spark, folder)[0]
+    exact = stats.vocabulary_stats(stats.token_counts(documents(spark, folder))).select("corpus", F.col("n_types").alias("exact"))
+    near = F.abs(F.col("n_types") - F.col("exact")) <= F.col("exact") * sketches.type_error()
+    return merged.join(exact, "corpus").select("corpus", F.col("n_tokens").cast("bigint").alias("n_tokens"), near.alias("within_error"))

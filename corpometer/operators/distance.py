@@ -72,8 +72,10 @@ def wasserstein_1d(
     gap = F.coalesce(F.col("__next") - F.col("__x"), F.lit(0.0))
     sized = counted.groupBy(*by).agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))])
     shares = attach(run, sized, by, how="inner") if by else attach_row(run, sized)
+    # A corpus without a value has no share, and no distance.
+    share = [F.col(f"c{i}") / F.nullif(F.col(f"t{i}"), F.lit(0)) for i in range(len(names))]
     areas = [
-        F.sum(F.abs(F.col("c0") / F.col("t0") - F.col(f"c{i}") / F.col(f"t{i}")) * gap).alias(f"d{i}")
+        F.sum(F.abs(share[0] - share[i]) * gap).alias(f"d{i}")
         for i in range(1, len(names))
     ]
     wide = shares.groupBy(*by).agg(*areas)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpometer.operators import sketches
 from corpometer.operators.joins import attach, group_key
 from corpometer.operators.timing import running_time
 from corpometer.sources.readers import parse_articles
@@ -136,6 +137,30 @@ def totals_so_far(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("__g")
 
 
+def vocabulary(
+    stream: DataFrame, path: str, checkpoint: str, tokens: Callable[[], Column], corpus_col: str = "corpus", terms: int = sketches.TERMS
+) -> StreamingQuery:
+    """Store sketches of types and frequent terms of each micro-batch; texts of earlier ones are not read again.
+
+    ``tokens`` gives the column of tokens. A micro-batch that runs twice replaces its own sketches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        types, frequent = sketches.vocabulary_sketches(batch, tokens(), [corpus_col], terms)
+        types.write.mode("overwrite").parquet(f"{path}/types/{BATCH_COLUMN}={batch_id}")
+        frequent.write.mode("overwrite").parquet(f"{path}/terms/{BATCH_COLUMN}={batch_id}")
+
+    return _each_batch(stream, write, checkpoint, "append")
+
+
+def vocabulary_so_far(
+    spark: SparkSession, path: str, corpus_col: str = "corpus", terms: int = sketches.TERMS
+) -> tuple[DataFrame, DataFrame]:
+    """Types and frequent terms of all that has arrived, as in :func:`sketches.merged_vocabulary`."""
+    types, frequent = spark.read.parquet(f"{path}/types"), spark.read.parquet(f"{path}/terms")
+    return sketches.merged_vocabulary(types, frequent, [corpus_col], BATCH_COLUMN, terms)
+
+
 def _each_batch(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str
 ) -> StreamingQuery:
