@@ -1,9 +1,11 @@
 """Decontamination, SimHash, license scan and URL verdicts against brute force on small tables."""
 
 import itertools
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -260,12 +262,65 @@ def test_segmentation_finds_the_best_split():
     segmenter = urls.Segmenter(counts)
     def cost(ws):
         return sum(segmenter.cost.get(w, segmenter.total + 2.302585092994046 * len(w)) for w in ws)
+    rare = {w: c for w, c in counts.items() if c < 35}
+    few = urls.Segmenter({w: c for w, c in counts.items() if c >= 35}, sum(counts.values()))
     for name in ("newspaper", "therapist", "anews", "xqz", "a", "thepaperx"):
         cuts = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)), strict=True)] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
         assert abs(cost(segmenter.split(name)) - min(map(cost, cuts))) < 1e-9
+        assert few.split(name, rare) == segmenter.split(name)
     assert segmenter.split("") == [] and "".join(segmenter.split("the" * 5_000)) == "the" * 5_000
 
 
+def plain_verdicts(rows, rules):
+    """Word counts, segmentation and naive Bayes over whole tables, in plain Python."""
+    words = Counter()
+    for _, _, html in rows:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", html or "").lower()
+        words.update(w for w in re.split(r"[^a-zé]+", text) if w)
+    segmenter, table = urls.Segmenter(words), urls.Rules(rules)
+    pages = []
+    for i, url, _ in rows:
+        found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].translate(LOWER), found[2]) if found else ("", "")
+        tokens = [m if r is None else m + w for m, r in urls.marks_of(host, path) for w in ([""] if r is None else segmenter.split(r))]
+        pages.append((i, table.best(host, path), tokens))
+    sides = [Counter(t for _, r, ts in pages if r and r.verdict == v for t in ts) for v in ("block", "allow")]
+    n = [sum(1 for _, r, _ in pages if r and r.verdict == v) for v in ("block", "allow")]
+    distinct = len(sides[0] | sides[1])
+    out = []
+    for i, rule, tokens in pages:
+        odds = 0.0
+        if all(n):
+            odds = math.log(n[0] / n[1])
+            for t in tokens:
+                b, a = ((s[t] + 1) / (sum(s.values()) + distinct + 1) for s in sides)
+                odds += math.log(b) - math.log(a)
+        out.append((i, rule and rule.text, rule.verdict if rule else "block" if odds > 1e-9 else "allow", tokens, round(odds, 6)))
+    return sorted(out, key=str)
+
+
+def url_rows():
+    rng = random.Random(21)
+    words = ["news", "school", "casino", "money", "win", "class", "river", "stone", "a", "café", "extraordinarylongwordofmorethantwentyfourletters"]
+    rows = []
+    for i in range(150):
+        name = "".join(rng.choices(words, k=rng.randrange(1, 4)))
+        host = rng.choice(["bad.com", "good.com", "en.org", "xqz"])
+        html = f"<STYLE>hidden casino</STYLE><p>{' '.join(rng.choices(words, range(11, 0, -1), k=6))} once{'abcdefghij'[i % 10]}</p><!-- gone -->"
+        rows.append((i, f"http://{name}{rng.choice(['', '7'])}.{host}/{rng.choice(words)}/{rng.choice(['x', '12', 'once' + 'abcdefghij'[i % 10]])}?q", html))
+    rows += [(900, "http://" + "newsschool" * 400 + ".org/" + "q" * 3000, None), (901, None, "<p>" + "river " * 9000 + "z" * 5000), (None, "none", ""), (901, None, None), (5, rows[5][1], rows[5][2])]
+    return rows
+
+
+@pytest.mark.parametrize(("hot", "parts"), [(50_000, 2), (4, 16), (0, 3)])
+def test_url_verdicts_equal_plain_python(spark, hot, parts):
+    rules = [urls.Rule("block", "bad.com"), urls.Rule("allow", "good.com"), urls.Rule("allow", "en.org", "/river")]
+    rows = url_rows()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts).selectExpr("*", "1 AS host", "2 AS words", "3 AS n", "4 AS row")
+    got = urls.judged(pages, urls.fit(pages, rules, hot_words=hot, hot_tokens=hot)).collect()
+    assert sorted(((r.page_id, r.rule, r.verdict, r.words, round(r.odds, 6)) for r in got), key=str) == plain_verdicts(rows, rules)
+
+
 def test_url_verdicts(spark):
     rules = [urls.Rule("block", "bad.com"), urls.Rule("allow", "good.com")]
     rows = [(i, f"http://casino{i}.bad.com/win/money", "<p>casino money win news school</p>") for i in range(30)]
