@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from catalog.base import VECS, documents, embeddings, query, quoted, rounded, sql_simple, sql_tfidf_tokens, texts
 from corpometer.functions import text as T
 from corpometer.functions.subwords import subword_tokens
-from corpometer.operators import density, distance, sketches, stats
-from corpometer.plans import hashed, sentences, topic_tables
+from corpometer.operators import bags, density, distance, sketches, stats
+from corpometer.plans import factors, hashed, layout, sentences, topic_tables
 from corpometer.session import stored
 
 #: A public vocabulary; the path is a parameter of the queries and of the library.
@@ -264,3 +264,41 @@ def sketched_wasserstein(spark, folder):
     sizes = merged.where("corpus <> 'real'").select("direction", "corpus", "n")
     joined = found.join(exact, ["direction", "corpus"]).join(sizes, ["direction", "corpus"])
     return joined.select("direction", "corpus", "n", (F.abs(F.col("distance") - F.col("exact")) <= F.col("error")).alias("within_error"))
+
+
+# --- word vectors and views ---
+
+
+@query(
+    "word_information",
+    f"""WITH toks AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, {sql_simple('text')} AS t FROM documents)),
+    f AS (SELECT token FROM toks GROUP BY token HAVING count(*) >= 5),
+    k AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p FROM toks JOIN f USING (token)),
+    pairs AS (SELECT a.token AS i, b.token AS j, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.p - a.p BETWEEN 1 AND {factors.WINDOW} GROUP BY a.token, b.token),
+    n AS (SELECT i, j, sum(n) AS n FROM (SELECT i, j, n FROM pairs UNION ALL SELECT j, i, n FROM pairs) GROUP BY i, j),
+    s AS (SELECT i, sum(n) AS total FROM n GROUP BY i),
+    x AS (SELECT n.i, n.j, ln(n.n * CAST((SELECT sum(total) FROM s) AS DOUBLE) / (CAST(a.total AS DOUBLE) * b.total)) AS x FROM n JOIN s a ON a.i = n.i JOIN s b ON b.i = n.j)
+    SELECT i AS token, count(*) AS n_near, round(sum(x), 4) AS information FROM x WHERE x > 0 GROUP BY i""",
+)
+def word_information(spark, folder):
+    """Of every word how many others it is near to more often than by chance, and the information in that."""
+    docs = stored(texts(spark, folder).select("doc_id", T.simple_tokens("text").alias("tokens")), "tokens")
+    counts = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cf")).where("cf >= 5")
+    ids = bags.dictionary(counts)
+    found = factors.positive_information(factors.co_occurrences(bags.encode(docs, F.col("tokens"), ids)))
+    totals = found.groupBy(F.col("i").alias("token_id")).agg(F.count(F.lit(1)).alias("n_near"), F.round(F.sum("x"), 4).alias("information"))
+    return totals.join(ids, "token_id").select("token", "n_near", "information")
+
+
+@query("factored_text_vectors")
+def factored_text_vectors(spark, folder):
+    """Mean factored word vectors of all documents; tests compare the factors with those of numpy."""
+    docs = texts(spark, folder).select("doc_id", "text")
+    words = factors.word_vectors(docs, T.simple_tokens("text"), width=32)
+    return factors.text_vectors(docs, T.simple_tokens("text"), words, 32)
+
+
+@query("neighbour_view")
+def neighbour_view(spark, folder):
+    """Places in the plane for all embeddings; tests compare the neighbours kept with those of principal components."""
+    return layout.neighbour_view(embeddings(spark, folder), "embedding", "vec_id", ("corpus",))
