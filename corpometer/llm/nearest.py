@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4_096
 ROW_BLOCK = 16_384
+PAIRS = 32_768  # surviving pairs worked out together
 TILE = 2_048
 TOP = 5
 
@@ -90,13 +91,16 @@ def nearest_in_block(q_ids: np.ndarray, q_rows: np.ndarray, r_ids: np.ndarray, r
                 sure = np.partition(estimate - off, -top, axis=1)[:, -top]
                 floor[qs] = np.maximum(floor[qs], sure)
             at, to = np.nonzero((estimate + off >= floor[qs][:, None]) & ~own)
-            scores = cosines(q_rows[qs][at], r_rows[rs][to])
-            for i, s, other in zip((at + low).tolist(), scores.tolist(), r_ids[rs][to].tolist(), strict=True):
-                heap = heaps[i]
-                if len(heap) < top:
-                    heapq.heappush(heap, (s, -other))
-                elif (s, -other) > heap[0]:
-                    heapq.heapreplace(heap, (s, -other))
+            # Of equal vectors all pairs of a tile may survive: their rows are gathered some at a time.
+            for first in range(0, len(at), PAIRS):
+                some, others = at[first : first + PAIRS], to[first : first + PAIRS]
+                scores = cosines(q_rows[qs][some], r_rows[rs][others])
+                for i, s, other in zip((some + low).tolist(), scores.tolist(), r_ids[rs][others].tolist(), strict=True):
+                    heap = heaps[i]
+                    if len(heap) < top:
+                        heapq.heappush(heap, (s, -other))
+                    elif (s, -other) > heap[0]:
+                        heapq.heapreplace(heap, (s, -other))
             # Several copies of one id may be in the block, so the floor allows for equal scores.
             floor[qs] = [max(f, h[0][0] - 1e-12) if len(h) == top else f for f, h in zip(floor[qs], heaps[qs], strict=True)]
     return [[(s, -other) for s, other in sorted(h, reverse=True)] for h in heaps]

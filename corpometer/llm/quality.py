@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpometer.llm.common import kept_by, labelled_sample, with_columns_from
+from corpometer.session import stored
 
 FIT_ROWS = 6_000
-FIT_LINES = 2_000
+FIT_LINES = 1_000_000
 ROUNDS = 3
 STEPS = 120
 
@@ -214,24 +217,28 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
 
     Labels are of documents: all lines of a good one are good; of a bad one, those that the model of
     the round before finds bad, at least one. Texts of at most about ``max_rows`` labelled rows, drawn
-    by a hash of the id, are used, of those with up to ``max_lines`` lines; only bins of their lines
-    come to the driver. Without labels every text is taken for good.
+    by a hash of the id, are used, however long they are; only bins of their lines come to the driver. If
+    these are more than ``max_lines`` in all, texts are left out in the order of a hash until they are not.
+    Without labels every text is taken for good.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, bytes, bytes]] = []
+            out: list[tuple[int, int, int, bytes, bytes]] = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = lines_of([text])
-                if len(lines.sizes) <= max_lines:
-                    out.append((label, lines.bins.tobytes(), lines.sizes.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
-                names=["label", "bins", "sizes"],
-            )
+                bins = lines.bins.tobytes()
+                out.append((crc32(bins), len(lines.sizes), label, bins, lines.sizes.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["code", "n", "label", "bins", "sizes"])
 
     sample = labelled_sample(docs, labels, "quality", folds, held_out, max_rows)
-    rows = sample.mapInArrow(gather, "label int, bins binary, sizes binary").toArrow().to_pylist()
+    found = stored(sample.mapInArrow(gather, "code long, n long, label int, bins binary, sizes binary"), "line-bins")
+    held, last = 0, -1
+    for code, n in sorted((r["code"], r["n"]) for r in found.select("code", "n").toArrow().to_pylist()):
+        held += n
+        last = code if held <= max_lines else last
+    rows = found.where(F.col("code") <= last).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["label"], r["bins"]))
     sizes = [np.frombuffer(r["sizes"]) for r in rows]
     bins = [np.frombuffer(r["bins"], dtype=np.int16).reshape(-1, len(BORDERS)) for r in rows]

@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import heaviest, kept_by, labelled_sample, let_go, with_columns_from
+from corpometer.llm.common import kept_by, labelled_sample, let_go, with_columns_from
 from corpometer.llm.quality import logistic
 from corpometer.session import stored
 
 FIT_ROWS = 20_000
-MAX_UNITS = 50_000
 MIN_DOCUMENTS = 4
 DEVIATIONS = 2.0
 FLAT_PRIOR = 0.5
@@ -117,25 +116,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def log_odds(sample: DataFrame, max_units: int = MAX_UNITS) -> dict[str, float]:
+def log_odds(sample: DataFrame) -> dict[str, float]:
     """Units that stand out in toxic texts, with their log-odds less two standard deviations.
 
-    The Dirichlet prior is a flat part and a part in proportion to the pooled counts.
+    The Dirichlet prior is a flat part and a part in proportion to the pooled counts. Every unit of four toxic
+    documents of the sample and more is judged; the sample's rows bound how many there can be.
     """
     counts = stored(sample.mapInArrow(_counted, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "units")
-    total = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
-    row = total.select(F.struct(*total.columns).alias("n")).scalar()
-    prior = F.lit(FLAT_PRIOR) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / (row["n1"] + row["n0"])
+    row = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).toArrow().to_pylist()[0]
+    if not row["n1"]:
+        return {}
+    prior = F.lit(FLAT_PRIOR) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(row["n1"] + row["n0"])
 
-    def side(y: str, n) -> F.Column:
-        return F.log((F.col(y) + prior) / (n + F.lit(PRIOR) - F.col(y) - prior))
+    def side(y: str, n: int) -> F.Column:
+        return F.log((F.col(y) + prior) / (F.lit(n) + F.lit(PRIOR) - F.col(y) - prior))
 
     delta = side("toxic", row["n1"]) - side("clean", row["n0"])
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    # Rounded, so that units of about the same odds are kept or left out together.
     odds = F.round(delta - F.lit(DEVIATIONS) * spread, 3).alias("odds")
-    kept = stored(counts.where(F.col("toxic") >= MIN_DOCUMENTS).select("unit", odds).where("odds > 0"), "toxic-units")
-    return {r["unit"]: r["odds"] for r in heaviest(kept, "odds", max_units).to_pylist()}
+    kept = counts.where(F.col("toxic") >= MIN_DOCUMENTS).select("unit", odds).where("odds > 0")
+    return {r["unit"]: r["odds"] for r in kept.toArrow().to_pylist()}
 
 
 def _measures(found: list[tuple[int, int, float]], n: int, model: Tox) -> tuple[float, float, float]:
@@ -157,15 +157,14 @@ def _rate(share: np.ndarray, values: np.ndarray) -> float:
     return max(low, 1e-3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = FIT_ROWS,
-        max_units: int = MAX_UNITS) -> Tox:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_rows: int = FIT_ROWS) -> Tox:
     """Learn from whole texts of at most about ``max_rows`` rows labelled ``toxic`` outside the held-out fold.
 
-    Counts are of documents that hold a unit. ``max_units`` bounds the model. Without labels, or with
-    none that is toxic, no text is taken for toxic.
+    Counts are of documents that hold a unit. Without labels, or with none that is toxic, no text is taken
+    for toxic.
     """
     sample = stored(labelled_sample(docs, labels, "toxic", folds, held_out, max_rows), "toxicity-sample")
-    model = Tox(log_odds(sample, max_units))
+    model = Tox(log_odds(sample))
     odds = model.odds
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

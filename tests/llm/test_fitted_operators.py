@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import struct
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -86,6 +87,16 @@ def test_quality_learns_from_other_folds(spark):
     assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), no_labels)).count() == 0
 
 
+def test_quality_learns_from_long_texts_too(spark):
+    rows, labels = quality_rows(30)
+    rows = [(i, "\n".join([t] * 450)) for i, t in rows]
+    assert all(t.count("\n") > 400 for _, t in rows) and any(t.count("\n") > 2_000 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_lines=20_000)
+    got = quality.scored(docs, field).collect()
+    assert sum(r.predicted == int(r.doc_id % 3 != 0) for r in got) > 27
+
+
 # --- toxicity ---
 
 
@@ -330,6 +341,17 @@ def test_nearest_equals_brute_force(spark, blocks):
     assert nearest.nearest(df.limit(0), df).count() == 0 and nearest.nearest(df, df.limit(0)).count() == 0
 
 
+def test_equal_vectors_take_little_memory():
+    row = np.random.default_rng(2).normal(size=128)
+    ids = np.arange(1_500)
+    tracemalloc.start()
+    found = nearest.nearest_in_block(ids[:600], np.tile(row, (600, 1)), ids, np.tile(row, (1_500, 1)), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [other for _, other in found[0]] == [1, 2, 3, 4, 5] and [other for _, other in found[7]] == [0, 1, 2, 3, 4]
+    assert peak < 300_000_000
+
+
 def test_tile_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 64)), rng.standard_cauchy(size=(60, 64))
