@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpometer.llm.common import heaviest, let_go, pieces
-from corpometer.session import stored
+from corpometer.session import fresh_path, stored
 
 END = b" "
 BUCKETS = 128
@@ -25,6 +25,8 @@ WIDTH = 16
 NOISE = 48
 BATCH = 8_192
 RATE = 0.02
+SHARD_TOKENS = 200_000
+ROUNDS = 12
 FLUSH = 300_000
 
 
@@ -142,7 +144,7 @@ class Trainer:
     be log-probabilities; what is left of the sum over words is put right by the exact one when scoring.
     """
 
-    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE):
+    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE, state: np.ndarray | None = None):
         self.context, self.target = model.context.astype(np.float32), model.target.astype(np.float32)
         self.places = [p.astype(np.float32) for p in model.places]
         self.bias = model.bias.astype(np.float32)
@@ -151,6 +153,25 @@ class Trainer:
         self.edges, self.expected = np.cumsum(share), np.log(noise * share).astype(np.float32)
         self.rng = np.random.default_rng(5)
         self.squares = [np.full_like(w, 1e-2) for w in self._weights()]
+        self.lost = 0.0
+        if state is not None:
+            self._set(state)
+
+    def state(self) -> np.ndarray:
+        """Weights and squared gradients so far as rows of one table."""
+        width = self.context.shape[1]
+        tall = lambda w: w if w.ndim == 2 else np.concatenate([w, np.zeros(-len(w) % width, w.dtype)]).reshape(-1, width)
+        return np.concatenate([tall(w) for w in (*self._weights(), *self.squares)]).astype(np.float64)
+
+    def _set(self, state: np.ndarray) -> None:
+        width, low = self.context.shape[1], 0
+        for w in (*self._weights(), *self.squares):
+            rows = len(w) if w.ndim == 2 else -(-len(w) // width)
+            w[:] = state[low : low + rows].ravel()[: w.size].reshape(w.shape)
+            low += rows
+
+    def model(self) -> Bilinear:
+        return Bilinear(*(w.astype(np.float64) for w in (self.context, self.target)), [p.astype(np.float64) for p in self.places], self.bias.astype(np.float64))
 
     def _weights(self) -> list[np.ndarray]:
         return [self.context, self.target, *self.places, self.bias]
@@ -171,6 +192,7 @@ class Trainer:
         real = np.einsum("ij,ij->i", query, own) + self.bias[word] - self.expected[word]
         false = query @ self.target[noise].T + (self.bias[noise] - self.expected[noise])
         up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        self.lost += float(np.logaddexp(0, -real).sum() + np.logaddexp(0, false).sum())
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         back = up[:, None] * own + down @ self.target[noise]
         target = self._gather(word, up[:, None] * query)
@@ -212,47 +234,99 @@ def _minus_ones(n: int) -> list[int]:
     return [-1] * n
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", width: int = WIDTH, noise: int = NOISE, rate: float = RATE) -> Bilinear:
-    """Train on all given texts: every task from the same start on what it reads, then a mean of the
-    parameters by tokens read, taken by Spark row by row."""
-    first = start(vocab, width)
+def _sharded(docs: DataFrame, vocab: Vocabulary, text: str, shard_tokens: int) -> tuple[DataFrame, int]:
+    """Stored (shard, key, ids, round) of all texts, and the number of rounds.
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shard is about ``shard_tokens`` tokens, a round one of up to ``ROUNDS`` parts of the shards, each stored apart.
+    Shard and order follow a hash of the row, its id too if there is one, so they are the same for any layout.
+    """
+    shards = max(1, -(-vocab.total // shard_tokens))
+    rounds = min(ROUNDS, shards)
+    key = F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", text)])
+    rows = docs.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key"), F.col(text).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         index = {t: i for i, t in enumerate(vocab.tokens)}
-        trainer = Trainer(first, vocab, noise, rate)
-        runs: list[np.ndarray] = []
-        held = 0
         for batch in batches:
-            for value in batch.column(0):
-                ids = _ids(tokens_of(value.as_py()), index, vocab)[1]
-                runs.append(ids)
-                held += len(ids)
-                if held >= 16 * BATCH:
-                    _train_on(trainer, runs)
-                    runs, held = [], 0
-        if runs:
-            _train_on(trainer, runs)
-        if trainer.seen:
-            rows = np.concatenate([trainer.context, trainer.target, *trainer.places]).astype(np.float64)
-            flat = np.concatenate([trainer.bias, np.zeros(-len(trainer.bias) % width)]).reshape(-1, width)
-            rows = np.concatenate([rows, flat]) * trainer.seen
-            columns = [pa.array(np.arange(len(rows))), pa.array([trainer.seen] * len(rows), pa.int64()), *(pa.array(rows[:, k]) for k in range(width))]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "seen", *names])
+            for low, high in pieces(batch.column(2), 1_000_000):
+                ids = [_ids(tokens_of(t.as_py()), index, vocab)[1] for t in batch.column(2).slice(low, high - low)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), lists], names=["shard", "key", "ids"])
+
+    coded = rows.mapInArrow(encode, "shard long, key long, ids array<int>").withColumn("round", F.pmod("shard", F.lit(rounds)).cast("int"))
+    path = fresh_path(docs.sparkSession, "token-runs")
+    coded.repartition("shard").sortWithinPartitions("round", "shard", "key").write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(coded.schema).parquet(path), rounds
+
+
+def train(
+    docs: DataFrame, vocab: Vocabulary, text: str = "text", width: int = WIDTH, noise: int = NOISE, rate: float = RATE, shard_tokens: int = SHARD_TOKENS,
+    losses: list[float] | None = None,
+) -> Bilinear:
+    """Train on all given texts, once, in rounds that each start from the mean of the round before.
+
+    Texts are dealt into shards by hash. A round takes some of the shards; each one starts from the common state,
+    and the mean of their states by tokens, weights and step sizes, is where the next round starts. More text makes
+    more shards, and these more rounds, up to ``ROUNDS``. Neither files nor cores change the result. ``losses``
+    takes the mean loss of each round's texts before it learns from them.
+    """
+    first = start(vocab, width)
+    runs, rounds = _sharded(docs, vocab, text, shard_tokens)
+    state = Trainer(first, vocab, noise, rate).state()
+    for number in range(rounds):
+        state = _round(runs.where(F.col("round") == number).select("shard", "ids"), state, first, vocab, noise, rate, losses)
+    return Trainer(first, vocab, noise, rate, state).model()
 
+
+def _round(rows: DataFrame, state: np.ndarray, first: Bilinear, vocab: Vocabulary, noise: int, rate: float, losses: list[float] | None) -> np.ndarray:
+    """The mean state after each shard of the rows has been learnt from."""
+    width = state.shape[1]
     names = [f"v{k}" for k in range(width)]
-    schema = "at long, seen long, " + ", ".join(f"{n} double" for n in names)
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(learn, schema)
-    found = parts.groupBy("at").agg(*(F.sum(n).alias(n) for n in ("seen", *names))).orderBy("at").toArrow()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        total, seen, lost = np.zeros(state.shape), 0, 0.0
+        trainer, shard, held, size = None, None, [], 0
+
+        def end() -> None:
+            nonlocal total, seen, lost
+            if trainer is not None:
+                _train_on(trainer, held)
+                total += trainer.state() * trainer.seen
+                seen += trainer.seen
+                lost += trainer.lost
+
+        for batch in batches:
+            for number, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != shard:
+                    end()
+                    trainer, shard, held, size = Trainer(first, vocab, noise, rate, state), number, [], 0
+                held.append(ids.values.to_numpy(zero_copy_only=False))
+                size += len(held[-1])
+                if size >= 16 * BATCH:
+                    _train_on(trainer, held)
+                    held, size = [], 0
+        end()
+        if seen:
+            columns = [pa.array(np.arange(len(total))), pa.array([float(seen)] * len(total)), pa.array([lost] * len(total)), *(pa.array(total[:, k]) for k in range(width))]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "seen", "lost", *names])
+
+    schema = "at long, seen double, lost double, " + ", ".join(f"{n} double" for n in names)
+    parts = rows.mapInArrow(learn, schema)
+    found = parts.groupBy("at").agg(*(F.sum(n).alias(n) for n in ("seen", "lost", *names))).orderBy("at").toArrow()
     if not found.num_rows:
-        return first
-    rows = np.stack([found.column(n).to_numpy() for n in names], axis=1) / found.column("seen").to_numpy()[:, None]
-    n = len(first.bias)
-    context, target, one, two, bias = np.split(rows, np.cumsum([n, n, width, width]))
-    return Bilinear(context, target, [one, two], bias.ravel()[:n])
+        return state
+    seen = found.column("seen").to_numpy()
+    if losses is not None:
+        losses.append(float(found.column("lost")[0].as_py() / seen[0]))
+    return np.stack([found.column(n).to_numpy() for n in names], axis=1) / seen[:, None]
 
 
 def _train_on(trainer: Trainer, runs: list[np.ndarray]) -> None:
+    if not runs:
+        return
     one, two, word = places_of(runs)
     order = trainer.rng.permutation(len(word))
     for low in range(0, len(word), BATCH):

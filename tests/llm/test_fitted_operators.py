@@ -197,6 +197,23 @@ def test_language_model(spark, monkeypatch):
     assert logbilinear.scored_from(docs.limit(0), training)[0].count() == 0
 
 
+def test_language_model_does_not_follow_partitions(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"{w} of{w[0]}" for w in rng.choices(NAMES, k=60))) for i in range(1_000)] + [(2_000 + i, "same words again and again") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.where("doc_id % 7 <> 2")
+    vocab = logbilinear.vocabulary(logbilinear.stored(logbilinear.token_counts(training), "test-counts"))
+    found, traces = [], []
+    for parts in (4, 64):
+        losses = []
+        model = logbilinear.train(training.repartition(parts), vocab, shard_tokens=8_000, losses=losses)
+        traces.append(losses)
+        found.append(model.tables())
+    assert len(traces[0]) >= 10 and traces[0] == pytest.approx(traces[1], abs=1e-4) and traces[0][-1] < traces[0][0] - 0.1
+    for a, b in zip(*found, strict=True):
+        assert np.abs(a - b).max() < 0.005
+
+
 # --- SentencePiece ---
 
 
