@@ -156,6 +156,28 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def license_base_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op7_license_scan that come from the fixed phrases alone, which SQL can express."""
+    return op7_license_scan(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLE["license_base_places"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' AND ws[i + 1] = 'by') AS cc,
+    list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS gpl,
+    list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved') AS res FROM w
+)
+SELECT doc_id, len(ws) AS n_words, len(cc) + len(gpl) + len(res) AS n_base,
+  list_min(list_concat(cc, gpl, res)) - 1 AS first_word, list_max(list_concat(cc, gpl, res)) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END) AS base_labels
+FROM p
+"""
+
+
 @query
 def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; the fold of remainder 1 is not learnt from."""
@@ -189,6 +211,26 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(pages, urls.fit(pages, URL_RULES))
 
 
+@query
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op10_url_verdicts that come from the rules alone, which SQL can express."""
+    return op10_url_verdicts(spark, folder).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+ORACLE["url_rules"] = r"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), found AS (
+  SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM cut
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict FROM found
+"""
+
+
 @query
 def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The row that stays for every document, of those with the same text but for white space."""

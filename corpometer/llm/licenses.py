@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpometer.llm.common import ascii_lower
+from corpometer.llm.common import ascii_lower, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEVELS = 4
@@ -140,7 +140,7 @@ SINGLE = (
     ("cc", "creative commons(?: licen[cs]e)?", ("creative",), 4),
     ("pddl", "public domain dedication and licen[cs]e", ("dedication",), 2),
     ("reserved", "all rights reserved", ("reserved",), 3),
-    ("reserved", "tous droits reserves", ("droits",), 3),
+    ("reserved", "tous droits r[eé]serv[eé]s", ("droits",), 3),
     ("reserved", "alle rechte vorbehalten", ("vorbehalten",), 3),
     ("reserved", "todos los derechos reservados", ("reservados",), 3),
     ("copyright", "copyright(?: c)? (?:19|20)\\d\\d", ("copyright",), 3),
@@ -159,24 +159,54 @@ SINGLE = (
 )
 
 
+#: Identifiers of licenses without a family, as words: label and what stands behind the tag.
+IDENTIFIERS = (
+    ("mit", "mit"), ("mit", "mit 0"), ("isc", "isc"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd 4 clause"), ("0bsd", "0bsd"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+    ("cc0", "cc0 1 0"), ("bsl-1.0", "bsl 1 0"), ("postgresql", "postgresql"), ("x11", "x11"), ("ncsa", "ncsa"), ("beerware", "beerware"),
+    ("curl", "curl"), ("openssl", "openssl"), ("python", "psf 2 0"), ("proprietary", "licenseref proprietary"),
+)
+#: Confidence of a fixed phrase by itself.
+PHRASE_CONFIDENCE = 0.7
+ADDED = ("n_words", "base", "detections", "score")
+
+
 def _number(version: str) -> str:
     return version.replace(".", " ")
 
 
+LATER = "(?: only)? or (?:at your option )?(?:any )?later(?: version)?"
+
+
+def _versioned(label: str, name: str, word: str, version: str, has_point: bool) -> list[Signature]:
+    """Rules for one version of a family: "name version 2", "version 2 of name", "name v2", "namev2", "name2", each
+    with "or later" behind, and the identifier. A whole version may have a point and zero behind it, unless that is
+    a version of its own."""
+    n, own = _number(version), f"{label}-{version}"
+    first = n.split(" ")[0]
+    number = n if " " in n else n + ("" if has_point else "(?: 0)?") + "(?! \\d)"
+    forms = [
+        (f"{name} (?:version |v )?{number}", (word, first)),
+        (f"version {number} of {name}", (word, first)),
+        (f"{name} (?:version )?v{number}", (word, "v" + first)),
+        (f"v{number} of {name}", (word, "v" + first)),
+    ]
+    if name.isalpha():
+        forms += [(f"{name}v{number}", (f"{name}v{first}",)), (f"{name}{number}", (f"{name}{first}",))]
+    out = [Signature(own, pattern + "(?: only)?", keys, 2) for pattern, keys in forms]
+    out += [Signature(f"{own}-or-later", pattern + LATER, (*keys, "later"), 1) for pattern, keys in forms]
+    spdx = f"spdx licen[cs]e identifier {label.replace('-', ' ')} {number}"
+    out.append(Signature(f"{own}-or-later", spdx + " or later", (label.split("-")[0], "spdx", "later"), 1))
+    out.append(Signature(own, spdx + "(?: only)?", (label.split("-")[0], "spdx"), 1))
+    return out
+
+
 def signatures() -> tuple[Signature, ...]:
     """All rules in order: the families spelled out by version and form, Creative Commons, single ones."""
     out: list[Signature] = []
     for label, name, word, versions in NAMED:
         for v in versions:
-            n, own = _number(v), f"{label}-{v}"
-            first = n.split(" ")[0]
-            plain = f"{name} (?:version |v )?{n}" + ("" if " " in n else "(?! \\d)")
-            out += [
-                Signature(own, plain, (word, first), 2),
-                Signature(own, f"version {n} of {name}", (word, first), 2),
-                Signature(f"{own}-or-later", f"{plain} (?:only )?or (?:at your option )?(?:any )?later(?: version)?", (word, first, "later"), 1),
-                Signature(own, f"spdx licen[cs]e identifier {label.replace('-', ' ')} {n}(?: 0)?(?: only)?", (label.split("-")[0], "spdx"), 1),
-            ]
+            out += _versioned(label, name, word, v, f"{v}.0" in versions)
         out.append(Signature(label, name, (word,), 3))
     for label, short, long in COMMONS:
         for v in COMMONS_VERSIONS:
@@ -192,6 +222,8 @@ def signatures() -> tuple[Signature, ...]:
             Signature(label, f"creativecommons org licenses {short}", ("creativecommons",), 1),
         ]
     out += [Signature(label, pattern, keys, level) for label, pattern, keys, level in SINGLE]
+    for label, name in IDENTIFIERS:
+        out.append(Signature(label, f"spdx licen[cs]e identifier {name}", ("spdx", name.split(" ")[0]), 1))
     return tuple(dict.fromkeys(out))
 
 
@@ -264,51 +296,54 @@ def scanned(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] |
 
     Added columns: ``n_words``; ``base``, the places of the fixed phrases (label, first, last);
     ``detections``, what is left of the rules' matches (rule, label, level, first, last); ``score``, the
-    confidence of the strongest, 0 without any. All are worked out in the row, whole texts of any length
+    confidence of the strongest of both, 0 without any. Columns of these names are replaced, all others
+    passed on. All are worked out in the row, whole texts of any length
     are read, and nothing is moved: a text is split into words once, texts without a keyword of any rule
     or phrase go no further, and of the others only rules whose keywords are all there are tried. A
     detection inside another of its level or a stronger one is dropped. Null and empty texts have no words.
     """
     rules = signatures() if rules is None else rules
     keywords = sorted(set(chain((p[2] for p in PHRASES), *(r.keywords for r in rules))))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    names = [f"`{c}`" for c in docs.columns if c != text]
+    own = [c for c in docs.columns if c != text and c.lower() not in ADDED]
+    kept = names = [F.col(f"`{c}`") for c in own]
+    words, keys, line, raw = (unused(n, own) for n in ("__words", "__keys", "__line", "__found"))
     empty_spans = F.array().cast("array<struct<label:string,first:int,last:int>>")
     empty = F.array().cast("array<struct<rule:int,label:string,level:int,first:int,last:int>>")
-    split = docs.select(*kept, words_of(F.col(text)).alias("__words"))
+    split = docs.select(*kept, words_of(F.col(text)).alias(words))
     gated = split.select(
         *names,
-        F.size("__words").cast("long").alias("n_words"),
-        F.array_intersect(F.array(*[F.lit(k) for k in keywords]), F.col("__words")).alias("__keys"),
-        "__words",
+        F.size(words).cast("long").alias("n_words"),
+        F.array_intersect(F.array(*[F.lit(k) for k in keywords]), F.col(words)).alias(keys),
+        words,
     )
     lined = gated.select(
-        *names, "n_words", "__keys",
-        F.when(F.size("__keys") > 0, F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))).alias("__line"),
+        *names, "n_words", keys,
+        F.when(F.size(keys) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).alias(line),
     )
-    base = F.flatten(F.array(*[_named(places(F.col("__line"), F.lit(phrase)), label) for phrase, label, _ in PHRASES]))
-    fit = F.filter(_table(rules), lambda r: F.forall(r["keywords"], lambda k: F.array_contains(F.col("__keys"), k)))
+    base = F.flatten(F.array(*[_named(places(F.col(line), F.lit(phrase)), label) for phrase, label, _ in PHRASES]))
+    fit = F.filter(_table(rules), lambda r: F.forall(r["keywords"], lambda k: F.array_contains(F.col(keys), k)))
     found = F.flatten(
         F.transform(
             fit,
             lambda r: F.transform(
-                places(F.col("__line"), r["pattern"]),
+                places(F.col(line), r["pattern"]),
                 lambda p: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["level"].alias("level"), p["first"].alias("first"), p["last"].alias("last")),
             ),
         )
     )
-    hit = F.col("__line").isNotNull()
+    hit = F.col(line).isNotNull()
     matched = lined.select(
         *names, "n_words",
         F.when(hit, base).otherwise(empty_spans).alias("base"),
-        F.when(hit, found).otherwise(empty).alias("__found"),
+        F.when(hit, found).otherwise(empty).alias(raw),
     )
     final = matched.select(
         *names, "n_words", "base",
-        F.when(F.size("__found") > 0, _surviving(F.col("__found"))).otherwise(empty).alias("detections"),
+        F.when(F.size(raw) > 0, _surviving(F.col(raw))).otherwise(empty).alias("detections"),
     )
     level = F.array_min(F.transform("detections", lambda d: d["level"]))
     score = F.lit(0.0)
     for k, value in CONFIDENCE.items():
         score = F.when(level == k, value).otherwise(score)
-    return final.withColumn("score", score)
+    phrase = F.when(F.size("base") > 0, PHRASE_CONFIDENCE).otherwise(0.0)
+    return final.withColumn("score", F.greatest(score, phrase))
