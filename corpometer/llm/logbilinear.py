@@ -26,7 +26,7 @@ NOISE = 48
 BATCH = 8_192
 RATE = 0.02
 SHARD_TOKENS = 200_000
-ROUNDS = 12
+ROUNDS = 32
 FLUSH = 300_000
 
 
@@ -144,14 +144,14 @@ class Trainer:
     be log-probabilities; what is left of the sum over words is put right by the exact one when scoring.
     """
 
-    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE, state: np.ndarray | None = None):
+    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE, state: np.ndarray | None = None, seed: int = 5):
         self.context, self.target = model.context.astype(np.float32), model.target.astype(np.float32)
         self.places = [p.astype(np.float32) for p in model.places]
         self.bias = model.bias.astype(np.float32)
         share = (vocab.id_counts + 1) / (vocab.id_counts + 1).sum()
         self.noise, self.rate, self.seen = noise, rate, 0
         self.edges, self.expected = np.cumsum(share), np.log(noise * share).astype(np.float32)
-        self.rng = np.random.default_rng(5)
+        self.rng = np.random.default_rng([5, seed])
         self.squares = [np.full_like(w, 1e-2) for w in self._weights()]
         self.lost = 0.0
         if state is not None:
@@ -302,7 +302,7 @@ def _round(rows: DataFrame, state: np.ndarray, first: Bilinear, vocab: Vocabular
             for number, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if number != shard:
                     end()
-                    trainer, shard, held, size = Trainer(first, vocab, noise, rate, state), number, [], 0
+                    trainer, shard, held, size = Trainer(first, vocab, noise, rate, state, number), number, [], 0
                 held.append(ids.values.to_numpy(zero_copy_only=False))
                 size += len(held[-1])
                 if size >= 16 * BATCH:
