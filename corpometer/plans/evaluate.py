@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpometer.functions import text as T
 from corpometer.functions.arrays import truncate
 from corpometer.functions.keys import order_key
+from corpometer.operators import kneser_ney
 from corpometer.operators import language_model as lm
 from corpometer.operators import stats
 from corpometer.operators.density import density_curve, length_quantiles, value_counts
@@ -51,22 +52,31 @@ def perplexities(
     k: float = 0.1,
     held_out: float = HELD_OUT,
     seed=42,
+    order: int = 2,
 ) -> DataFrame:
-    """Perplexity of each corpus under a bigram model of the corpus ``train``, as metric rows.
+    """Perplexity of each corpus under a model of the corpus ``train``, as metric rows.
+
+    An ``order`` of 2 is the bigram model with ``k`` added to each count; of 3 and more Kneser-Ney's.
 
     The share ``held_out`` of that corpus, chosen by a hash of the id, is not learned from, and only
     those rows stand for it; with 0 it is measured on what the model has seen. Whole texts are read
     unless ``max_length`` sets a limit in tokens. ``detail`` says what the model was trained on.
     """
     tokens = truncate(T.space_tokens(text_col), max_length, context=None)
+
+    def losses_of(rows: DataFrame, name: str) -> DataFrame:
+        if order > 2:
+            return kneser_ney.corpus_losses(rows, tokens, name, order, corpus_col)
+        return lm.corpus_losses(rows, tokens, name, k, corpus_col)
+
     learned = F.col(corpus_col) == train
     if held_out:
         learned &= F.substring(order_key(seed, id_col), 1, 8) >= f"{round(held_out * 2**32):08x}"
         rows = df.withColumn(corpus_col, F.when(learned, TRAINING).otherwise(F.col(corpus_col)))
-        losses = lm.corpus_losses(rows, tokens, TRAINING, k, corpus_col).where(F.col(corpus_col) != TRAINING)
+        losses = losses_of(rows, TRAINING).where(F.col(corpus_col) != TRAINING)
     else:
-        losses = lm.corpus_losses(df, tokens, train, k, corpus_col)
-    detail = F.to_json(F.struct(F.lit(train).alias("train"), F.lit(float(held_out)).alias("held_out")))
+        losses = losses_of(df, train)
+    detail = F.to_json(F.struct(F.lit(train).alias("train"), F.lit(float(held_out)).alias("held_out"), F.lit(order).alias("order")))
     return _metric_rows(lm.perplexity(losses, corpus_col), ["perplexity"], corpus_col).withColumn("detail", detail)
 
 
@@ -88,6 +98,8 @@ def evaluate(
     train: str | None = None,
     held_out: float = HELD_OUT,
     max_length: int | None = None,
+    order: int = 2,
+    learner: str = "online",
 ) -> DataFrame:
     """The report ``(corpus, metric, value, detail)``.
 
@@ -96,7 +108,8 @@ def evaluate(
     model of the corpus ``train`` (by default the reference, in every mode), of which the share
     ``held_out`` is kept for measuring. The classifier and the distance of ``embeddings`` set each
     synthetic corpus against the reference, need both sides and run in mode 'both' only. ``skip``
-    leaves measures out: 'stats', 'coherence', 'perplexity', 'classifier', 'distance'.
+    leaves measures out: 'stats', 'coherence', 'perplexity', 'classifier', 'distance'. ``order`` is that of
+    :func:`perplexities`, ``learner`` that of :func:`topics.topic_coherence`.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
@@ -113,13 +126,13 @@ def evaluate(
     if "stats" not in skip:
         parts.append(lengths_and_words(rows, text_col, corpus_col))
     if "perplexity" not in skip:
-        losses = perplexities(few, train, text_col, id_col, corpus_col, max_length, held_out=held_out, seed=seed)
+        losses = perplexities(few, train, text_col, id_col, corpus_col, max_length, held_out=held_out, seed=seed, order=order)
         parts.append(losses.where(F.col("corpus").isin(*names)))
     if "coherence" not in skip:
         for name in names:
             one = topic_coherence(
                 few.where(F.col(corpus_col) == name), text_col, id_col, None, num_topics, no_below,
-                seed=seed, tokenizer="simple", corpus=name,
+                seed=seed, tokenizer="simple", corpus=name, learner=learner,
             )
             parts.append(
                 one.select("corpus", F.lit("coherence").alias("metric"), F.col("coherence").alias("value"),

@@ -51,9 +51,13 @@ def test_topics_are_repeatable_and_coherent(spark):
         for _ in range(2)
     ]
     assert runs[0]["coherence"] == pytest.approx(runs[1]["coherence"]) and -1 <= runs[0]["coherence"] <= 1
-    assert runs[0]["sampled"] and runs[0]["processed_texts"] == 50 and runs[0]["dictionary_size"] == 16
+    assert runs[0]["found"]["sampled"] and runs[0]["found"]["kept"] == 50 and runs[0]["found"]["terms"] == 16
     whole = topics.topic_coherence(df, num_topics=2, no_below=2, no_above=0.9, passes=1, sample_size=500).first()
-    assert not whole["sampled"]
+    assert not whole["found"]["sampled"]
+    tables = topics.topic_coherence(df, num_topics=2, no_below=2, no_above=0.9, passes=5, top=5, learner="tables").first()
+    assert tables["found"]["terms"] == 16 and -1 <= tables["coherence"] <= 1 and tables["settings"]["learner"] == "tables"
+    with pytest.raises(ValueError, match="learner"):
+        topics.topic_coherence(df, learner="other")
 
 
 def test_coherence_of_nothing(spark):
@@ -61,7 +65,7 @@ def test_coherence_of_nothing(spark):
     row = topics.topic_coherence(df).first()
     assert row["coherence"] is None and row["error"] == "The corpus holds no token"
     rare = topics.topic_coherence(spark.createDataFrame([(1, "r", "apple pear")], SCHEMA)).first()
-    assert rare["coherence"] is None and rare["dictionary_size"] == 0 and rare["error"]
+    assert rare["coherence"] is None and rare["found"]["terms"] == 0 and rare["error"]
 
 
 def test_word_vectors_and_projection(spark):
@@ -83,6 +87,9 @@ def test_evaluation_report(spark):
     assert got[("real", "perplexity")] < got[("synthetic", "perplexity")] and ("real", "coherence") in got
     one = evaluate.evaluate(df, mode="synthetic", skip=("coherence",)).collect()
     assert {r["corpus"] for r in one} == {"synthetic"} and "perplexity" in {r["metric"] for r in one}
+    three = {(r["corpus"], r["metric"]): r for r in evaluate.evaluate(df, skip=("stats", "coherence", "classifier"), order=3).collect()}
+    assert three[("real", "perplexity")]["value"] < three[("synthetic", "perplexity")]["value"]
+    assert '"order":3' in three[("real", "perplexity")]["detail"]
     with pytest.raises(ValueError):
         evaluate.evaluate(df, mode="all")
 
