@@ -76,7 +76,8 @@ def perplexities(
         losses = losses_of(rows, TRAINING).where(F.col(corpus_col) != TRAINING)
     else:
         losses = losses_of(df, train)
-    detail = F.to_json(F.struct(F.lit(train).alias("train"), F.lit(float(held_out)).alias("held_out"), F.lit(order).alias("order")))
+    settings = {"train": train, "held_out": float(held_out), **({"order": order} if order > 2 else {})}
+    detail = F.to_json(F.struct(*[F.lit(value).alias(name) for name, value in settings.items()]))
     return _metric_rows(lm.perplexity(losses, corpus_col), ["perplexity"], corpus_col).withColumn("detail", detail)
 
 
