@@ -144,7 +144,7 @@ class Trainer:
     be log-probabilities; what is left of the sum over words is put right by the exact one when scoring.
     """
 
-    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE, state: np.ndarray | None = None, seed: int = 5):
+    def __init__(self, model: Bilinear, vocab: Vocabulary, noise: int = NOISE, rate: float = RATE, state: np.ndarray | None = None, seed: int = 5, traced: bool = False):
         self.context, self.target = model.context.astype(np.float32), model.target.astype(np.float32)
         self.places = [p.astype(np.float32) for p in model.places]
         self.bias = model.bias.astype(np.float32)
@@ -153,7 +153,7 @@ class Trainer:
         self.edges, self.expected = np.cumsum(share), np.log(noise * share).astype(np.float32)
         self.rng = np.random.default_rng([5, seed])
         self.squares = [np.full_like(w, 1e-2) for w in self._weights()]
-        self.lost = 0.0
+        self.lost, self.traced = 0.0, traced
         if state is not None:
             self._set(state)
 
@@ -192,7 +192,8 @@ class Trainer:
         real = np.einsum("ij,ij->i", query, own) + self.bias[word] - self.expected[word]
         false = query @ self.target[noise].T + (self.bias[noise] - self.expected[noise])
         up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        self.lost += float(np.logaddexp(0, -real).sum() + np.logaddexp(0, false).sum())
+        if self.traced:
+            self.lost += float(np.logaddexp(0, -real).sum() + np.logaddexp(0, false).sum())
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         back = up[:, None] * own + down @ self.target[noise]
         target = self._gather(word, up[:, None] * query)
@@ -282,7 +283,7 @@ def train(
 
 def _round(rows: DataFrame, state: np.ndarray, first: Bilinear, vocab: Vocabulary, noise: int, rate: float, losses: list[float] | None) -> np.ndarray:
     """The mean state after each shard of the rows has been learnt from."""
-    width = state.shape[1]
+    width, traced = state.shape[1], losses is not None
     names = [f"v{k}" for k in range(width)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,7 @@ def _round(rows: DataFrame, state: np.ndarray, first: Bilinear, vocab: Vocabular
             for number, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if number != shard:
                     end()
-                    trainer, shard, held, size = Trainer(first, vocab, noise, rate, state, number), number, [], 0
+                    trainer, shard, held, size = Trainer(first, vocab, noise, rate, state, number, traced), number, [], 0
                 held.append(ids.values.to_numpy(zero_copy_only=False))
                 size += len(held[-1])
                 if size >= 16 * BATCH:
