@@ -232,7 +232,8 @@ def test_license_scan_equals_brute_force(spark):
         n, base = brute_base(text)
         assert (r.n_words, sorted((b.label, b.first, b.last) for b in r.base)) == (n, base)
         assert sorted((d.first, d.last, d.level, d.rule, d.label) for d in r.detections) == brute_detections(text, rules)
-        assert r.score == max((licenses.CONFIDENCE[d.level] for d in r.detections), default=0.0)
+        phrases = [licenses.PHRASE_CONFIDENCE] * len(base)
+        assert r.score == max([*phrases, *(licenses.CONFIDENCE[d.level] for d in r.detections)], default=0.0)
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
