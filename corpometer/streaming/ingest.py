@@ -28,11 +28,17 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int | None
 def table_stream(
     spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream of Parquet files that arrive in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Stream of Parquet files that arrive in a folder.
+
+    A ``glob`` without wildcards names one table of the folder: a file, or a folder of files as Spark writes it.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if set(glob) & set("*?[{"):
+        return reader.option("pathGlobFilter", glob).parquet(folder)
+    # A path without a wildcard must be a folder, so the first letter becomes a class of one.
+    return reader.parquet(f"{folder}/[{glob[0]}]{glob[1:]}")
 
 
 def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

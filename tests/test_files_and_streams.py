@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from corpometer.operators import scoring, tables
 from corpometer.session import cleared, fresh_path, shared_folder, spread, stored
 from corpometer.sources import readers, writers
@@ -212,3 +213,18 @@ def test_scorer_takes_ids_of_any_type(spark):
     df = spark.createDataFrame([("r", "a7", "ok"), ("r", "b", None)], "corpus string, doc_id string, text string")
     got = scoring.score_batches(df, lambda: lambda texts: ([1.0] * len(texts), [1] * len(texts))).collect()
     assert sorted((r.doc_id, r.nll) for r in got) == [("a7", 1.0), ("b", 0.0)]
+
+
+@pytest.mark.parametrize("files", [None, 1, 3])
+def test_table_ingest_of_a_file_and_of_folders(spark, tmp_path, files):
+    """A table is one file, or a folder of files as Spark writes it."""
+    rows = [(i, f"text {i}", "en", f"src{i}", i) for i in range(20)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    whole = tmp_path / "tables" / "documents.parquet"
+    docs.repartition(files or 1).write.parquet(str(whole if files else tmp_path / "apart"))
+    if files is None:
+        whole.parent.mkdir()
+        next((tmp_path / "apart").glob("part-*")).rename(whole)
+    docs.write.parquet(str(tmp_path / "tables" / "others.parquet"))
+    got = [tuple(r) for r in QUERIES["table_ingest"](spark, str(whole.parent)).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
