@@ -3,13 +3,14 @@
 Trees are persistent: a tampered leaf makes a version that shares every untouched node with the tree it comes from
 and copies only its ancestors. The leaves of a group lie in aligned blocks of 2^8, the roots of these in blocks of
 2^8 again, and so on; every block is a row of its own. A version's copies inside the leaf's block are made there, and
-its upper ones are continued from the block's root on, along the siblings that all versions of the block share.
+its upper ones, up to the root of all, from the block's root on, each with the sibling that all versions of the block
+share. A leaf that has not changed is folded by its own steps, so that every row's root is worked out from the row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -81,11 +82,21 @@ class Version:
     def root(self) -> str:
         return self.copies[-1]
 
+    def raised(self, steps: Sequence[str]) -> Version:
+        """This version of a block up to the root of all: it copies the block's ancestors too, along ``steps``.
+
+        Every copy is made of the copy below it and the sibling that the version shares with the tree it comes from.
+        """
+        copies = list(self.copies)
+        for step in steps:
+            copies.append(continued(copies[-1], [step]))
+        return Version(self.base, self.leaf, copies)
+
     def node(self, level: int, place: int) -> str:
         return self.copies[level] if place == self.leaf >> level else self.base.levels[level][place]
 
 
-def continued(node: str, steps: list[str]) -> str:
+def continued(node: str, steps: Sequence[str]) -> str:
     """The root above a node, by the steps on its way."""
     for step in steps:
         node = digest(node) if step == ALONE else digest(step[1:], node) if step[0] == "L" else digest(node, step[1:])
@@ -167,7 +178,7 @@ def manifest(
     first, equal values by leaf). Its subroots, in the order of ``by`` (null first, by UTF-8 bytes), make the tree
     above them. The proof has the hashes of all siblings from the leaf to the root. ``tampered`` is the hash of
     the row as it is found now, or null where nothing has changed; folded_root is the root of the version that it
-    makes, and verified tells whether that is the root. Repeated rows are leaves of their own; an empty table
+    makes, or else the one that the leaf and its siblings fold to, and verified tells whether that is the root. Repeated rows are leaves of their own; an empty table
     gives an empty result. Columns that the expressions do not name are not read.
 
     Texts are read once, for the leaves. Leaves are numbered without a window over a group, so a group may hold
@@ -203,8 +214,10 @@ def _verified(blocks: DataFrame, order: str, kind: T.DataType, levels: int) -> D
                 tree = Tree.of([n["hash"] for n in nodes], levels if blocks_ > 1 else None)
                 proofs, folded = [], []
                 for at, n in enumerate(nodes):
-                    proofs.append([s[1:] for s in (*tree.steps(at), *upper) if s != ALONE])
-                    folded.append(root if n["found"] is None else continued(tree.changed(at, n["found"]).root, upper))
+                    steps = [*tree.steps(at), *upper]
+                    proofs.append([s[1:] for s in steps if s != ALONE])
+                    # A leaf that nothing has changed folds by its own steps as well: its root is found, not taken.
+                    folded.append(continued(n["hash"], steps) if n["found"] is None else tree.changed(at, n["found"]).raised(upper).root)
                 values = [
                     pa.array([n["id"] for n in nodes], id_type), *(pa.array(v, pa.string()) for v in (tree.levels[0], [subroot] * len(nodes), [root] * len(nodes))),
                     pa.array(proofs, pa.list_(pa.string())), pa.array(folded, pa.string()), pa.array([f == root for f in folded]),

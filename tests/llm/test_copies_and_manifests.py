@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry_points
 from corpometer.llm import bloom, catalog, merkle, repeats
@@ -283,3 +284,19 @@ def test_runs_of_the_given_documents(spark):
     rows = {d: t for d, t in rows if len((t or "").split()) < 1500}
     got = {r.doc_id: tuple(r) for r in entry_points.queries()["op12_periodic_runs"](spark, str(DATA)).collect()}
     assert len(rows) > 100 and all(got[d] == brute_row(d, t) for d, t in rows.items())
+
+
+def test_rows_without_change_are_verified_too(spark):
+    """Every root is worked out from the row: one that a block's leaves do not fold to verifies none of them."""
+    leaves, upper = [h("a"), h("b"), h("c")], ["L" + h("left"), merkle.ALONE, "R" + h("right")]
+    tree = merkle.Tree.of(leaves, 2)
+    right = merkle.continued(tree.root, upper)
+    version = tree.changed(1, h("new")).raised(upper)
+    assert len(version.copies) == len(tree.levels) + len(upper) and version.node(1, 0) == h(h("a"), h("new"))
+    assert version.root == merkle.continued(h("new"), tree.steps(1) + upper) != right
+    nodes = [(i, i, leaf, h("new") if i == 1 else None) for i, leaf in enumerate(leaves)]
+    kind = "nodes array<struct<at:bigint,id:bigint,hash:string,found:string>>, blocks bigint, subroot string, root string, steps array<string>"
+    for root, verified in ((right, [True, False, True]), (h("wrong"), [False, False, False])):
+        blocks = spark.createDataFrame([(nodes, 2, h("sub"), root, upper)], kind)
+        got = sorted(merkle._verified(blocks, "doc_id", T.LongType(), 2).collect())
+        assert [r.folded_root for r in got] == [right, version.root, right] and [r.verified for r in got] == verified
