@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,22 +22,21 @@ def subword_tokens(path: str) -> Callable[[Column], Column]:
     source = Path(path).read_text(encoding="utf-8")
     loaded: list[Tokenizer] = []
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
         if not loaded:
             loaded.append(Tokenizer.from_str(source))
             loaded[0].encode_special_tokens = True
-        found: list[list[str] | None] = [None] * len(texts)
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            if text is not None:
-                held.append(i)
-                size += len(text)
-            if held and (size > BATCH_CHARS or i == len(texts) - 1):
-                coded = loaded[0].encode_batch([texts.iloc[j] for j in held], add_special_tokens=False)
-                for j, one in zip(held, coded, strict=True):
-                    found[j] = one.tokens
+        kind = pa.list_(pa.string())
+        found, held, size = [], [], 0
+        for i in range(len(texts)):
+            held.append(texts[i].as_py())
+            size += len(held[-1] or "")
+            if size > BATCH_CHARS or i == len(texts) - 1:
+                # Only the tokens of this many characters are objects at a time; the others are in Arrow's own form.
+                coded = iter(loaded[0].encode_batch([t for t in held if t is not None], add_special_tokens=False))
+                found.append(pa.array([None if t is None else next(coded).tokens for t in held], kind))
                 held, size = [], 0
-        return pd.Series(found, index=texts.index, dtype=object)
+        return pa.concat_arrays(found) if found else pa.array([], kind)
 
     return cut
