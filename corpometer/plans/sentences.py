@@ -45,35 +45,43 @@ class Learnt:
     cases: DataFrame
 
 
-def pieces(text: Column) -> Column:
-    """Array of ``(raw, core, type, stop, ends, upper, lower)`` for each piece between white space.
+def raw_pieces(text: Column) -> Column:
+    """Array of what stands between white space."""
+    return F.array_remove(F.split(text, SPACE + "+"), "")
+
+
+def _bare(raw: Column) -> Column:
+    """A piece without the marks around it."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, _OPEN, ""), _CLOSE, ""), _MARKS, "")
+
+
+def _core(bare: Column) -> Column:
+    return F.regexp_replace(bare, r"([!?]+|\.{2,})$", "")
+
+
+def _ends(raw: Column, bare: Column) -> Column:
+    return bare.rlike(r"([!?]|\.\.)$") & ~raw.rlike(_MARKS)
+
+
+def _stop(raw: Column, core: Column, ends: Column) -> Column:
+    return core.rlike(r"[^.]\.$") & ~ends & ~raw.rlike(_MARKS)
+
+
+def with_forms(rows: DataFrame, raw: str, name: str) -> DataFrame:
+    """``rows`` of one piece each and, behind ``name``, its core, type, stop, ends, upper and lower; null for no piece.
 
     ``core`` is the word without the marks around it, ``type`` its lower-case form without the last stop, with one
     type for all numbers. ``stop`` tells whether it ends in one full stop, ``ends`` whether in ``!``, ``?`` or two
     stops and more, ``upper`` and ``lower`` the case of its first letter.
     """
-    raw = F.array_remove(F.split(text, SPACE + "+"), "")
-    trimmed = F.transform(raw, lambda r: F.struct(r.alias("raw"), F.regexp_replace(F.regexp_replace(F.regexp_replace(r, _OPEN, ""), _CLOSE, ""), _MARKS, "").alias("bare")))
-    cored = F.transform(
-        trimmed,
-        lambda t: F.struct(
-            t["raw"].alias("raw"),
-            F.regexp_replace(t["bare"], r"([!?]+|\.{2,})$", "").alias("core"),
-            (t["bare"].rlike(r"([!?]|\.\.)$") & ~t["raw"].rlike(_MARKS)).alias("ends"),
-        ),
-    )
-    return F.transform(
-        cored,
-        lambda t: F.struct(
-            t["raw"].alias("raw"),
-            t["core"].alias("core"),
-            _type(t["core"]).alias("type"),
-            (t["core"].rlike(r"[^.]\.$") & ~t["ends"] & ~t["raw"].rlike(_MARKS)).alias("stop"),
-            t["ends"].alias("ends"),
-            t["core"].rlike(r"^\p{Lu}").alias("upper"),
-            t["core"].rlike(r"^\p{Ll}").alias("lower"),
-        ),
-    )
+    own = lambda n: f"{name}_{n}"
+    rows = rows.withColumn(own("bare"), _bare(F.col(raw)))
+    rows = rows.withColumns({own("core"): _core(F.col(own("bare"))), own("ends"): _ends(F.col(raw), F.col(own("bare")))}).drop(own("bare"))
+    core = F.col(own("core"))
+    return rows.withColumns({
+        own("type"): _type(core), own("stop"): _stop(F.col(raw), core, F.col(own("ends"))),
+        own("upper"): core.rlike(r"^\p{Lu}"), own("lower"): core.rlike(r"^\p{Ll}"),
+    })
 
 
 def _type(core: Column) -> Column:
@@ -81,16 +89,19 @@ def _type(core: Column) -> Column:
     return F.when(bare.rlike(NUMBER), F.lit(NUMBER_TYPE)).otherwise(bare)
 
 
-def neighbours(df: DataFrame, text_col: str = "text", *by: str) -> DataFrame:
-    """``(*by, p, q)``: every piece and the one behind it, null behind the last."""
-    rows = df.select(*by, pieces(F.col(text_col)).alias("__p"))
-    behind = F.concat(F.slice("__p", F.lit(2), F.greatest(F.size("__p"), F.lit(1))), F.array(F.lit(None).cast(_struct())))
-    pairs = F.zip_with("__p", F.slice(behind, F.lit(1), F.size("__p")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    return rows.where(F.size("__p") > 0).select(*by, F.inline(pairs))
+def _neighbours(raw: Column) -> Column:
+    """Array of ``(p, q)``: every piece and the one behind it, null behind the last."""
+    behind = F.slice(raw, F.lit(2), F.greatest(F.size(raw), F.lit(1)))
+    return F.zip_with(raw, behind, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
-def _struct() -> str:
-    return "struct<raw:string,core:string,type:string,stop:boolean,ends:boolean,upper:boolean,lower:boolean>"
+def neighbour_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(p, q, n)``: how often a piece stands before another, null behind the last of a text.
+
+    Pieces are counted where the texts are read, so that each distinct pair is looked at once.
+    """
+    cut = df.select(raw_pieces(F.col(text_col)).alias("__r"))
+    return cut.select(F.inline(_neighbours(F.col("__r")))).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dunning(count_a: Column, count_b: Column, count_ab: Column, n: Column) -> Column:
@@ -111,9 +122,14 @@ def dunning(count_a: Column, count_b: Column, count_ab: Column, n: Column) -> Co
 
 def stop_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Stored ``(type, with_stop, without_stop)`` of the corpus, added up where the texts are read."""
-    rows = df.select(F.inline(pieces(F.col(text_col)))).where("type <> ''")
-    stop = F.col("stop").cast("bigint")
-    counted = rows.groupBy("type").agg(F.sum(stop).alias("with_stop"), F.sum(1 - stop).alias("without_stop"))
+    return _stop_counts(df.select(F.explode(raw_pieces(F.col(text_col))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _stop_counts(words: DataFrame) -> DataFrame:
+    """:func:`stop_counts` of ``(p, n)``, where a piece may come in several rows."""
+    rows = with_forms(words, "p", "p").where("p_type <> ''")
+    stops = F.when(F.col("p_stop"), F.col("n")).otherwise(0)
+    counted = rows.groupBy(F.col("p_type").alias("type")).agg(F.sum(stops).alias("with_stop"), F.sum(F.col("n") - stops).alias("without_stop"))
     return stored(counted, "stop-counts")
 
 
@@ -143,21 +159,20 @@ def is_initial(core: Column) -> Column:
 def learn(df: DataFrame, text_col: str = "text") -> Learnt:
     """What the texts of ``df`` show about their own abbreviations, sentence starts and joined words.
 
-    The texts are read three times: for the words, then for the pairs of neighbours, and for their cases. An empty
-    table, or one without a stop, gives empty tables.
+    The texts are read once, for the pairs of neighbours; what is told of a piece is worked out for distinct ones. An
+    empty table, or one without a stop, gives empty tables.
     """
-    counts = stop_counts(df, text_col)
+    seen = stored(neighbour_counts(df, text_col), "piece-pairs")
+    counts = _stop_counts(seen.groupBy("p").agg(F.sum("n").alias("n")))
     abbreviations = stored(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION), "abbreviations")
+    # Pairs that differ in their marks alone are still apart; all that follows adds up.
     pairs = stored(
-        neighbours(df, text_col)
-        .select(
-            F.col("p.type").alias("first"), F.col("q.type").alias("second"), F.col("p.stop").alias("stop"), F.col("p.ends").alias("ends"),
-            is_initial(F.col("p.core")).alias("initial"), F.col("q.upper").alias("upper"), F.col("q.lower").alias("lower"),
-        )
-        .groupBy("first", "second", "stop", "ends", "initial", "upper", "lower")
-        .agg(F.count(F.lit(1)).alias("n")),
+        with_forms(with_forms(seen, "p", "p"), "q", "q").select(
+            F.col("p_type").alias("first"), F.col("q_type").alias("second"), F.col("p_stop").alias("stop"), F.col("p_ends").alias("ends"),
+            is_initial(F.col("p_core")).alias("initial"), F.col("q_upper").alias("upper"), F.col("q_lower").alias("lower"), "n",
+        ),
         "neighbours",
-    )
+    )
     known = abbreviations.select(F.col("type").alias("first"), F.lit(True).alias("abbreviation"), F.col("with_stop").alias("weight"))
     marked = lookup(pairs, stored(known, "known"), ["first"], weight="weight").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)))
     # A sure end: a mark, or a stop behind what is no abbreviation, initial or number.
@@ -211,12 +226,14 @@ def kept_stops(df: DataFrame, learnt: Learnt, text_col: str = "text", id_col: st
     behind an initial, a name: a word never seen in lower case. A learnt pair is never parted. Texts without such
     a place are left out.
     """
-    placed = df.select(id_col, pieces(F.col(text_col)).alias("__p")).select(id_col, F.posexplode("__p").alias("place", "p"), "__p")
-    nxt = F.try_element_at("__p", F.col("place") + 2)
-    rows = placed.where("p.stop").select(
-        id_col, "place", F.col("p.type").alias("first"), is_initial(F.col("p.core")).alias("initial"),
-        nxt["type"].alias("second"), nxt["upper"].alias("upper"), nxt["lower"].alias("lower"),
-    ).where("second IS NOT NULL")
+    cut = df.select(id_col, raw_pieces(F.col(text_col)).alias("__r"))
+    placed = F.transform(_neighbours(F.col("__r")), lambda p, i: F.struct(i.alias("place"), p["p"].alias("p"), p["q"].alias("q")))
+    # Only pieces with a stop and another piece behind them leave their text, each with that one alone.
+    stops = cut.select(id_col, F.inline(F.filter(placed, lambda p: F.contains(p["p"], F.lit(".")) & p["q"].isNotNull())))
+    rows = with_forms(with_forms(stops, "p", "p"), "q", "q").where("p_stop").select(
+        id_col, "place", F.col("p_type").alias("first"), is_initial(F.col("p_core")).alias("initial"),
+        F.col("q_type").alias("second"), F.col("q_upper").alias("upper"), F.col("q_lower").alias("lower"),
+    )
     known = learnt.abbreviations.withColumnRenamed("type", "first")
     rows = _is(rows, known, ["first"], "abbreviation", "with_stop")
     number = F.col("first") == NUMBER_TYPE
@@ -238,7 +255,7 @@ _HELD = "\ufdd0"
 
 def held_text(text: Column, kept: Column) -> Column:
     """``text`` whose kept stops are replaced by a mark, its pieces parted by single spaces."""
-    raw = F.array_remove(F.split(text, SPACE + "+"), "")
+    raw = raw_pieces(text)
     marked = F.transform(raw, lambda r, i: F.when(F.array_contains(kept, i), F.regexp_replace(r, r"\.([^.\p{L}\p{N}]*)$", _HELD + "$1")).otherwise(r))
     return F.when(F.size(kept) > 0, F.array_join(marked, " ")).otherwise(text)
 
@@ -267,14 +284,19 @@ def sentences(df: DataFrame, learnt: Learnt, text_col: str = "text", id_col: str
 
     A sentence ends behind ``!``, ``?``, two stops and more, and behind every stop that is not kept.
     """
-    rows = with_kept(df, learnt, text_col, id_col).select(id_col, "kept", pieces(F.col(text_col)).alias("__p"))
-    ends = F.filter(
-        F.transform("__p", lambda p, i: F.when(p["ends"] | (p["stop"] & ~F.array_contains("kept", i)), i + 1)), lambda e: e.isNotNull()
-    )
-    cuts = rows.withColumn("__e", F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size("__p")))))
-    spans = F.zip_with(F.slice("__e", F.lit(1), F.size("__e") - 1), F.slice("__e", F.lit(2), F.size("__e") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    spelled = F.transform(spans, lambda s: F.array_join(F.transform(F.slice("__p", s["a"] + 1, s["b"] - s["a"]), lambda p: p["raw"]), " "))
-    return cuts.where(F.size("__p") > 0).select(id_col, F.posexplode(spelled).alias("number", "sentence"))
+    rows = with_kept(df, learnt, text_col, id_col).select(id_col, "kept", raw_pieces(F.col(text_col)).alias("__r"))
+
+    def end(raw: Column, place: Column) -> Column:
+        bare = _bare(raw)
+        ends = _ends(raw, bare)
+        stop = _stop(raw, _core(bare), ends)
+        # Most pieces hold no such mark, and are not looked at any closer.
+        return F.when(raw.rlike("[.!?]"), ends | (stop & ~F.array_contains("kept", place))).otherwise(False)
+
+    # No piece holds a line break, so one behind the last piece of a sentence is where it is cut, all in one go.
+    marked = F.array_join(F.transform("__r", lambda r, i: F.when(end(r, i), F.concat(r, F.lit("\n"))).otherwise(r)), " ")
+    spelled = F.split(F.regexp_replace(marked, r"\n\z", ""), "\n ")
+    return rows.where(F.size("__r") > 0).select(id_col, F.posexplode(spelled).alias("number", "sentence"))
 
 
 def statistics(learnt: Learnt) -> DataFrame:

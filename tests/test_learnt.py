@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpometer.functions import subwords
 from corpometer.functions import text as T
 from corpometer.functions.subwords import subword_tokens
 from corpometer.operators import density, kneser_ney, stats
@@ -174,6 +176,41 @@ def test_topics_equal_plain_python(spark, hot):
     assert shares.keys() == {i for i, _ in rows} and all(sum(s) == pytest.approx(1) for s in shares.values())
 
 
+@pytest.mark.parametrize("per_document", [True, False])
+def test_a_pass_sends_rare_terms_once_to_each_block(spark, monkeypatch, per_document):
+    """Not a row of the model for each document and rare term, and the same numbers from blocks of any size."""
+    rows = topic_corpus(8, 40)
+    df = spark.createDataFrame([(i if i else None, t) for i, t in rows], "doc_id int, text string")
+    counts, n = topic_tables.fitted_counts(df, T.space_tokens("text"))
+    terms = topic_tables.kept_terms(counts, n, 1, 1.0)
+    key = "doc_id" if per_document else "token_id"
+    want = None
+    for hot, pairs in ((1000, 10**6), (3, 10**6), (3, 100)):
+        monkeypatch.setattr(topic_tables, "BLOCK_PAIRS", pairs)
+        model, inference = topic_tables.fit(counts, terms, k=3, passes=0, hot_terms=hot)
+        if hot == 3:
+            asked = inference.asked.groupBy("__block").agg(F.count("*").alias("n"), F.count_distinct("token_id").alias("d")).collect()
+            assert all(r.n == r.d <= inference.size - 3 for r in asked) and (len(asked) > 1) == (pairs == 100)
+        sums = defaultdict(lambda: np.zeros(3))
+        for r in inference.run(model, 2, per_document).collect():
+            sums[r[key]] += np.array(r[1])
+        want = want or sums
+        assert sums.keys() == want.keys() and all(np.allclose(sums[i], want[i]) for i in want)
+
+
+def test_documents_dealt_out_together_are_dealt_out_alone():
+    bags = pa.array([[1] * n for n in (3, 90, 1, 40, 2, 2)])
+    ranges = list(topic_tables._slices(bags, 42))
+    assert ranges == [(0, 1), (1, 2), (2, 4), (4, 6)] and not list(topic_tables._slices(bags.slice(0, 0), 42))
+    rng = np.random.default_rng(1)
+    n, weights, sizes = rng.integers(1, 9, 138).astype(float), rng.random((138, 4)), np.array([3, 90, 1, 40, 2, 2])
+    given, counts = topic_tables.dealt(n, weights, sizes, 0.25, 5)
+    for i, low in enumerate(np.cumsum(sizes) - sizes):
+        own = slice(low, low + sizes[i])
+        alone, count = topic_tables.dealt(n[own], weights[own], sizes[i : i + 1], 0.25, 5)
+        assert np.allclose(given[own], alone) and np.allclose(counts[i], count[0]) and np.isclose(count.sum(), n[own].sum())
+
+
 def test_topics_find_the_subjects(spark):
     rows = topic_corpus(5, 90)
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(7)
@@ -260,6 +297,17 @@ def test_sentences_end_where_no_abbreviation_does(spark, learnt):
     assert got[4] == ["Mr."] and got.keys() == {0, 1, 4}
 
 
+def test_stops_take_no_longer_than_the_text(spark, learnt):
+    """A text of very many pieces: no piece carries its whole text along, and no sentence copies all pieces."""
+    text = "Mr. Brown saw it. He left! " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    kept = sentences.kept_stops(df, learnt).first().kept
+    assert kept == list(range(0, 120_000, 6))
+    docs = spark.createDataFrame([(1, text[:27_000]), (2, "\n ..\n at.\u2028b \n"), (3, " \n")], "doc_id int, text string")
+    got = sorted(tuple(r) for r in sentences.sentences(docs, learnt).collect())
+    assert got == [*((1, i, ("Mr. Brown saw it.", "He left!")[i % 2]) for i in range(2000)), (2, 0, ".."), (2, 1, "at."), (2, 2, "b")]
+
+
 def test_sentences_learn_nothing_from_nothing(spark):
     none = sentences.learn(spark.createDataFrame([], "doc_id int, text string"))
     assert sentences.statistics(none).count() == 0
@@ -318,6 +366,18 @@ def test_scores_do_not_follow_partitions(spark):
 # --- subwords ---
 
 
+@pytest.mark.skipif(not VOCABULARY.exists(), reason="vocabulary files are not there")
+def test_subwords_of_more_characters_than_a_batch(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(subwords, "BATCH_CHARS", 10)
+    cut, tokenizer = subword_tokens(str(VOCABULARY)), Tokenizer.from_file(str(VOCABULARY))
+    texts = pa.array(["river and hill", None, "", "a", "the sea by the town", None])
+    want = [None if t is None else tokenizer.encode(t, add_special_tokens=False).tokens for t in texts.to_pylist()]
+    # Arrow in, Arrow out: a batch's tokens are never all objects of their own.
+    assert cut.func(texts).to_pylist() == want and cut.func(texts.slice(0, 0)).to_pylist() == []
+
+
 @pytest.mark.skipif(not VOCABULARY.exists(), reason="vocabulary files are not there")
 def test_subword_statistics(spark):
     from tokenizers import Tokenizer
