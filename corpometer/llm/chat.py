@@ -1,4 +1,4 @@
-"""Chat training examples by prefix-target expansion, in a form no longer than the conversations."""
+"""Chat training examples by prefix-target expansion: each reply behind all that was said before it."""
 
 from __future__ import annotations
 
@@ -44,18 +44,17 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def expanded(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per assistant turn of each conversation, as a training example, and one for what follows the last.
 
-    Columns: conv_id; example (from 0); context_chars, the length of the formatted text before ``piece``;
-    piece, what the example adds to it: the turns since the example before, then the reply; loss_start and
-    loss_end, the trainable characters as places in the whole formatted text, the reply's text and nothing
-    else; target, whether there is a reply. An example's text is all pieces of its conversation up to its
-    own, so every turn before a reply is its context; :func:`full_texts` writes it out. Kept like this a
-    conversation of n replies takes its own length and not n times as much. The last row of a conversation
-    whose last turns have no reply has no target and no trainable characters.
+    Columns: conv_id; example (from 0); text, every turn before the reply as its context, then the reply;
+    context_chars, how much of it the example before has too; loss_start and loss_end, the trainable
+    characters as places in the text, the reply's text and nothing else; target, whether there is a reply.
+    The last row of a conversation whose last turns have no reply has no target and no trainable characters.
 
     Turns are ordered by ``turn``, nulls first, equal ones by role and text. A null text or role is
     empty. Rows of a null conv_id are a conversation of their own; repeated rows are turns like any other.
     The turns of a conversation are sorted by a shuffle and read one by one, so no task holds more than
-    one example; the rows of one conversation are read by one task, as their order is its meaning.
+    a few examples; the rows of one conversation are read by one task, as their order is its meaning.
+    Contexts are repeated once for each reply behind them: what comes out grows with the square of a
+    conversation's length, and in proportion to the number of conversations.
     """
     rows = conversations.select(
         F.col(conv_id).cast("long").alias("conv_id"),
@@ -67,121 +66,127 @@ def expanded(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        for key, example, before, piece, low, high in _examples(_turns(batches)):
-            out.append((key, example, before, piece, low, high, low is not None))
-            held += len(piece)
+        for key, example, whole, before, low, high in _examples(_turns(batches)):
+            out.append((key, example, whole, before, low, high, low is not None))
+            held += len(whole)
             if held > 4_000_000:
                 yield _batch(out)
                 out, held = [], 0
         yield _batch(out)
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(expand, "conv_id long, example long, context_chars long, piece string, loss_start long, loss_end long, target boolean")
+    return ordered.mapInArrow(expand, "conv_id long, example long, text string, context_chars long, loss_start long, loss_end long, target boolean")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["conv_id", "example", "context_chars", "piece", "loss_start", "loss_end", "target"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["conv_id", "example", "text", "context_chars", "loss_start", "loss_end", "target"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    return _columns(rows, names, kinds)
+
+
+def _columns(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)) for n in ("conv_id", "role", "text")]
-        for low in range(0, batch.num_rows, 1_000):
-            yield from zip(*(c.slice(low, 1_000).to_pylist() for c in columns), strict=True)
+    return _rows(batches, ("conv_id", "role", "text"), 1_000)
 
 
 def _examples(turns: Iterator[tuple[int | None, str, str]]) -> Iterator[tuple]:
-    """(conv_id, example, context_chars, piece, loss_start, loss_end) of turns in order."""
+    """(conv_id, example, text, context_chars, loss_start, loss_end) of turns in order, contexts written out."""
     now: tuple = ()
+    text = ""
     parts: list[str] = []
-    example = before = length = 0
-    for key, role, text in turns:
+    example = 0
+    for key, role, said in turns:
         if (key,) != now:
             if parts:
-                yield now[0], example, before, "".join(parts), None, None
-            now, parts, example, before, length = (key,), [], 0, 0, 0
-        parts.append(turn_text(role, text))
-        length += len(parts[-1])
+                yield now[0], example, text + "".join(parts), len(text), None, None
+            now, text, parts, example = (key,), "", [], 0
+        parts.append(turn_text(role, said))
         if role == TARGET_ROLE:
-            end = length - len(END)
-            yield key, example, before, "".join(parts), end - len(escape(text)), end
-            parts, example, before = [], example + 1, length
+            before, text, parts = len(text), text + "".join(parts), []
+            end = len(text) - len(END)
+            yield key, example, text, before, end - len(escape(said)), end
+            example += 1
     if parts:
-        yield now[0], example, before, "".join(parts), None, None
+        yield now[0], example, text + "".join(parts), len(text), None, None
 
 
 def full_texts(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end) of every reply, the text with its whole context.
-
-    This writes every context out, so the turns of a conversation are repeated once for each reply
-    that follows them; take it for the conversations that go to training.
-    """
-    context = examples.select(F.col("conv_id").alias("c_id"), F.col("example").alias("c_example"), F.col("piece").alias("c_piece"))
-    targets = examples.where("target").select("conv_id", "example", "loss_start", "loss_end")
-    on = F.col("conv_id").eqNullSafe(F.col("c_id")) & (F.col("c_example") <= F.col("example"))
-    pieces = F.array_sort(F.collect_list(F.struct("c_example", "c_piece")))
-    joined = targets.join(context, on).groupBy("conv_id", "example", "loss_start", "loss_end").agg(pieces.alias("pieces"))
-    text = F.array_join(F.transform("pieces", lambda p: p["c_piece"]), "")
-    return joined.select("conv_id", "example", text.alias("text"), "loss_start", "loss_end")
+    """(conv_id, example, text, loss_start, loss_end) of every reply, the text with its whole context."""
+    return examples.where("target").select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """What the examples of each conversation hold, worked out from their pieces and spans alone.
+    """What the examples of each conversation hold, worked out from their texts and spans alone.
 
-    conv_id; n_turns; turns_sha256, over role, newline, text, newline of each turn; loss_chars and
-    loss_sha256 of the trainable text, unescaped; formatted_chars, the length of the pieces;
-    expanded_chars, the length of all examples with their contexts written out; n_examples.
+    conv_id; n_turns; turns_sha256, over role, newline, text, newline of each turn of the last example, which
+    holds all of them; loss_chars and loss_sha256 of the trainable text of all examples, unescaped;
+    formatted_chars, the length of the last example; expanded_chars, the length of all examples with a
+    reply; n_examples, their number. Every text is read where it is; only digests and replies move.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+        for key, example, text, low, high in _rows(batches, ("conv_id", "example", "text", "loss_start", "loss_end"), 100):
+            turns = read_turns(text)
+            digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
+            reply = None if low is None else unescape(text[low:high])
+            out.append((key, example, len(turns), digest, len(text), reply))
+            held += 200 + len(reply or "")
+            if held > 4_000_000:
+                yield _columns(out, names, kinds)
+                out, held = [], 0
+        yield _columns(out, names, kinds)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = []
         state: list = []
-        for key, before, piece, low, high in _pieces(batches):
+        for key, n_turns, digest, chars, reply in _rows(batches, ("conv_id", "n_turns", "turns_sha256", "chars", "reply"), 1_000):
             if not state or state[0] != (key,):
                 if state:
                     out.append(_row(state))
                 if len(out) > 5_000:
                     yield _digests(out)
                     out = []
-                state = [(key,), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            for role, text in read_turns(piece):
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            state[5] += len(piece)
-            if low is not None:
-                reply = unescape(piece[low - before : high - before])
+                state = [(key,), 0, "", 0, hashlib.sha256(), 0, 0, 0]
+            state[1], state[2], state[5] = n_turns, digest, chars
+            if reply is not None:
                 state[3] += len(reply)
                 state[4].update(reply.encode("utf-8", "surrogatepass"))
-                state[6] += before + len(piece)
+                state[6] += chars
                 state[7] += 1
         if state:
             out.append(_row(state))
         yield _digests(out)
 
-    ordered = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    names = ["conv_id", "example", "n_turns", "turns_sha256", "chars", "reply"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    each = examples.select("conv_id", "example", "text", "loss_start", "loss_end").mapInArrow(
+        read, "conv_id long, example long, n_turns long, turns_sha256 string, chars long, reply string"
+    )
+    ordered = each.repartition("conv_id").sortWithinPartitions("conv_id", "example")
     return ordered.mapInArrow(
-        read,
+        total,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_chars long, n_examples long",
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    names = ("conv_id", "context_chars", "piece", "loss_start", "loss_end")
+def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], at_once: int) -> Iterator[tuple]:
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        for low in range(0, batch.num_rows, 1_000):
-            yield from zip(*(c.slice(low, 1_000).to_pylist() for c in columns), strict=True)
+        for low in range(0, batch.num_rows, at_once):
+            yield from zip(*(c.slice(low, at_once).to_pylist() for c in columns), strict=True)
 
 
 def _row(state: list) -> list:
-    return [state[0][0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:]]
+    return [state[0][0], state[1], state[2], state[3], state[4].hexdigest(), *state[5:]]
 
 
 def _digests(rows: list[list]) -> pa.RecordBatch:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_chars", "n_examples"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    return _columns(rows, names, kinds)

@@ -323,6 +323,16 @@ def test_examples(spark):
     assert chat.expanded(given_rows.limit(0)).count() == 0 and chat.read_back(examples.limit(0)).count() == 0
 
 
+def test_an_example_holds_its_whole_context(spark):
+    turns = [("user", "a"), ("assistant", "b</s>"), ("user", "c"), ("assistant", ""), ("user", "e")]
+    rows = [(7, t, *turn) for t, turn in enumerate(turns)]
+    got = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("example").collect()
+    assert [chat.read_turns(r.text) for r in got] == [turns[:2], turns[:4], turns]
+    assert [r.target for r in got] == [True, True, False] and got[2].loss_start is None
+    assert [r.context_chars for r in got] == [0, len(got[0].text), len(got[1].text)]
+    assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in got[:2]] == ["b</s>", ""]
+
+
 # --- vectors ---
 
 
