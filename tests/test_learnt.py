@@ -100,6 +100,14 @@ def test_probabilities_behind_each_context_sum_to_one(spark):
     assert sums.keys() == set(contexts) and all(s == pytest.approx(1, abs=1e-9) for s in sums.values())
 
 
+def test_no_two_words_share_a_number(spark):
+    df = spark.createDataFrame([(1, "a b c a"), (2, "b"), (3, None)], "doc_id int, text string")
+    clash = lambda word, salt: F.when(F.lit(salt == 0), F.length(word)).when(F.lit(salt == 1), F.ascii(word) - 97).otherwise(F.ascii(word)).cast("bigint")
+    got = kneser_ney.numbered(df, T.space_tokens("text"), 3, "doc_id", number=clash).collect()
+    # Their length is the same for all three, so the next number is tried.
+    assert [(r.doc_id, r.words) for r in got] == [(1, [-97, 0, 1, 2, 0])]
+
+
 def test_longer_contexts_foresee_more(spark):
     def chained(seed):
         rng = random.Random(seed)
