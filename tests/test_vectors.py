@@ -127,3 +127,22 @@ def test_views_of_few_rows(spark):
         got = layout.neighbour_view(df).collect()
         assert len(got) == n and all(math.isfinite(r.x) and math.isfinite(r.y) for r in got)
     assert layout.neighbour_view(df.where(F.lit(False))).count() == 0
+
+
+def test_long_texts_are_counted_in_parts_and_groups(spark, monkeypatch):
+    texts = [[int(x) for x in np.random.default_rng(7).integers(0, 30, 400)], [5, 5, 9], [3], [], None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, input_ids array<bigint>").coalesce(1)
+    whole = Counter()
+    for t in texts:
+        for d in range(1, 5):
+            for a, b in zip(t or [], (t or [])[d:]):
+                whole[a, b] += 1
+                whole[b, a] += 1
+    monkeypatch.setattr(factors, "GROUP_PAIRS", 100)
+    near = factors._near(4, 7)
+    monkeypatch.setattr(factors, "COUNTED", 16)
+    parts = list(near(iter(df.select("input_ids").toArrow().to_batches())))
+    assert len(parts) >= 25  # no more than 16 tokens at once
+    assert all(len(set(p.column("part").to_pylist())) == p.num_rows for p in parts)
+    found = factors.co_occurrences(df)
+    assert {(r.i, r.j): r.n for r in found.collect()} == whole
