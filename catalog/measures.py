@@ -170,6 +170,12 @@ ISLANDS = """occ AS (SELECT corpus, doc_id, len(tokens) AS n, unnest(tokens) AS
     totals AS (SELECT corpus, sum(greatest(CAST(len(tokens) AS BIGINT) - 109, 1)) AS w FROM toks GROUP BY corpus)"""
 
 
+def _cut(spark, folder):
+    """Documents with their tokens, which the topics, the windows and their totals all read, cut once."""
+    docs = documents(spark, folder).select("corpus", "doc_id", "lang", T.simple_tokens("text").alias("tokens"))
+    return stored(docs, "tokens"), F.col("tokens")
+
+
 def _topics(docs, tokens):
     once = docs.select("corpus", F.col("lang").alias("topic"), F.explode(F.array_distinct(tokens)).alias("word"))
     weights = once.groupBy("corpus", "topic", "word").agg(F.count(F.lit(1)).alias("weight"))
@@ -183,7 +189,7 @@ def topic_top_words(spark, folder):
 
 @query("window_word_counts", f"WITH {TOKENS}, {TOPICS}, {ISLANDS} SELECT corpus, word, CAST(n AS BIGINT) AS n, CAST(w AS BIGINT) AS n_windows FROM single JOIN totals USING (corpus)")
 def window_word_counts(spark, folder):
-    docs, tokens = documents(spark, folder), T.simple_tokens("text")
+    docs, tokens = _cut(spark, folder)
     words = _topics(docs, tokens).select("corpus", "word").distinct()
     counts = word_windows(word_intervals(docs, tokens, words))
     return attach(counts, window_totals(docs, tokens), ["corpus"], how="inner")
@@ -191,7 +197,7 @@ def window_word_counts(spark, folder):
 
 @query("window_pair_counts", f"WITH {TOKENS}, {TOPICS}, {ISLANDS} SELECT corpus, word_a, word_b, CAST(n AS BIGINT) AS n FROM pairs")
 def window_pair_counts(spark, folder):
-    docs, tokens = documents(spark, folder), T.simple_tokens("text")
+    docs, tokens = _cut(spark, folder)
     topics = _topics(docs, tokens)
     intervals = word_intervals(docs, tokens, topics.select("corpus", "word").distinct())
     return pair_windows(intervals, co.topic_pairs(topics))
@@ -212,13 +218,13 @@ COHERENCE = f"""WITH {TOKENS}, {TOPICS}, {ISLANDS},
 
 @query("topic_coherence", COHERENCE + " SELECT corpus, topic, round(c_v, 6) AS c_v FROM cv")
 def topic_coherence(spark, folder):
-    docs, tokens = documents(spark, folder), T.simple_tokens("text")
+    docs, tokens = _cut(spark, folder)
     return rounded(co.coherence(docs, tokens, _topics(docs, tokens)), "c_v")
 
 
 @query("mean_coherence", COHERENCE + " SELECT corpus, round(avg(c_v), 6) AS coherence FROM cv GROUP BY corpus")
 def mean_coherence(spark, folder):
-    docs, tokens = documents(spark, folder), T.simple_tokens("text")
+    docs, tokens = _cut(spark, folder)
     return rounded(co.mean_coherence(co.coherence(docs, tokens, _topics(docs, tokens))), "coherence")
 
 

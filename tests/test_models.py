@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from corpometer.plans import classify, embed, evaluate, prepare, topics
 
 
@@ -149,3 +150,12 @@ def test_vectors_are_made_once_for_all_steps(spark):
     model, _ = topics.count_vectors(df, no_below=1, no_above=1.0)
     fitted = topics.fit_topics(model.transform(df.select("doc_id", counted("tokens").alias("tokens"))), k=2, passes=1)
     assert made.value == 20 and fitted.vocabSize() == 4
+
+
+def test_coherence_cuts_its_tokens_once(spark, tmp_path):
+    rows = [(i, f"src{i % 20:02d}", "en", f"apple pear plum word{i % 3}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("window_word_counts", "window_pair_counts", "topic_coherence", "mean_coherence"):
+        found = QUERIES[name](spark, str(tmp_path))
+        assert "regexp_extract_all" not in found._jdf.queryExecution().toString(), name
+        assert found.count()
