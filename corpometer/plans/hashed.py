@@ -9,12 +9,14 @@ tell when to stop. Shards and their order depend on ids alone, so a fit does not
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpometer.functions import text as T
@@ -27,6 +29,8 @@ from corpometer.session import stored
 
 BITS = 18  # 262,144 places
 SHARD_ROWS = 2_000
+MOST_PARTS = 1_000
+BAG_ROWS = 1_000  # texts whose words are counted at a time
 VALIDATION = 0.1
 
 
@@ -40,46 +44,121 @@ class Hashed:
     losses: list[float]
 
 
+def hashed_bags(df: DataFrame, tokens: Column, bits: int = BITS, seed=0, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``(*keep, places, ns)``: for each row the signed counts of its words by the place that their hash gives.
+
+    Places ascend and those that cancel out are left out. A text's words are added up where it is read, ``BAG_ROWS``
+    texts at a time, and each distinct word of these is hashed once; no row moves.
+    """
+    size, names = 1 << bits, list(keep)
+    prefix = f"{seed}:".encode()
+
+    def bags(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = part.column("__t")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        keys = [hashlib.md5(prefix + w).hexdigest() for w in words.dictionary.to_pylist()]
+        place = np.array([int(k[:8], 16) % size for k in keys], np.int64)
+        sign = np.array([1 if k[8] < "8" else -1 for k in keys], np.int64)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        found, at = np.unique(row * size + place[code], return_inverse=True)
+        n = np.bincount(at, weights=sign[code], minlength=len(found)).astype(np.int64)
+        found, n = found[n != 0], n[n != 0]
+        starts = pa.array(np.searchsorted(found, np.arange(len(sizes) + 1) * size).astype(np.int32))
+        places, ns = pa.ListArray.from_arrays(starts, pa.array((found % size).astype(np.int32))), pa.ListArray.from_arrays(starts, pa.array(n))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), places, ns], names=[*names, "places", "ns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BAG_ROWS):
+                yield bags(batch.slice(start, BAG_ROWS))
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    # A word that is null counts for nothing in no place.
+    whole = F.filter(tokens, lambda t: t.isNotNull())
+    return df.select(*names, whole.alias("__t")).mapInArrow(run, f"{schema}, places array<int>, ns array<bigint>")
+
+
+def _added_up(bags: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, n)`` over all bags of an id; zeros are left out."""
+    rows = bags.select(id_col, F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("ns").alias("__n"))))
+    return rows.toDF(id_col, "place", "__n").groupBy(id_col, "place").agg(F.sum("__n").alias("n")).where("n <> 0")
+
+
 def hashed_counts(df: DataFrame, tokens: Column, bits: int = BITS, seed=0, id_col: str = "doc_id") -> DataFrame:
     """``(id, place, n)``: signed counts of words by the place that their hash gives; zeros are left out.
 
     The first 32 bits of the md5 of seed and word give the place, its ninth digit the sign: two words that share a
     place cancel out as often as they add up.
     """
-    rows = df.select(id_col, F.explode(tokens).alias("__w"))
-    key = order_key(seed, "__w")
-    place = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(1 << bits)).cast("int")
-    sign = F.when(F.substring(key, 9, 1) < "8", 1).otherwise(-1)
-    counted = rows.groupBy(id_col, "__w").agg(F.count(F.lit(1)).alias("__n"))
-    return counted.groupBy(id_col, place.alias("place")).agg(F.sum(sign * F.col("__n")).alias("n")).where("n <> 0")
+    return _added_up(hashed_bags(df, tokens, bits, seed, [id_col]), id_col)
 
 
-def vectors(counts: DataFrame, train: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, places, values)``: counts times the smoothed inverse frequency of the place among ``train``, of length one.
+def _of_ids(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` of stored bags with a split, each with the places and counts of all bags of its id, and ``counted``.
 
-    ``train`` has the ids to count in. There are as many frequencies as places, which bounds what is broadcast.
+    ``counted`` is true for one training row of each id. A null id has no places. Only the bags of ids that come more
+    than once move, are taken apart and added up.
     """
-    n = train.count()
-    seen = counts.join(train.select(id_col), id_col, "left_semi").groupBy("place").agg(F.count(F.lit(1)).alias("df"))
-    idf = stored(seen.select("place", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "place-weights")
-    weighed = counts.join(F.broadcast(idf), "place", "left").select(
-        id_col, "place", (F.col("n") * F.coalesce("idf", F.lit(float(np.log(1 + n) + 1)))).alias("x")
-    )
-    packed = weighed.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
-    )
-    return packed.select(
-        id_col, F.transform("v", lambda v: v["place"]).alias("places"), F.transform("v", lambda v: v["x"] / F.col("norm")).alias("values")
-    )
+    trained, known = F.col("split") == "train", F.col(id_col).isNotNull()
+    repeated = rows.where(known).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(id_col)
+    repeated = stored(repeated, "repeated-ids")
+    bare = {c: F.when(known, F.col(c)).otherwise(F.array().cast(rows.schema[c].dataType)) for c in ("places", "ns")}
+    if repeated.isEmpty():
+        return rows.withColumns({**bare, "counted": trained & known})
+    single = rows.join(repeated, id_col, "left_anti").withColumns({**bare, "counted": trained & known})
+    several = rows.join(repeated, id_col, "left_semi")
+    packed = _added_up(several, id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("v"))
+    first = F.row_number().over(Window.partitionBy(id_col, "split").orderBy("label")) == 1
+    merged = several.drop("places", "ns").withColumn("counted", first & trained).join(packed, id_col, "left")
+    found = {c: F.coalesce(F.col(f"v.{n}"), F.array().cast(rows.schema[c].dataType)) for c, n in (("places", "place"), ("ns", "n"))}
+    return single.unionByName(merged.withColumns(found).drop("v"))
+
+
+def vectors(rows: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """``rows`` with ``ns`` replaced by ``values``: counts times the smoothed inverse frequency of the place, of length one.
+
+    ``rows`` have ``places`` and ``ns``; ``counted`` marks those to count in, one for each id, and ``n`` is
+    the number of documents that frequencies are out of. There are as many frequencies as places at most, which
+    bounds what travels with the tasks.
+    """
+    seen = rows.where("counted").select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("df"))
+    table = local_rows(seen, 1 << bits)
+    df = np.zeros(1 << bits)
+    df[table.column("place").to_numpy()] = table.column("df").to_numpy()
+    idf = np.log((1 + n) / (1 + df)) + 1
+    kept = [f for f in rows.schema.fields if f.name not in ("places", "ns", "counted")]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("places")
+            sizes = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+            x = batch.column("ns").flatten().to_numpy() * idf[places.flatten().to_numpy()]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(sizes)))
+            starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            values = pa.ListArray.from_arrays(starts, pa.array(x / norm[row]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), places, values], names=[*names, "places", "values"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.select(*names, "places", "ns").mapInArrow(run, f"{schema}, places array<int>, values array<double>")
 
 
 def _shards(rows: DataFrame, shard_rows: int, seed, id_col: str) -> DataFrame:
-    """A row for each shard, with its rows (label, places, values) in hash order."""
+    """A row for each shard: its ``rows`` (label, places, values), in hash order.
+
+    Shards are dealt out before they are stored, so that no epoch has to move them again.
+    """
     shards = max(1, -(-rows.count() // shard_rows))
     key = order_key(seed, id_col)
     number = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(shards))
     packed = F.sort_array(F.collect_list(F.struct(F.substring(key, 9, 24).alias("key"), "label", "places", "values")))
-    return stored(rows.groupBy(number.alias("shard")).agg(packed.alias("rows")), "shards")
+    # At least as many parts as the cores can take, and otherwise one for each shard, which keeps a task small.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, min(shards, MOST_PARTS))
+    dealt = rows.withColumn("shard", number).repartition(parts, "shard")
+    return stored(dealt.groupBy("shard").agg(packed.alias("rows")).select("rows"), "shards")
 
 
 def _sigmoid(x):
@@ -135,7 +214,8 @@ def fit(
     best, best_loss, since, losses = (np.zeros(size), 0.0), np.inf, 0, []
     now = best
     cores = spark.sparkContext.defaultParallelism
-    rest, chosen = rest.repartition(cores * 2), chosen.repartition(cores)
+    # A task sends as many sums as there are places, so tasks are no more than the cores need.
+    rest, chosen = rest.coalesce(cores), chosen.coalesce(cores)
     for epoch in range(epochs):
         now = _epoch(rest, *now, rate / (1 + epoch) ** 0.5, reg)
         loss = _loss(chosen, *now)
@@ -227,18 +307,13 @@ def classify_hashed(
     test_share: float = 0.3, bits: int = BITS, seed=42, stop_words=T.ENGLISH_STOP_WORDS, **options,
 ) -> Judged:
     """Real against synthetic on hashed words, with a stratified test split; ``options`` as in :func:`fit`."""
-    rows = labelled(df.where(T.has_text(text_col)), synthetic, corpus_col).select(
-        id_col, corpus_col, "label", T.tfidf_tokens(text_col, stop_words).alias("tokens")
-    )
-    rows = stored(rows, "tokens")
-    parts = stored(split(rows.drop("tokens"), test_share, label_col="label", seed=seed, id_col=id_col), "split")
-    train = parts.where(F.col("split") == "train")
-    if train.select("label").distinct().count() < 2:
+    texts = labelled(df.where(T.has_text(text_col)), synthetic, corpus_col)
+    bags = stored(hashed_bags(texts, T.tfidf_tokens(text_col, stop_words), bits, keep=[id_col, corpus_col, "label"]), "hashed-bags")
+    parts = split(bags, test_share, label_col="label", seed=seed, id_col=id_col)
+    sizes = {r["label"]: r["n"] for r in parts.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    if len(sizes) < 2:
         raise ValueError("Both corpora need rows to train a classifier.")
-    counts = stored(hashed_counts(rows, F.col("tokens"), bits, id_col=id_col), "hashed-counts")
-    none = F.array().cast("array<int>"), F.array().cast("array<double>")
-    placed = parts.join(vectors(counts, train, id_col), id_col, "left")
-    placed = stored(placed.withColumns({"places": F.coalesce("places", none[0]), "values": F.coalesce("values", none[1])}), "vectors")
+    placed = stored(vectors(_of_ids(parts, id_col), sum(sizes.values()), bits), "vectors")
     model = fit(placed.where(F.col("split") == "train").drop("split"), bits, seed=seed, id_col=id_col, **options)
     scored = score(placed.where(F.col("split") == "test").drop("split"), model).select(id_col, corpus_col, "label", "prediction", "score")
     return Judged(model, scored, class_report(confusion(scored), {0: "real", 1: "synthetic"}), summary_scores(scored))

@@ -371,6 +371,28 @@ def test_scores_do_not_follow_partitions(spark):
         hashed.classify_hashed(df.where("corpus = 'real'"))
 
 
+def test_texts_that_share_an_id_have_one_vector(spark):
+    rows = [(i, "real" if i % 2 else "synthetic", f"river stone {'lake' * (i % 3 + 1)}") for i in range(40)]
+    df = spark.createDataFrame([*rows, (7, "real", "boat boat"), (7, "real", "stone"), (None, "real", "boat")], "doc_id int, corpus string, text string")
+    found = hashed.hashed_bags(df.withColumn("split", F.lit("train")), T.space_tokens("text"), 8, keep=["doc_id", "split", "corpus"])
+    bags = hashed._of_ids(hashed.stored(found.withColumn("label", F.lit(1.0)), "bags"), "doc_id").collect()
+    want = {(r.doc_id, r.place): r.n for r in hashed.hashed_counts(df.where("doc_id IS NOT NULL"), T.space_tokens("text"), 8).collect()}
+    assert len(bags) == 43 and {(b.doc_id, p): n for b in bags for p, n in zip(b.places, b.ns, strict=True)} == want
+    assert [b.places for b in bags if b.doc_id is None] == [[]]
+    assert sum(b.counted for b in bags) == 40 and sum(b.counted for b in bags if b.doc_id == 7) == 1
+
+
+def test_texts_and_shards_are_not_moved_for_counting_or_epochs(spark):
+    df = spark.createDataFrame([(i, i % 2, "river stone lake") for i in range(300)], "doc_id int, label int, text string")
+    bags = hashed.hashed_bags(df, T.space_tokens("text"), 8)
+    shards = hashed._shards(
+        df.select("doc_id", F.col("label").cast("double").alias("label"), F.array(F.lit(1)).alias("places"), F.array(F.lit(1.0)).alias("values")), 20, 42, "doc_id"
+    )
+    for found in (bags, shards):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert shards.rdd.getNumPartitions() >= 4 and sorted(shards.select(F.explode("rows.label")).groupBy("col").count().collect()) == [(0.0, 150), (1.0, 150)]
+
+
 # --- subwords ---
 
 
