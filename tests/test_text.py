@@ -1,5 +1,7 @@
 """Hand-worked cases for the text, array, key and prompt columns."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,21 @@ def test_tokens_worked_out_by_hand(spark):
     assert row["words"] == [w for w in row["pieces"] if w != "12"]
     assert row["simple"] == ["cannot", "stop", "we", "re", "gonna", "go", "tis", "fine", "really", "don", "gimme", "cafes"]
     assert row["tfidf"] == ["cannot", "stop", "we", "re", "gonna", "go", "tis", "fine", "really", "don", "gimme", "12", "cafés"]
+
+
+def test_quick_patterns_leave_the_same_text(spark):
+    rng = random.Random(4)
+    bits = ["'", "\u2019", "'tis", "\u2019twas", " ", "\n", "\u2003", "\x1c", "\x85", "..", "--", "`", "cannot", "gonna", "n't", "'s", ",", "(", "\u00e9", "\u4e2d", "~", "a"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 10))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "text string")
+    pairs = [
+        (F.split("text", T.SPACES), F.split("text", T.SPACE + "+")),
+        (F.regexp_replace("text", T.FUSED_FAST, "$1$3$5$7 $2$4$6$8"), F.regexp_replace("text", T.FUSED, "$1$3$5$7 $2$4$6$8")),
+        (F.regexp_replace("text", T.SHORTENED_FAST, "$1"), F.regexp_replace("text", T.SHORTENED, "$1$2")),
+        (F.regexp_replace("text", T.APART_FAST, " "), F.regexp_replace("text", T.APART, " ")),
+        (F.regexp_replace("text", T.OPENING_FAST, ""), F.regexp_replace("text", T.OPENING, "$1")),
+    ]
+    assert [df.where(quick != plain).count() for quick, plain in pairs] == [0] * len(pairs)
+    source, target = accent_table()
+    accents = F.translate(F.lower("text"), source, target)
+    assert df.where(F.concat_ws(" ", T.simple_tokens("text", None, 1, 99)) != F.concat_ws(" ", F.regexp_extract_all(accents, F.lit(T.ALPHABETIC), 0))).count() == 0
