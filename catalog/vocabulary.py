@@ -106,9 +106,10 @@ def bag_of_words(spark, folder):
     JOIN ids USING (token)""",
 )
 def dictionary_lookup(spark, folder):
-    docs = texts(spark, folder).withColumn("corpus", F.lit("all"))
-    ids = bags.dictionary(frequent(docs))
-    rows = bags.token_rows(docs, T.simple_tokens("text"))
+    # The dictionary reads the tokens once and the lookup twice, so they are cut once.
+    docs = stored(texts(spark, folder).select("doc_id", T.simple_tokens("text").alias("tokens")), "tokens").withColumn("corpus", F.lit("all"))
+    ids = bags.dictionary(frequent(docs, F.col("tokens")))
+    rows = bags.token_rows(docs, F.col("tokens"))
     coded = lookup(rows, ids, ["token"], weight="cf", how="inner")
     return coded.select("doc_id", F.col("place").cast("bigint").alias("place"), "token", "token_id")
 

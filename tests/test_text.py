@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from corpometer.functions import arrays as A
 from corpometer.functions import keys, prompts
 from corpometer.functions import text as T
@@ -141,3 +142,11 @@ def test_quick_patterns_leave_the_same_text(spark):
     source, target = accent_table()
     accents = F.translate(F.lower("text"), source, target)
     assert df.where(F.concat_ws(" ", T.simple_tokens("text", None, 1, 99)) != F.concat_ws(" ", F.regexp_extract_all(accents, F.lit(T.ALPHABETIC), 0))).count() == 0
+
+
+def test_dictionary_lookup_cuts_texts_once(spark, tmp_path):
+    rows = [(i, f"river stone{'s' * (i % 2)}", "en", "src1", 11) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["dictionary_lookup"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.place, r.token) for r in found.collect()} == {(1, "stone"), (1, "stones")} and found.count() == 20
