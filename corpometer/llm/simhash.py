@@ -91,7 +91,8 @@ def _meet(keys: DataFrame, on: list[str], distance: int) -> DataFrame:
     left = keys.where("side <> 1").withColumnRenamed("fp", "a").withColumnRenamed("side", "sa")
     right = keys.where("side <> 0").withColumnRenamed("fp", "b").withColumnRenamed("side", "sb")
     near = (F.col("sa") + 1 == F.col("sb")) | ((F.col("sa") == 2) & (F.col("sb") == 2) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, on).where(near & (_distance() <= distance))
+    # Spark sizes the keys like the fingerprints that they are exploded from, and would broadcast them.
+    pairs = left.join(right.hint("merge"), on).where(near & (_distance() <= distance))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -126,8 +127,8 @@ def near_pairs(values: DataFrame, distance: int = DISTANCE, crowded: int = CROWD
     inner = (F.col("sa") + 1 == F.col("sb")) | ((F.col("sa") == 2) & (F.col("sb") == 2) & (~whole | (F.col("a") < F.col("b"))))
     outer = (F.col("oa") + 1 == F.col("ob")) | whole
     near = _distance() <= distance
-    more = left.join(right, ["top", "key"]).where(inner & outer & near).select("a", "b")
-    more = more.union(crossed.join(opposite, ["top", "key"]).where(near).select("a", "b"))
+    more = left.join(right.hint("merge"), ["top", "key"]).where(inner & outer & near).select("a", "b")
+    more = more.union(crossed.join(opposite.hint("merge"), ["top", "key"]).where(near).select("a", "b"))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.union(more).distinct()
 

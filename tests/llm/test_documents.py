@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpometer.llm import common, components, decontaminate, licenses, simhash, urls
+from corpometer.session import stored
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 LONG = "word " * 60_000
@@ -131,6 +132,14 @@ def test_near_pairs_equal_brute_force(spark, crowded):
     assert len(got) == len(set(got)) and {(r.a, r.b) for r in got} == brute_pairs(values)
 
 
+def test_signatures_are_not_broadcast(spark):
+    centre = 1 << 40
+    values = [(centre ^ (1 << b),) for b in range(20)] + [(n << 32 | 5,) for n in range(40)]
+    plan = simhash.near_pairs(stored(spark.createDataFrame(values, "fp long")), crowded=4)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ", Inner" in line]
+    assert len(joins) == 3 and all("SortMergeJoin" in j for j in joins)
+
+
 def test_connected(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 200), (None, 3)]
