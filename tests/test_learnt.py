@@ -18,6 +18,7 @@ from corpometer.functions.subwords import subword_tokens
 from corpometer.operators import density, kneser_ney, stats
 from corpometer.operators import language_model as lm
 from corpometer.plans import hashed, sentences, topic_tables
+from corpometer.session import stored
 
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.json")
 WORDS = "river stone garden window silver letter morning branch corner little".split()
@@ -88,6 +89,22 @@ def test_losses_equal_the_definition(spark, order):
         assert whole[name].n_tokens == len(losses) and whole[name].nll == pytest.approx(sum(losses), abs=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 4])
+def test_losses_do_not_follow_the_number_of_parts(spark, monkeypatch, order):
+    rows = [("real" if i % 3 else "made", i, t) for i, t in enumerate([*corpus(1), *corpus(2, 15, words=[*WORDS, "new"])])] + [(None, None, "a b c"), ("made", 1, "river")]
+    df = spark.createDataFrame(rows, "corpus string, doc_id int, text string")
+
+    def losses():
+        whole = kneser_ney.corpus_losses(df, T.space_tokens("text"), "real", order)
+        documents = kneser_ney.document_losses(df, T.space_tokens("text"), "real", order).withColumn("corpus", F.concat_ws(" ", "corpus", "doc_id")).drop("doc_id")
+        return sorted((str(r.corpus), r.n_tokens, round(r.nll, 8)) for r in whole.union(documents.select(whole.columns)).collect())
+
+    once, files = losses(), []
+    monkeypatch.setattr(kneser_ney, "PART_WORDS", 100)
+    monkeypatch.setattr(kneser_ney, "stored", lambda table, name="stage": files.append(name) or stored(table, name))
+    assert losses() == once and files.count(f"sequences-{order}") > 4 and files.count("document-sums") > 2
+
+
 def test_probabilities_behind_each_context_sum_to_one(spark):
     texts = [t.split() for t in corpus(3)]
     model = Model(texts, 3)
