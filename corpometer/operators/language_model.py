@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpometer.operators.joins import attach_row, lookup
-from corpometer.session import stored
+from corpometer.operators.kneser_ney import as_numbers, in_parts, parts_of
+from corpometer.session import settled, stored
 
 
 def bigrams(tokens: Column) -> Column:
@@ -79,13 +80,25 @@ def _parts_of_loss(words: DataFrame, pairs: DataFrame, contexts: DataFrame, k: f
     ``-ln((c(w1, w2) + k) / (c(w1) + k * V))`` is a part of the first word and a part of the pair:
     ``words`` is ``(*by, w1, n)``, ``pairs`` is ``(*by, pair, n)`` with the training count of each pair.
     """
+    ahead = _ahead(words.join(contexts, "w1", "left"), contexts, k, *by)
+    return _summed(ahead.union(_behind(pairs, k, *by)), *by)
+
+
+def _ahead(words: DataFrame, contexts: DataFrame, k: float, *by: str) -> DataFrame:
+    """The first words' part, of ``(*by, n, context)``."""
     size = contexts.agg((F.count(F.lit(1)) + 1).alias("__v"))
-    first = attach_row(words.join(contexts, "w1", "left"), size)
     context = F.log(F.coalesce("context", F.lit(0)) + F.lit(float(k)) * F.col("__v"))
-    ahead = first.select(*by, (F.col("n") * context).alias("nll"), F.col("n").alias("n_tokens"))
+    return attach_row(words, size).select(*by, (F.col("n") * context).alias("nll"), F.col("n").alias("n_tokens"))
+
+
+def _behind(pairs: DataFrame, k: float, *by: str) -> DataFrame:
+    """The pairs' part, of ``(*by, n, pair)``."""
     pair = -F.log(F.coalesce("pair", F.lit(0)) + F.lit(float(k)))
-    behind = pairs.select(*by, (F.col("n") * pair).alias("nll"), F.lit(0).cast("bigint").alias("n_tokens"))
-    return ahead.union(behind).groupBy(*by).agg(F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n_tokens"))
+    return pairs.select(*by, (F.col("n") * pair).alias("nll"), F.lit(0).cast("bigint").alias("n_tokens"))
+
+
+def _summed(losses: DataFrame, *by: str) -> DataFrame:
+    return losses.groupBy(*by).agg(F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def corpus_losses(
@@ -115,23 +128,32 @@ def document_losses(
 ) -> DataFrame:
     """``(corpus, id, nll, n_tokens)``; documents with fewer than two tokens get zeros.
 
-    A document is one (corpus, id) pair, so corpora may number their documents alike. The training
-    bigrams are counted and stored once; texts are then read again and their bigrams joined as they
-    are, and adaptive execution splits the partitions of frequent ones.
+    A document is one (corpus, id) pair, so corpora may number their documents alike. Words become 64-bit
+    numbers, checked to be one for each word, and texts are stored as these. The first words' part meets the
+    commonest words where a text is read. For the other part the training bigrams are counted, and those of
+    all texts joined to them as they are, while adaptive execution splits the partitions of frequent ones; many
+    words go in parts, by a hash of the bigram, one after the other.
     """
-    learned = stored(bigram_counts(df.where(F.col(corpus_col) == train), tokens), "training-bigrams")
-    contexts = _contexts(learned)
-    cut = df.select(corpus_col, id_col, tokens.alias("__t"))
-    rows = cut.select(corpus_col, id_col, F.inline(bigrams(F.col("__t")))).where(F.col("w2").isNotNull())
-    words = rows.groupBy(corpus_col, id_col, "w1").agg(F.count(F.lit(1)).alias("n"))
-    seen = learned.where(F.col("w2").isNotNull()).withColumnRenamed("n", "pair")
-    pairs = rows.join(seen, ["w1", "w2"], "left").withColumn("n", F.lit(1).cast("bigint"))
-    sums = _parts_of_loss(words, pairs, contexts, k, corpus_col, id_col)
-    return (
-        df.select(corpus_col, id_col)
-        .join(sums, [corpus_col, id_col], "left")
-        .na.fill({"nll": 0.0, "n_tokens": 0})
-    )
+    spark, by = df.sparkSession, [corpus_col, id_col]
+
+    def sums() -> DataFrame:
+        texts = stored(as_numbers(df.select(*by, tokens.alias("__t"))).where(F.size("words") > 0), "numbered-words")
+        all_rows = texts.select(*by, F.inline(bigrams(F.col("words"))))
+        trained = all_rows.where(F.col(corpus_col) == train).select("w1", "w2")
+        contexts = _contexts(trained.withColumn("n", F.lit(1).cast("bigint")))
+        rows = all_rows.where(F.col("w2").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
+        found = lookup(rows.select(*by, "w1", "n"), contexts.withColumn("weight", F.col("context")), ["w1"], weight="weight")
+        ahead = stored(_summed(_ahead(found, contexts, k, *by), *by), "document-sums")
+
+        def of_pairs(rows: DataFrame, trained: DataFrame) -> DataFrame:
+            seen = stored(trained.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("pair")), "training-bigrams")
+            return _summed(_behind(rows.join(seen, ["w1", "w2"], "left"), k, *by), *by)
+
+        step = lambda rows, trained: settled(spark, lambda: of_pairs(rows, trained), "document-sums")
+        behind = in_parts(step, [rows, trained.where(F.col("w2").isNotNull())], ["w1", "w2"], parts_of(texts), "document-sums")
+        return _summed(ahead.union(behind), *by)
+
+    return df.select(*by).join(settled(spark, sums, "document-losses"), by, "left").na.fill({"nll": 0.0, "n_tokens": 0})
 
 
 def perplexity(losses: DataFrame, corpus_col: str = "corpus") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -12,8 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpometer.functions import text as T
-from corpometer.operators import bags, coherence, density, distance, reports, stats, timing, windows
+from corpometer.operators import bags, coherence, density, distance, kneser_ney, reports, stats, timing, windows
 from corpometer.operators import language_model as lm
+from corpometer.session import stored
 
 relaxed = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -209,6 +210,25 @@ def test_bigram_losses_by_hand(spark):
     assert each[2]["nll"] == pytest.approx(want["synthetic"]) and len(each) == 4
 
 
+def test_bigram_losses_do_not_follow_the_number_of_parts(spark, monkeypatch):
+    rows = [("real" if i % 3 else "made", i // 2, " ".join(f"w{(i * j) % 17}" for j in range(i))) for i in range(40)]
+    rows += [("real", 1, "alone"), (None, 2, "w1 w2"), ("made", None, "w1 w2"), ("void", 3, None), ("made", 99, "new words new words")]
+    df = spark.createDataFrame(rows, "corpus string, doc_id int, text string")
+    losses = lambda: sorted((str(r.corpus), str(r.doc_id), r.n_tokens, round(r.nll, 8)) for r in lm.document_losses(df, T.space_tokens("text"), "real").collect())
+    once, files = losses(), []
+    trained = [t.split() for c, _, t in rows if c == "real"]
+    pairs, context = Counter(p for t in trained for p in zip(t, t[1:], strict=False)), Counter(w for t in trained for w in t[:-1])
+    size, want = len({w for t in trained for w in t}) + 1, defaultdict(float)
+    for c, i, t in rows:
+        for a, b in zip((t or "").split(), (t or "").split()[1:], strict=False):
+            want[c, i] -= math.log((pairs[a, b] + 0.1) / (context[a] + 0.1 * size))
+    assert once == sorted((str(c), str(i), n * (c is not None and i is not None), round(want[c, i] * (c is not None and i is not None), 8)) for c, i, n in [
+        (c, i, sum(max(len((u or "").split()) - 1, 0) for d, j, u in rows if (d, j) == (c, i))) for c, i, _ in rows])
+    monkeypatch.setattr(kneser_ney, "PART_WORDS", 200)
+    monkeypatch.setattr(lm, "stored", lambda table, name="stage": files.append(name) or stored(table, name))
+    assert losses() == once and files.count("training-bigrams") > 2
+
+
 def test_perplexity_and_batch_means(spark):
     df = spark.createDataFrame([("r", 0, 2.0, 2), ("r", 0, 4.0, 1), ("r", 1, 6.0, 6), ("r", 2, 0.0, 0)], "corpus string, batch_id int, nll double, n_tokens int")
     assert lm.perplexity(df).first()["perplexity"] == pytest.approx(math.exp(12 / 9))
