@@ -310,10 +310,10 @@ def classify_hashed(
     texts = labelled(df.where(T.has_text(text_col)), synthetic, corpus_col)
     bags = stored(hashed_bags(texts, T.tfidf_tokens(text_col, stop_words), bits, keep=[id_col, corpus_col, "label"]), "hashed-bags")
     parts = split(bags, test_share, label_col="label", seed=seed, id_col=id_col)
-    sizes = {r["label"]: r["n"] for r in parts.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    sizes = local_rows(parts.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("n"))).column("n").to_pylist()
     if len(sizes) < 2:
         raise ValueError("Both corpora need rows to train a classifier.")
-    placed = stored(vectors(_of_ids(parts, id_col), sum(sizes.values()), bits), "vectors")
+    placed = stored(vectors(_of_ids(parts, id_col), sum(sizes), bits), "vectors")
     model = fit(placed.where(F.col("split") == "train").drop("split"), bits, seed=seed, id_col=id_col, **options)
     scored = score(placed.where(F.col("split") == "test").drop("split"), model).select(id_col, corpus_col, "label", "prediction", "score")
     return Judged(model, scored, class_report(confusion(scored), {0: "real", 1: "synthetic"}), summary_scores(scored))
