@@ -75,6 +75,25 @@ def test_factors_come_near_the_best_ones(spark):
     assert np.allclose(found[0], found[1], atol=1e-6)
 
 
+def test_entries_in_parts_give_the_same_factors(spark, monkeypatch):
+    table = factors.stored(spark.createDataFrame(entries(symmetric(30)), "i bigint, j bigint, x double"), "test-table")
+    found = []
+    for most in (1_000_000, 200):
+        monkeypatch.setattr(factors, "PART_ENTRIES", most)
+        rows, values = factors.factored(table, 5, extra=8)
+        found.append((np.array([r.v for r in sorted(rows.collect())]), values))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-6) and np.allclose(found[0][1], found[1][1])
+
+
+def test_texts_keep_their_tokens_together(spark, monkeypatch):
+    df = spark.createDataFrame([*enumerate(texts())], "doc_id int, text string").repartition(2)
+    words = factors.stored(spark.createDataFrame([(f"w{k}", [float(k), 1.0], 5) for k in range(60)], "token string, vector array<double>, cf bigint"))
+    rows, stored = [], factors.stored
+    monkeypatch.setattr(factors, "stored", lambda df, name: rows.append(df.count()) or stored(df, name))
+    # What is moved or stored of a text is one row, until it meets the vectors.
+    assert factors.text_vectors(df, T.space_tokens("text"), words, 2).count() == len(texts()) and max(rows) <= len(texts())
+
+
 def test_a_table_of_low_rank(spark):
     table = factors.stored(spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0)], "i bigint, j bigint, x double"), "test-table")
     rows, values = factors.factored(table, 3, extra=2)
